@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import mixing, quality, sharding, simhash
+from quillwork.llm import mixing, packing, quality, sharding, simhash, sstable, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).drop("ids")
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(_table(spark, sf_dir, "documents")).drop("factors")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -31,8 +40,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = sstable.write_tables(_table(spark, sf_dir, "documents"), sstable.fresh_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return sstable.read_tables(files).drop("file")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_sharding, op7_mixing, op8_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_sharding, op4_packing, op5_substring, op7_mixing, op8_quality, op10_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:
