@@ -83,3 +83,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, F.
     inner = W.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = joined.select("*", *[(F.col(f"_b_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0))).alias(k) for k in sums])
     return out.drop(*[f"_v_{k}" for k in sums], *[f"_b_{k}" for k in sums])
+
+
+#: Rows of a join's small side up to which it is broadcast (some tens of bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(small: DataFrame, n: int) -> DataFrame:
+    """small, to be broadcast if its n rows are within the limit."""
+    return F.broadcast(small) if n <= BROADCAST_ROWS else small

@@ -6,6 +6,10 @@ radius 1) with the top bit free. Each half is sent to every anchor within coveri
 own anchor, the fifteen others at distance two, and its own with the top bit turned: 17 copies. If x and y differ in at
 most one bit of the half, y is at x's own anchor, so comparing the fingerprints that meet at an anchor finds every link.
 There are 2^27 anchors for each half, so an anchor's company stays small at any size of corpus.
+
+Three bits are few: of documents that share 0.8 to 0.85 of their word shingles, one fingerprint in twenty-five or so is
+that near. similar() therefore takes several fingerprints of a document's set of words, which differ in fewer bits, finds
+what is near in any of them by the same covering, and compares the shingles of what it found.
 """
 
 from __future__ import annotations
@@ -13,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import bounded_batches, cut, shuffle_width
+from quillwork.llm._common import bounded_batches, checked, cut, shuffle_width
 from quillwork.llm._graph import components
 
 SEED = 42
@@ -88,18 +93,20 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1 << 14):
-            fp = np.asarray(b.column(0).slice(at, 1 << 14)).astype(np.int64).view(np.uint64)
-            out_a, out_f = [], []
+            fp, first, kind = (np.asarray(c.slice(at, 1 << 14)).astype(np.int64) for c in b.columns)
+            fp = fp.view(np.uint64)
+            out_a, out_r = [], []
             for side in (0, 1):
                 half = fp >> np.uint64(32) if side else fp & np.uint64(0xFFFFFFFF)
                 rows, key = anchors(half)
-                out_a.append(key | np.uint64(side << 32))
-                out_f.append(fp[rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a).view(np.int64)), pa.array(np.concatenate(out_f).view(np.int64))], names=["anchor", "fp"])
+                out_a.append(key | (kind[rows].astype(np.uint64) << np.uint64(1) | np.uint64(side)) << np.uint64(32))
+                out_r.append(rows)
+            rows = np.concatenate(out_r)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_a).view(np.int64), fp[rows].view(np.int64), first[rows])], names=["anchor", "fp", "first"])
 
 
 def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that join what is connected at one anchor: each fingerprint reached meets those not yet reached once."""
+    """Links that join what is connected at one anchor: each fingerprint reached, from the first on, meets those not yet reached once."""
     links, rest = [], fp
     while len(rest):
         frontier, rest = [rest[0]], rest[1:]
@@ -115,7 +122,7 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _compare(anchor: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
-    """Links among rows sorted by anchor, as an array of pairs."""
+    """Links among rows sorted by anchor, as an array of (kind, one, other)."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
     small = np.repeat(sizes <= SMALL, sizes)
@@ -128,16 +135,21 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
         if not same.any():
             break
         hit = same & (np.bitwise_count(f[s:] ^ f[:-s]) <= bits)
-        out.append(np.stack([f[:-s][hit], f[s:][hit]], 1))
+        out.append(np.stack([a[s:][hit].view(np.uint64) >> np.uint64(33), f[:-s][hit], f[s:][hit]], 1))
     for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        links = _forest(np.unique(fp[at : at + n]), bits)
+        links = _forest(fp[at : at + n], bits)
         if links:
-            out.append(np.array(links, np.uint64))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
+            pairs = np.array(links, np.uint64)
+            out.append(np.column_stack([np.full(len(pairs), anchor[at] >> 33, np.uint64), pairs]))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.uint64)
 
 
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """Links (a, b) between fingerprints of the column fp that differ in at most bits bits (1 to 3), enough of them to connect all that are connected."""
+    """Links (kind, a, b) between fingerprints that differ in at most bits bits (1 to 3), enough of them to connect all that are connected.
+
+    distinct has (fp, first, kind): fingerprints of different kinds (0 to 255) aren't compared, and in large companies
+    the links go out from the fingerprints with the least first.
+    """
     if not 0 < bits <= 3:
         raise ValueError("two halves cover one to three bits")
 
@@ -145,7 +157,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
         kept_a, kept_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def made(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1, 2)], names=["kind", "a", "b"])
 
         for b in batches:
             a = np.concatenate([kept_a, np.asarray(b.column(0))])
@@ -160,8 +172,8 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             yield made(_compare(kept_a, kept_f, bits))
 
     n = shuffle_width(distinct.sparkSession)
-    met = distinct.select("fp").mapInArrow(_covered, "anchor long, fp long").repartition(n, "anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    met = distinct.select("fp", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.col("kind").cast("long").alias("kind")).mapInArrow(_covered, "anchor long, fp long, first long")
+    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(run, "kind long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -174,8 +186,104 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     """
     known = cut(fingerprints(docs, shingle))
     least = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(least, bits))
+    roots = components(links(least.withColumn("kind", F.lit(0)), bits))
     groups = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = cut(groups.select("fp", "root").join(of_root, "root").select("fp", "component_id"))
     return known.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sketch(text: str | None, kinds: int) -> tuple[bytes, list[int]]:
+    """A digest of a text's words in lower case, and fingerprints of its set of words with as many seeds as kinds."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    own, out = list(set(words)), []
+    for seed in range(kinds):
+        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), "<u8", len(own))
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(h), CHUNK):
+            part = h[i : i + CHUNK]
+            counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(len(part), 64).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<i8")[0]))
+    return xxhash.xxh3_128_digest(b" ".join(words)), out
+
+
+def sketches(docs: DataFrame, kinds: int) -> DataFrame:
+    """(doc_id, digest, fps) for every row of docs."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_sketch(t.as_py(), kinds) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, fps array<long>")
+
+
+def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
+    """(digest, shingles): the hashes of the different word shingles of each row of docs, in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sets = [], []
+            for t in b.column(0):
+                words = (t.as_py() or "").encode("utf-8", "replace").lower().split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                own = {xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+                sets.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, shingles array<long>")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 6, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Groups of documents whose sets of word shingles are alike to the Jaccard similarity or more: (sketches, groups).
+
+    sketches has doc_id and digest for every row of docs, groups has digest and root for each different text; texts of a
+    group share a root. Texts that are equal but for case and white space are one. Others are candidates if one of
+    `kinds` fingerprints of their words differs in at most bits bits; the shingles of a candidate pair are compared in
+    full. A null text is an empty one. An empty table gives empty results; other columns of docs are ignored.
+    """
+    known = cut(sketches(docs, kinds))
+    texts = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")))
+    each = texts.select("digest", "first", F.posexplode("fps").alias("kind", "fp"))
+    lead = cut(each.groupBy("kind", "fp").agg(F.min(F.struct("first", "digest")).alias("lead")).select("kind", "fp", "lead.first", "lead.digest"))
+    near = links(lead, bits)
+    a = lead.select("kind", F.col("fp").alias("a"), F.col("digest").alias("one"))
+    b = lead.select("kind", F.col("fp").alias("b"), F.col("digest").alias("other"))
+    between = near.join(a, ["kind", "a"]).join(b, ["kind", "b"]).select("one", "other")
+    within = each.select("kind", "fp", F.col("digest").alias("other")).join(lead.select("kind", "fp", F.col("digest").alias("one")), ["kind", "fp"]).select("one", "other")
+    pairs = cut(between.unionByName(within).where("one <> other").select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct())
+    wanted = cut(pairs.select(F.col("one").alias("digest")).union(pairs.select("other")).distinct().join(texts.select("digest", "first"), "digest"))
+    n = wanted.count()
+    # One row of each wanted text: its first doc_id finds it; rows of one doc_id are told apart by the digest.
+    found = docs.join(checked(wanted.select(F.col("first").alias("_first")).distinct(), n), F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    sets = cut(_shingles(found, shingle).join(checked(wanted.select("digest"), n), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("s")))
+    both = pairs.join(sets.select(F.col("digest").alias("one"), F.col("s").alias("x")), "one").join(sets.select(F.col("digest").alias("other"), F.col("s").alias("y")), "other")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("one").alias("a"), F.col("other").alias("b"))
+    roots = components(alike).withColumnRenamed("node", "digest")
+    return known.select("doc_id", "digest"), texts.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row for each group of similar(): that of the least doc_id (null first), of equal rows any one. All columns stay."""
+    known, groups = similar(docs, shingle, similarity)
+    placed = known.join(groups, "digest")
+    best = cut(placed.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select("k.doc_id", "k.digest"))
+    rows = cut(known.groupBy("doc_id", "digest").agg(F.count("*").alias("n")))
+    gone = cut(rows.join(best, rows.doc_id.eqNullSafe(best.doc_id) & (rows.digest == best.digest), "left_anti").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")))
+    stays = _with_digest(docs)
+    left = stays.join(checked(gone, gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_digest")), "left_anti")
+    if (rows.agg(F.max("n")).first()[0] or 0) > 1:
+        left = left.dropDuplicates(["doc_id", "_key"])
+    return left.select(*docs.columns)
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """docs and the digest of similar() as _key."""
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())))
+
+    return docs.withColumn("_key", digest(F.col("text").cast("string")))
