@@ -88,7 +88,7 @@ def plan(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int =
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids) for every piece.
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row, ids) for every piece; row numbers the rows of docs.
 
     path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. A null or
     empty text has the end id only. Every row is a document of its own, also where doc_ids repeat or are null; the
@@ -102,17 +102,17 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, n, ids, own in zip(*[b.column(k) for k in range(4)], strict=True):
+            for doc_id, n, ids, own, row in zip(*[b.column(k) for k in range(5)], strict=True):
                 raw = id_array(ids.as_py(), dtype)
                 own = sorted(own.as_py(), key=lambda p: p["start"])
                 crc = [zlib.crc32(raw[p["start"] : p["start"] + p["length"]].tobytes()) for p in own]
                 parts = [raw[p["start"] : p["start"] + p["length"]].astype(np.int32) for p in own]
                 m = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * m, pa.int64()), *[pa.array([p[c] for p in own], pa.int64()) for c in names], pa.array(crc, pa.int64()), pa.array([n.as_py()] * m, pa.int64()), pa.array(parts, pa.list_(pa.int32()))],
-                    names=["doc_id", *names, "ids_crc32", "doc_tokens", "ids"],
+                    [pa.array([doc_id.as_py()] * m, pa.int64()), *[pa.array([p[c] for p in own], pa.int64()) for c in names], pa.array(crc, pa.int64()), pa.array([n.as_py()] * m, pa.int64()), pa.array([row.as_py()] * m, pa.int64()), pa.array(parts, pa.list_(pa.int32()))],
+                    names=["doc_id", *names, "ids_crc32", "doc_tokens", "row", "ids"],
                 )
 
-    joined = known.join(of_row, "row").select("doc_id", "n", "ids", "pieces")
-    out = joined.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", ids_crc32 long, doc_tokens long, ids array<int>")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("tier").cast("int").alias("tier"), "step_group", "ids")
+    joined = known.join(of_row, "row").select("doc_id", "n", "ids", "pieces", "row")
+    out = joined.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", ids_crc32 long, doc_tokens long, row long, ids array<int>")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("tier").cast("int").alias("tier"), "step_group", "row", "ids")
