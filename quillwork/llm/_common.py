@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a plan made under the setting
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -25,11 +25,28 @@ from pyspark.sql import functions as F
 from quillwork.llm._common import WORD, bounded_batches, cut, shuffle_width
 
 #: Words whose phrases a task sorts and packs together, and bytes of text for each block of the index.
-CHUNK_WORDS, BLOCK_BYTES = 3_000_000, 24 << 20
+CHUNK_WORDS, BLOCK_BYTES = 2_000_000, 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, byte by byte of like weight, compressed."""
+    raw = b"".join([len(columns).to_bytes(1, "little"), *[c.dtype.char.encode() + len(c).to_bytes(8, "little") + np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 1, []
+    for _ in range(raw[0]):
+        kind, n = np.dtype(chr(raw[at])), int.from_bytes(raw[at + 1 : at + 9], "little")
+        at += 9
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind))
+        at += size
+    return out
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "replace").split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -50,38 +67,26 @@ def phrase_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def _pack(doc: np.ndarray, tie: np.ndarray, h: np.ndarray, at: np.ndarray, pos: np.ndarray) -> bytes:
-    """A part of the index that one task adds to one block: phrases h in order, each with its document's place in (doc, tie) and its word."""
-    used, at = np.unique(at, return_inverse=True)
-    delta = np.diff(h, prepend=np.uint64(0))
-    raw = b"".join([len(used).to_bytes(4, "little"), len(h).to_bytes(4, "little"), doc[used].tobytes(), tie[used].tobytes(), delta.tobytes(), at.astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    d, n = (int.from_bytes(raw[k : k + 4], "little") for k in (0, 4))
-    doc, tie = np.frombuffer(raw, np.int64, d, 8), np.frombuffer(raw, np.int64, d, 8 + 8 * d)
-    h = np.cumsum(np.frombuffer(raw, np.uint64, n, 8 + 16 * d), dtype=np.uint64)
-    return doc, tie, h, np.frombuffer(raw, np.uint32, n, 8 + 16 * d + 8 * n), np.frombuffer(raw, np.uint32, n, 8 + 16 * d + 12 * n)
-
+def _answers(doc: np.ndarray, tie: np.ndarray, at: np.ndarray, pos: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
+    """(to, answers): packed phrases at word pos of document `at` that start earlier at (ref_doc, ref_pos), for the tasks that gather each document's."""
+    if not len(at):
+        return
+    to = ((doc.view(np.uint64) * BASE >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)[at]
+    order = np.lexsort((pos, at, to))
+    at, pos, ref_doc, ref_pos, to = at[order], pos[order], ref_doc[order], ref_pos[order], to[order]
+    edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+    for s, e in zip(edges, edges[1:], strict=False):
+        used, n = np.unique(at[s:e], return_counts=True)
+        yield int(to[s]), _pack(doc[used], tie[used], n.astype(np.uint32), pos[s:e].astype(np.uint32), ref_pos[s:e].astype(np.uint32), ref_doc[s:e])
 
-def _answers(doc: np.ndarray, tie: np.ndarray, at: np.ndarray, pos: np.ndarray, ref_doc: np.ndarray, ref_pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, tie, answers) for each document with phrases that start earlier at (ref_doc, ref_pos)."""
-    order = np.lexsort((pos, at))
-    at, pos, ref_doc, ref_pos = at[order], pos[order], ref_doc[order], ref_pos[order]
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-    for s, e in zip(starts, [*starts[1:], len(at)], strict=True):
-        yield int(doc[at[s]]), int(tie[at[s]]), pos[s:e].astype(np.uint32).tobytes() + ref_pos[s:e].astype(np.uint32).tobytes() + ref_doc[s:e].astype(np.int64).tobytes()
 
+#: Parts of the index go to the block they belong to; answers, marked by block -1, to the task that gathers them.
+KIND = "block int, to int, data binary"
 
-KIND = "block int, doc long, tie long, data binary"
-_NAMES = ["block", "doc", "tie", "data"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-
-def _rows(made: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), _TYPES, strict=True)], names=_NAMES)
+def _rows(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(made), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[i : i + 64], strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "to", "data"])
 
 
 def _phrases(blocks: int, length: int):
@@ -95,7 +100,7 @@ def _phrases(blocks: int, length: int):
         keys = sorted(docs)
         words = [docs[k] for k in keys]
         n = np.array([len(w) for w in words], np.int64)
-        doc, tie = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+        doc, tie = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int32)
         at = np.repeat(np.arange(len(keys)), n)
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         h = phrase_hashes(np.concatenate(words), length)
@@ -106,20 +111,15 @@ def _phrases(blocks: int, length: int):
         first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
         again = ~first
-        made = [(int(x[1]) % blocks, *x) for x in _answers(doc, tie, at[again], pos[again], doc[at[lead[again]]], pos[lead[again]])]
-        for i in range(0, len(made), 2000):
-            yield _rows([(-1 - b, d, t, z) for b, d, t, z in made[i : i + 2000]])
-        h, at, pos = h[first], at[first], pos[first]
+        yield from _rows([(-1, to, data) for to, data in _answers(doc, tie, at[again], pos[again], doc[at[lead[again]]], pos[lead[again]], blocks)])
+        starts = np.cumsum(n) - n
+        h, place = h[first], (starts[at] + pos)[first].astype(np.uint32)
         edges = np.searchsorted(h >> np.uint64(32), [(b << 32) // blocks for b in range(1, blocks)])
-        parts = []
         for b, (s, e) in enumerate(zip([0, *edges], [*edges, len(h)], strict=True)):
             if e > s:
-                parts.append((b, None, None, _pack(doc, tie, h[s:e], at[s:e], pos[s:e])))
-            if len(parts) == 64:
-                yield _rows(parts)
-                parts = []
-        if parts:
-            yield _rows(parts)
+                used, of = np.unique(np.searchsorted(starts, place[s:e], side="right") - 1, return_inverse=True)
+                shift = starts[used] - np.cumsum(np.r_[0, n[used][:-1]])  # the words of unused documents fall out
+                yield from _rows([(b, b, _pack(doc[used], tie[used], n[used].astype(np.uint32), np.diff(h[s:e], prepend=np.uint64(0)), (place[s:e] - shift[of]).astype(np.uint32)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: dict[tuple[int, int], np.ndarray] = {}
@@ -139,52 +139,73 @@ def _phrases(blocks: int, length: int):
     return run
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(blocks: int):
     """Blocks of the index, each as the run of its parts, to answers; answers pass through."""
 
     def block(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [_unpack(p) for p in parts]
-        offset = np.cumsum([0, *[len(g[0]) for g in got[:-1]]])
-        doc, tie, h = (np.concatenate([g[k] for g in got]) for k in range(3))
-        at = np.concatenate([g[3].astype(np.int64) + o for g, o in zip(got, offset, strict=True)])
-        pos = np.concatenate([g[4] for g in got])
+        doc, tie, n = (np.concatenate([g[k] for g in got]) for k in range(3))
+        starts, words, place, h = np.cumsum(n, dtype=np.int64) - n, 0, [], []
+        for g in got:
+            place.append(g[4].astype(np.int64) + words)
+            h.append(np.cumsum(g[3], dtype=np.uint64))
+            words += int(g[2].sum(dtype=np.int64))
         del got
+        h, place = np.concatenate(h), np.concatenate(place)
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
-        member = order[np.r_[False, same] | np.r_[same, False]]
-        h, at, pos = h[member], at[member], pos[member]
-        pairs = np.stack([doc, tie], 1)
-        _, rank = np.unique(pairs, axis=0, return_inverse=True)  # a document has parts from one chunk, or from several where its row repeats
-        rank = rank.reshape(-1)[at]
-        order = np.lexsort((pos, rank, h))
-        h, at, pos, rank = h[order], at[order], pos[order], rank[order]
+        member = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
+        h, place = h[member], place[member]
         if not len(h):
             return
+        at = np.searchsorted(starts, place, side="right") - 1
+        pos = place - starts[at]
+        # A document has parts from one chunk, or from several where its row repeats: then they have one rank.
+        by = np.lexsort((tie, doc))
+        new = np.r_[True, (doc[by][1:] != doc[by][:-1]) | (tie[by][1:] != tie[by][:-1])]
+        rank = np.empty(len(doc), np.int64)
+        rank[by] = np.cumsum(new)
+        rank = rank[at]
+        order = np.lexsort((pos, rank, h))
+        h, at, pos, rank = h[order], at[order], pos[order], rank[order]
         first = np.r_[True, h[1:] != h[:-1]]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         again = ~first & ((rank != rank[lead]) | (pos != pos[lead]))
-        rows = []
-        for d, t, data in _answers(doc, tie, at[again], pos[again], doc[at[lead[again]]], pos[lead[again]]):
-            rows.append((-1, d, t, data))
-            if len(rows) == 4000:
-                yield _rows(rows)
-                rows = []
-        if rows:
-            yield _rows(rows)
-
-    now, parts = None, []
-    for b in batches:
-        for x in (r for i in range(0, b.num_rows, 64) for r in b.slice(i, 64).to_pylist()):
-            if x["block"] < 0:
-                yield _rows([(-1, x["doc"], x["tie"], x["data"])])
-                continue
-            if x["block"] != now and parts:
-                yield from block(parts)
-                parts = []
-            now = x["block"]
-            parts.append(x["data"])
-    if parts:
-        yield from block(parts)
+        yield from _rows([(-1, to, data) for to, data in _answers(doc, tie, at[again], pos[again], doc[at[lead[again]]], pos[lead[again]], blocks)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for own, to, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if own < 0:
+                    yield from _rows([(-1, to, data.as_py())])
+                    continue
+                if own != now and parts:
+                    yield from block(parts)
+                    parts = []
+                now = own
+                parts.append(data.as_py())
+        if parts:
+            yield from block(parts)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of all blocks to one row for each document: word numbers, earlier words, earlier documents."""
+    got = [_unpack(x.as_py()) for b in batches for x in b.column(2)]
+    if not got:
+        return
+    n = np.concatenate([g[2] for g in got])
+    doc, tie = (np.repeat(np.concatenate([g[k] for g in got]), n) for k in (0, 1))
+    pos, ref_pos, ref_doc = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+    order = np.lexsort((pos, tie, doc))
+    doc, tie, pos, ref_pos, ref_doc = doc[order], tie[order], pos[order], ref_pos[order], ref_doc[order]
+    edges = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]), True])
+    for i in range(0, len(edges) - 1, 500):
+        own = list(zip(edges[i : i + 501], edges[i + 1 : i + 501], strict=False))
+        first = [s for s, _ in own]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tie[first]), pa.array([_pack(pos[s:e], ref_pos[s:e], ref_doc[s:e]) for s, e in own], pa.binary())], names=["doc", "tie", "data"])
 
 
 def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -194,8 +215,9 @@ def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), n_bytes // BLOCK_BYTES)
     texts = docs.select(_doc(), _tie(), F.col("text").cast("string").alias("text"))
-    parts = texts.mapInArrow(_phrases(blocks, length), KIND).withColumn("to", F.when(F.col("block") < 0, -1 - F.col("block")).otherwise(F.col("block")))
-    return cut(parts.repartition(blocks, "to").sortWithinPartitions("block").drop("to").mapInArrow(_search, KIND).select("doc", "tie", "data"))
+    parts = texts.mapInArrow(_phrases(blocks, length), KIND)
+    answers = parts.repartitionById(blocks, F.col("to")).sortWithinPartitions("block").mapInArrow(_search(blocks), KIND)
+    return cut(answers.repartitionById(blocks, F.col("to")).mapInArrow(_gather, "doc long, tie int, data binary"))
 
 
 def _doc() -> F.Column:
@@ -203,17 +225,12 @@ def _doc() -> F.Column:
 
 
 def _tie() -> F.Column:
-    return F.xxhash64(F.col("text").cast("string")).alias("tie")
+    return F.hash(F.col("text").cast("string")).alias("tie")
 
 
-def factors(data: list[bytes], length: int) -> list[tuple[int, int, int, int]]:
+def factors(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
     """The greedy parse: (first word, number of words, document and first word of the earlier start), in order."""
-    cols = [[], [], []]
-    for d in data:
-        n = len(d) // 16
-        for c, (kind, off) in zip(cols, ((np.uint32, 0), (np.uint32, 4 * n), (np.int64, 8 * n)), strict=True):
-            c.append(np.frombuffer(d, kind, n, off))
-    pos, ref_pos, ref_doc = (np.concatenate(c).astype(np.int64) for c in cols)
+    pos, ref_pos, ref_doc = (c.astype(np.int64) for c in _unpack(data))
     # A phrase may have an answer from its own chunk and one from the index; either is earlier.
     order = np.lexsort((ref_pos, ref_doc, pos))
     pos, ref_pos, ref_doc = pos[order], ref_pos[order], ref_doc[order]
@@ -246,7 +263,7 @@ def deduplicate(docs: DataFrame, length: int = 20, texts: bool = False) -> DataF
     null text has no words. Rows of one doc_id are told apart by their texts, in the order of a hash; rows alike in both
     are one document and get the same result each. A null doc_id comes first. An empty table gives an empty result.
     """
-    found = repeats(docs, length).groupBy("doc", "tie").agg(F.collect_list("data").alias("data"))
+    found = repeats(docs, length)
     carried = docs.columns if texts else ["doc_id"]
     rows = docs.select(_doc(), _tie(), F.col("text").cast("string").alias("_text"), F.struct(*[F.col(c) for c in carried if c != "text"]).alias("_row"))
     joined = rows.join(found, ["doc", "tie"], "left").select("_row", "_text", "data")
