@@ -171,8 +171,8 @@ def classify(found: list[Block], short: int = 70, density: float = 0.15, links:
     First pass: bad is what stands in a side section or is linked by more than the share `links`; good what has `short`
     characters and the stop-word density; bad what has the length without the density, unless it stands in an article.
     Second pass: the rest takes the label of the nearest decided block of its section, of two equally near the one with
-    its own tag, else the good one. Without a decided block an article's blocks are good, others only where the page
-    has nothing good.
+    its own tag, else the good one. Without a decided block an article's blocks are good. Where a page has nothing good
+    otherwise, what has no decided neighbour and what only lacks the density is taken for its text.
     """
     for b in found:
         linked = len(" ".join("".join(b.linked).split()))
@@ -181,7 +181,7 @@ def classify(found: list[Block], short: int = 70, density: float = 0.15, links:
         elif len(b.text) >= short and stop_density(b.text) >= density:
             b.label = "good"
         elif len(b.text) >= short and not b.inside:
-            b.label = "bad"
+            b.label = "thin"
     decided = [b.label for b in found]
     # Side blocks are known for what they are; they say nothing about their neighbours.
     speaks = [bool(d) and not b.side for b, d in zip(found, decided, strict=True)]
@@ -208,8 +208,9 @@ def classify(found: list[Block], short: int = 70, density: float = 0.15, links:
         near = [j for j in near if found[j].tag == b.tag] or near
         b.label = "good" if any(decided[j] == "good" for j in near) else "bad"
     any_good = any(b.label == "good" for b in found) or any(b.inside for b in open_ones)
-    for b in open_ones:
-        b.label = "good" if b.inside or not any_good else "bad"
+    for b in found:
+        if not b.label or b.label == "thin":
+            b.label = "good" if b.inside or not any_good else "bad"
 
 
 def main_text(page: str | None) -> str:

@@ -95,13 +95,14 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20, pivots: int = 256
     blocks = max(shuffle_width(spark), -(-facts.n // BLOCK_ROWS))
     chosen = entries.orderBy(F.xxhash64("entry"), "entry").limit(pivots).select("v", "norm").collect()
     longest = facts.norm or 0.0
-    base = np.array([x.v for x in chosen]).reshape(-1, dims)
-    base = np.concatenate([base, np.sqrt(np.maximum(longest**2 - np.array([x.norm for x in chosen]) ** 2, 0)).reshape(-1, 1)], 1) if len(chosen) else np.zeros((0, 1))
+    base = np.zeros((0, 1))
+    if chosen:
+        extra = np.sqrt(np.maximum(longest**2 - np.array([x.norm for x in chosen]) ** 2, 0))
+        base = np.column_stack([np.array([x.v for x in chosen]), extra])
 
     asked = rows.where(F.col("id") % every == 0).distinct().join(entries.select("v", "entry"), "v").select(F.col("id").alias("query_id"), "entry")
     asked = cut(asked)
     queries = entries.join(asked.select("entry").distinct(), "entry", "left_semi").select("entry", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = "block int, query boolean, entry long, norm double, v array<double>"
     dealt = entries.select(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "entry", "norm", "v")
     stream = dealt.unionByName(queries.select("block", F.lit(True).alias("query"), "entry", F.lit(0.0).alias("norm"), "v")).repartition(blocks, "block").sortWithinPartitions("block", "query")
 
@@ -136,7 +137,6 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20, pivots: int = 256
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["asked", "entry", "score"])
 
-    del kind
     met = stream.mapInArrow(run, "asked long, entry long, score double")
     best = W.partitionBy("asked").orderBy(F.desc("score"), "entry")
     met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(entries.select("entry", "ids"), "entry")
