@@ -54,25 +54,26 @@ def text_features(text: str | None) -> tuple:
     return len(words), len(joined.decode("utf-8")), len(joined) - len(joined.translate(None, SYMBOLS)), dup, repeated_words(words), list(lines), list(lines.values())
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """A row for each of docs, with a row number of its own, host, base figures and line hashes."""
+def features(docs: DataFrame, carried: str | None = None) -> DataFrame:
+    """A row for each of docs, with a row number of its own, host, base figures and line hashes; carried names a column of longs that stays."""
     bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("row", pa.int64()), *[(n, pa.int64()) for n in names], ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
+    kept = [carried] if carried else []
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("row", pa.int64()), *[(c, pa.int64()) for c in kept], *[(n, pa.int64()) for n in names], ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [text_features(t.as_py()) for t in b.column("text")]
             cols = list(zip(*made, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("host"), b.column("row"), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3:], strict=True)]], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "host", "row", *kept)], *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3 + len(kept) :], strict=True)]], schema=schema)
 
-    sql = "doc_id long, host string, row long, " + ", ".join(f"{n} long" for n in names) + ", lines array<long>, line_words array<long>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    sql = "doc_id long, host string, row long, " + ", ".join(f"{n} long" for n in [*kept, *names]) + ", lines array<long>, line_words array<long>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.monotonically_increasing_id().alias("row"), *kept, F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, sql)
 
 
-def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int = 20, keep_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, kept for every row of docs.
+def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int = 20, keep_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, carried: str | None = None) -> DataFrame:
+    """doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, kept for every row of docs, with the column `carried` names.
 
     A line is its words, in lower case and joined by one space, hashed. For each host and line the distinct documents
     are counted, and the distinct classes of length among them: copies and near copies of one document, however many,
@@ -83,7 +84,7 @@ def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int = 20, keep_share
     A null text is an empty one, a null source the host "". Repeated rows are judged alike, one for each row. An empty
     table gives an empty result; other columns are ignored.
     """
-    known = cut(features(docs))
+    known = cut(features(docs, carried))
     length = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(math.log(STEP))).cast("int")
     lines = known.select("row", "host", length.alias("class"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", "class", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     per = lines.groupBy("host", "line", "class").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_lengths"))
