@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut, shuffle_width
+from quillwork.llm._common import cut
 
-#: Vectors of one index block at most, and pairs of query and block answered between two results.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 512
+#: Vectors of one index block, about, and queries answered between two results. Each block answers each query with k rows.
+BLOCK_ROWS, QUERY_ROWS = 4096, 512
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -78,21 +78,20 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20, pivots: int = 256
     """(query_id, rank, vec_id, score): for each id divisible by every, the k vectors of largest inner product that the index finds.
 
     Equal vectors are one entry of the index, which holds the k + 1 least ids of each: no further id of an entry can be
-    among anyone's k nearest, as ties go to the smaller id. Entries are dealt by hash into blocks of at most BLOCK_ROWS;
+    among anyone's k nearest, as ties go to the smaller id. Entries are dealt by hash into blocks of about BLOCK_ROWS;
     every query visits every block, whose share of candidates (at least `least`) is reranked with full vectors. Pivots
     are the vectors of the first `pivots` ids by hash: a bounded sample, the one thing that the driver holds. Shorter
     vectors get a further coordinate that makes all norms equal, which turns the largest inner product into the nearest
     direction. Vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no
     part, nor do null ids; repeated ids are entries like others. An empty table gives an empty result.
     """
-    spark = table.sparkSession
     rows, dims = usable(table, key, vector)
     first = W.partitionBy("v").orderBy("id")
     entries = rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     entries = cut(entries.withColumn("entry", F.element_at("ids", 1)).withColumn("norm", norm))
     facts = entries.agg(F.max("norm").alias("norm"), F.count("*").alias("n")).first()
-    blocks = max(shuffle_width(spark), -(-facts.n // BLOCK_ROWS))
+    blocks = max(1, -(-facts.n // BLOCK_ROWS))
     chosen = entries.orderBy(F.xxhash64("entry"), "entry").limit(pivots).select("v", "norm").collect()
     longest = facts.norm or 0.0
     base = np.zeros((0, 1))
