@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import WORD, cut, ranged, running
+from quillwork.llm._common import WORD, checked, cut, ranged, running
 
 #: Rates are rounded from multiples of 2^-20, so that sums of them are exact in any order.
 UNIT = 1 << 20
@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int =
     return free.select("skey", "source_size", F.when(F.col("final").isNull() | (F.struct("level", "skey") < F.struct("final.level", "final.skey")), F.col("most")).otherwise(F.col("final.share") * F.col("weight")).alias("target"))
 
 
-def tilts(counts: DataFrame, goals: DataFrame, limit: int = 3, tolerance: float = 1e-10, steps: int = 60) -> DataFrame:
+def tilts(counts: DataFrame, goals: DataFrame, n_sources: int, limit: int = 3, tolerance: float = 1e-10, steps: int = 60) -> DataFrame:
     """(skey, tilt, scale): the dual variable of each source; null where every rate is the limit.
 
     counts has (skey, size, n), goals (skey, source_size, target). A Newton step that leaves the bracket known so far
@@ -62,7 +62,7 @@ def tilts(counts: DataFrame, goals: DataFrame, limit: int = 3, tolerance: float
         z = F.col("size") / F.col("scale")
         rate = F.exp(F.least(F.col("tilt") * z, F.lit(700.0)))
         mass = F.col("n") * F.col("size").cast("double")
-        seen = counts.join(state.where("tilt is not null").select("skey", "tilt", "scale"), "skey").groupBy("skey").agg(F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("have"), F.sum(F.when(rate < limit, mass * z * rate).otherwise(0.0)).alias("slope"))
+        seen = counts.join(checked(state.where("tilt is not null").select("skey", "tilt", "scale"), n_sources), "skey").groupBy("skey").agg(F.sum(mass * F.least(rate, F.lit(float(limit)))).alias("have"), F.sum(F.when(rate < limit, mass * z * rate).otherwise(0.0)).alias("slope"))
         joined = state.join(seen, "skey", "left").withColumn("gap", F.col("have") - F.col("target"))
         joined = joined.withColumn("low", F.when(F.col("gap") < 0, F.greatest("low", "tilt")).otherwise(F.col("low"))).withColumn("high", F.when(F.col("gap") > 0, F.least("high", "tilt")).otherwise(F.col("high")))
         newton = F.when(F.col("slope") > 0, F.col("tilt") - F.col("gap") / F.col("slope"))
@@ -76,8 +76,8 @@ def tilts(counts: DataFrame, goals: DataFrame, limit: int = 3, tolerance: float
     return state.select("skey", F.when(F.abs("tilt") < 1e-9, F.lit(0.0)).otherwise(F.round(F.col("tilt") * digits) / digits).alias("tilt"), F.round("scale", 6).alias("scale"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, passes: int = 3) -> DataFrame:
-    """(row columns of docs kept aside) doc_id, source, size, source_size, target, copies for every row of docs.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, passes: int = 3, carried: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of docs, with the column `carried` names.
 
     Copies come from systematic rounding: within a source, by size from large to small, a row gets as many copies as
     the running sum of rates passes half-integers, so a source's taken words miss its target by one row's size at most.
@@ -86,18 +86,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, p
     source of its own, last in order. Rows alike in source, size and doc_id may trade copies among themselves only. An
     empty table gives an empty result; other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _skey().alias("skey"), word_count(F.col("text").cast("string")).alias("size"))
+    kept = [carried] if carried else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *kept, _skey().alias("skey"), word_count(F.col("text").cast("string")).alias("size"))
     base = cut(base)
     counts = cut(base.groupBy("skey", "size").agg(F.count("*").alias("n")))
     goals = cut(targets(counts.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, limit))
-    solved = goals.join(tilts(counts, goals, limit), "skey")
-    rated = base.join(solved, "skey").withColumn(
+    n_sources = goals.count()
+    solved = cut(goals.join(tilts(counts, goals, n_sources, limit), "skey"))
+    rated = base.join(checked(solved, n_sources), "skey").withColumn(
         "rate",
         F.when((F.col("size") == 0) | (F.col("source_size") == 0), F.lit(1.0))
         .when(F.col("tilt").isNull(), F.lit(float(limit)))
         .otherwise(F.least(F.lit(float(limit)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0))))),
     )
-    rated = rated.select("doc_id", "source", "skey", "size", "source_size", "target", F.round(F.col("rate") * UNIT).cast("long").alias("rate"), (-F.col("size")).alias("_large"), F.xxhash64("doc_id").alias("_mixed"))
+    rated = rated.select("doc_id", "source", "skey", *kept, "size", "source_size", "target", F.round(F.col("rate") * UNIT).cast("long").alias("rate"), (-F.col("size")).alias("_large"), F.xxhash64("doc_id").alias("_mixed"))
     order = ["_large", "_mixed", "doc_id"]
     rows = ranged(rated, "skey", *order)
     rounded = running(rows, ["skey"], order, {"before": "rate"})
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, p
     for _ in range(passes):
         missing = rows.groupBy("skey").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("missing"))
         fits = F.expr(f"size > 0 and size <= abs(missing) and ((missing > 0 and copies < {limit}) or (missing < 0 and copies > 0))")
-        marked = rows.join(missing, "skey").withColumn("fit", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
+        marked = rows.join(checked(missing, n_sources), "skey").withColumn("fit", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
         summed = running(marked, ["skey"], order, {"used": "fit"})
         rows = cut(summed.withColumn("copies", F.col("copies") + F.expr("case when fit > 0 and used + fit <= abs(missing) then sign(missing) else 0 end").cast("long")).drop("missing", "fit", "used"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return rows.select("doc_id", "source", *kept, "size", "source_size", "target", "copies")
