@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from quillwork.llm._common import WORD, bounded_batches, cut, shuffle_width
 
-#: Words whose phrases a task sorts and packs together, and bytes of text for each block of the index.
-CHUNK_WORDS, BLOCK_BYTES = 2_000_000, 16 << 20
+#: Words whose phrases a task sorts and packs together, and bytes of text for each block of the index: about 100 bytes of
+#: a worker's memory for each word. With more memory and a larger corpus both should grow, as the parts of the index
+#: that a task makes, one for each block, are best when they hold hundreds of phrases.
+CHUNK_WORDS, BLOCK_BYTES = 1_000_000, 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
 
