@@ -87,8 +87,8 @@ def plan(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int =
     return made
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row, ids) for every piece; row numbers the rows of docs.
+def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row, ids) for every piece; row numbers the rows of docs, ids may be left out.
 
     path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. A null or
     empty text has the end id only. Every row is a document of its own, also where doc_ids repeat or are null; the
@@ -98,21 +98,25 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
     dtype = encoder(path).dtype.str
     pieces = plan(known.select("row", "n"), tiers, step_tokens)
     names = ["start", "length", "sequence_id", "offset", "tier", "step_group"]
+    with_ids = ids
+    out_names = ["doc_id", *names, "ids_crc32", "doc_tokens", "row", *(["ids"] if ids else [])]
     of_row = pieces.groupBy("row").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in names])).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, n, ids, own, row in zip(*[b.column(k) for k in range(5)], strict=True):
-                raw = id_array(ids.as_py(), dtype)
-                own = sorted(own.as_py(), key=lambda p: p["start"])
-                crc = [zlib.crc32(raw[p["start"] : p["start"] + p["length"]].tobytes()) for p in own]
-                parts = [raw[p["start"] : p["start"] + p["length"]].astype(np.int32) for p in own]
-                m = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * m, pa.int64()), *[pa.array([p[c] for p in own], pa.int64()) for c in names], pa.array(crc, pa.int64()), pa.array([n.as_py()] * m, pa.int64()), pa.array([row.as_py()] * m, pa.int64()), pa.array(parts, pa.list_(pa.int32()))],
-                    names=["doc_id", *names, "ids_crc32", "doc_tokens", "row", "ids"],
-                )
+            pieces = b.column(3)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(pieces.offsets)))
+            fields = {c: np.asarray(pieces.flatten().field(c)) for c in names}
+            order = np.lexsort((fields["start"], doc))
+            doc, fields = doc[order], {c: v[order] for c, v in fields.items()}
+            raw = [id_array(x, dtype) for x in b.column(2).to_pylist()]
+            parts = [raw[d][s : s + n] for d, s, n in zip(doc.tolist(), fields["start"].tolist(), fields["length"].tolist(), strict=True)]
+            at = pa.array(doc)
+            cols = [b.column(0).take(at), *[pa.array(v) for v in fields.values()], pa.array([zlib.crc32(x) for x in parts], pa.int64()), b.column(1).take(at), b.column(4).take(at)]
+            if with_ids:
+                cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts or [np.zeros(0)]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
     joined = known.join(of_row, "row").select("doc_id", "n", "ids", "pieces", "row")
-    out = joined.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", ids_crc32 long, doc_tokens long, row long, ids array<int>")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("tier").cast("int").alias("tier"), "step_group", "row", "ids")
+    out = joined.mapInArrow(run, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in out_names))
+    return out.withColumn("tier", F.col("tier").cast("int")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "row", *(["ids"] if ids else []))

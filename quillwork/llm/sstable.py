@@ -196,11 +196,6 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     limits = np.unique(np.array(limits, np.int64))
     item = encoder(path).dtype
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = np.array([-(1 << 63) if d is None else d for d in b.column("doc_id").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(limits, known), pa.int32()), *[b.column(c) for c in ("doc_id", "n", "ids")]], names=["shard", "doc_id", "n", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         now = temp = out = sink = None
@@ -228,8 +223,7 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "file", "docs", "ids"])
 
-    kind = "shard int, doc_id long, n long, ids binary"
-    dealt = encoded(docs, path, end_id).mapInArrow(placed, kind).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
+    dealt = encoded(docs, path, end_id, limits).select("shard", "doc_id", "n", "ids").repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
     return cut(dealt.mapInArrow(write, "shard int, file string, docs long, ids long"))
 
 

@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 from quillwork.llm._common import bounded_batches
 
 #: A worker keeps the ids of at most so many units, and of so many characters of them.
-KEPT_UNITS, KEPT_CHARS = 500_000, 16_000_000
+KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
+#: Units given to the library in one text, parted by a special token; such texts in one call; characters cut at once.
+JOINED, CALLED, CUT_CHARS = 2000, 8, 2_000_000
+MARKS = ".,;:!?"
+#: Letters that the libraries' rules never part, also in lower case: so not U+0130.
+WORD = re.compile("[ \n]?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
 #: White space other than space and line feed, in the widest sense of either library.
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
 class Encoder:
-    """ids(text) for one tokenizer file.
+    """ids(texts) for one tokenizer file.
 
-    Where the file's rules never join what a space or line feed separates, a text is cut there and each distinct unit
+    Where the file's rules never join what a space or line feed separates, texts are cut there and each distinct unit
     is given to the library once: a byte-level rule keeps white space with the word that follows, a rule that drops
     white space needs none of it. Any other file, and a text for which the cut isn't safe, is encoded whole.
     """
@@ -41,33 +46,131 @@ class Encoder:
         pre = rules.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [{}])[0]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not rules.get("normalizer") and not rules.get("post_processor"):
-            self.units = re.compile("[ \n]*[^ \n]+|[ \n]+")
-            self.unsafe = OTHER_SPACE
+            self.units, self.unsafe, self.leads = re.compile("[ \n]*[^ \n]+|[ \n]+"), OTHER_SPACE, True
         elif first.get("type") == "Split" and first.get("behavior") == "Removed" and "\\s" in str(rules.get("normalizer")) and not rules.get("post_processor"):
-            self.units, self.unsafe = re.compile("[^ \n]+"), None
+            self.units, self.unsafe, self.leads = re.compile("[^ \n]+"), None, False
         else:
-            self.units, self.unsafe = None, None
-        self.kept: dict[str, bytes] = {}
+            self.units, self.unsafe, self.leads = None, None, False
+        own = [t for t in rules.get("added_tokens", []) if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.special = [t["content"] for t in rules.get("added_tokens", [])]
+        self.lowers = "'Lowercase'" in str(rules.get("normalizer"))
+        # Words given to the library side by side are told apart by their ids: the first of each starts with white
+        # space, or the last of each carries the mark for the end of a word.
+        suffix = rules["model"].get("end_of_word_suffix")
+        self.first = self.last = None
+        vocabulary = rules["model"].get("vocab")
+        if self.units is not None and isinstance(vocabulary, dict):
+            flags = np.zeros(max(vocabulary.values()) + 1, bool)
+            if self.leads:
+                flags[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
+                self.first = flags
+            elif suffix:
+                flags[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+                self.last = flags
+        self.part = own[-1] if own else None
+        self.kept: dict[str, bytes] = {"": b""}
         self.chars = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text, as little-endian integers of dtype."""
-        if not text:
-            return b""
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each unit. Many go to the library as one text, parted by a special token, whose id parts the ids."""
+        if self.part is None:
+            return dict(zip(units, self._whole(units), strict=True))
+        done: dict[str, bytes] = {}
+        if self.first is not None:
+            side = [u for u in units if u[0] in " \n" and WORD.fullmatch(u)]
+        elif self.last is not None:
+            side = [u for u in units if WORD.fullmatch(u)]
+        else:
+            side = []
+        for i in range(0, len(side), JOINED * CALLED):
+            run = side[i : i + JOINED * CALLED]
+            (e,) = self.tokenizer.encode_batch_fast([("" if self.leads else " ").join(run)], add_special_tokens=False)
+            ids = np.array(e.ids, self.dtype)
+            if self.first is not None:
+                edges = [*np.flatnonzero(self.first[ids]).tolist(), len(ids)]
+            else:
+                edges = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
+            if len(edges) != len(run) + 1:  # not a rule that the flags describe
+                self.first = self.last = None
+                break
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            done.update(zip(run, (raw[s * width : e * width] for s, e in zip(edges, edges[1:], strict=False)), strict=True))
+        rest = [u for u in units if u not in done]
+        if any(t in "\0".join(rest) for t in self.special):
+            odd = [u for u in rest if any(t in u for t in self.special)]
+            done.update(zip(odd, self._whole(odd), strict=True))
+            rest = [u for u in rest if u not in done]
+        runs = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
+        width = self.dtype.itemsize
+        for i in range(0, len(runs), CALLED):
+            called = runs[i : i + CALLED]
+            self.tokenizer.encode_special_tokens = False
+            answers = self.tokenizer.encode_batch_fast([self.part["content"].join(r) for r in called], add_special_tokens=False)
+            self.tokenizer.encode_special_tokens = True
+            for run, e in zip(called, answers, strict=True):
+                ids = np.array(e.ids, self.dtype)
+                at = np.flatnonzero(ids == self.part["id"])
+                raw, starts, ends = ids.tobytes(), [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(ids) * width]
+                done.update(zip(run, (raw[s:e] for s, e in zip(starts, ends, strict=True)), strict=True))
+        return done
+
+    def _learn(self, missing: set[str]) -> None:
+        # A word and the mark that ends it are parted by the library, so each of the two is encoded once; so is a word
+        # in whatever case, if the library lowers it.
+        match, words, of = WORD.fullmatch, set(MARKS), {}
+        for u in missing:
+            mark = u[-1] if u[-1] in MARKS else ""
+            if match(u, 0, len(u) - len(mark)):
+                w = u[:-1] if mark else u
+                if self.lowers:
+                    w = w.lower()
+                words.add(w)
+                of[u] = w, mark
+            else:
+                words.add(u)
+        kept = self.kept
+        kept.update(self._each(list(words - kept.keys())))
+        kept.update({u: kept[w] + kept[mark] if mark else kept[w] for u, (w, mark) in of.items()})
+        self.chars += sum(map(len, missing))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The units of a text; None if it must be encoded whole."""
         if self.units is None or self.unsafe is not None and self.unsafe.search(text):
-            return self._whole([text])[0]
-        units = self.units.findall(text)
-        new = [u for u in set(units) if u not in self.kept]
-        if new:
-            if len(self.kept) > KEPT_UNITS or self.chars > KEPT_CHARS:
-                self.kept, self.chars = {}, 0
-                new = list(set(units))
-            self.kept.update(zip(new, self._whole(new), strict=True))
-            self.chars += sum(map(len, new))
-        return b"".join(map(self.kept.__getitem__, units))
+            return None
+        if not self.leads:
+            return text.replace("\n", " ").split(" ")  # between two separators lies the empty unit, of no ids
+        if "  " in text or " \n" in text or "\n\n" in text or "\n " in text or text[:1] in " \n":
+            return self.units.findall(text)
+        # Every separator is one character: a space leads its word, a line feed too.
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else self.units.findall(text)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian integers of dtype."""
+        out, at = [], 0
+        while at < len(texts):
+            end = at + 1
+            chars = len(texts[at])
+            while end < len(texts) and chars + len(texts[end]) <= CUT_CHARS:
+                chars += len(texts[end])
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        if len(self.kept) > KEPT_UNITS or self.chars > KEPT_CHARS:
+            self.kept, self.chars = {"": b""}, 0
+        got = [list(map(self.kept.get, c)) if c else [] for c in cut]
+        gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
+        self._learn({c[i] for c, gap in zip(cut, gaps, strict=True) for i in gap})
+        for c, g, gap in zip(cut, got, gaps, strict=True):
+            for i in gap:
+                g[i] = self.kept[c[i]]
+        return [self._whole([t])[0] if c is None else b"".join(g) for t, c, g in zip(texts, cut, got, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -80,24 +183,29 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed. A null text is empty."""
+def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None = None) -> DataFrame:
+    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed. A null text is empty.
+
+    With limits, ascending doc_ids, also shard: how many of them are below the row's doc_id (none below a null one).
+    """
     bounded_batches(docs.sparkSession)
+    names = ["row", "doc_id", "n", "ids", *(["shard"] if limits is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            n, ids = [], []
-            for t in b.column(2):
-                raw = own.ids(t.as_py() or "") + end
-                n.append(len(raw) // own.dtype.itemsize)
-                ids.append(pack.compress(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "n", "ids"])
+            raw = [x + end for x in own.ids([t or "" for t in b.column(2).to_pylist()])]
+            n, ids = [len(x) // own.dtype.itemsize for x in raw], [pack.compress(x) for x in raw]
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
+            if limits is not None:
+                known = np.array([-(1 << 63) if d is None else d for d in b.column(1).to_pylist()], np.int64)
+                cols.append(pa.array(np.searchsorted(limits, known), pa.int32()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary" + (", shard int" if limits is not None else ""))
 
 
 def id_array(ids: bytes, dtype: str) -> np.ndarray:
