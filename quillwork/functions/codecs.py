@@ -1,6 +1,6 @@
 """Stream decoders of page-description files, as plain functions and as one Arrow function over columns.
 
-decode() applies a chain of filters. Filters whose pixels are not decoded here (JPEG, JPEG 2000, arithmetic-coded bilevel
+decode() applies a chain of filters. Filters whose pixels are not decoded here (JPEG, JPEG 2000, fax and other bilevel
 images) pass their bytes through, and the column function says so in its status.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 # The short names that filters may have.
 SHORT = {"A85": "ASCII85Decode", "AHx": "ASCIIHexDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode", "Fl": "FlateDecode", "LZW": "LZWDecode", "RL": "RunLengthDecode"}
-PASSED = {"DCTDecode", "JPXDecode", "JBIG2Decode", "Crypt"}
+PASSED = {"DCTDecode", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode", "Crypt"}
 
 
 class FilterError(ValueError):
@@ -161,10 +161,6 @@ def decode(data: bytes, filters: list[str], parms: list[dict | None] | None = No
             data = ascii_85(data)
         elif name == "RunLengthDecode":
             data = run_length(data)
-        elif name == "CCITTFaxDecode":
-            from quillwork.functions.fax import decode as fax
-
-            data = fax(data, own)
         elif name not in PASSED:
             raise FilterError(f"no filter {name}")
     return data

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import codecs, geometry, text
 from quillwork.operators import document, layout, spatial, tables
 from quillwork.plans import typeset
+from quillwork.sources import pdf, pdf_writer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,3 +566,23 @@ def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.unhex(F.md5(F.col("doc_id").cast("string")))
     rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("k"), F.encode(F.substring("text", 1, 200), "UTF-8").alias("raw"))
     return rows.select("doc_id", F.decode(F.aes_decrypt(F.aes_encrypt("raw", "k", F.lit("CBC"), F.lit("PKCS")), "k", F.lit("CBC"), F.lit("PKCS")), "UTF-8").alias("t"))
+
+
+def _pdf_roundtrip(variant: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = pdf.parse(pdf_writer.write(body(spark, sf_dir), variant))
+        return pdf.lines(pdf.words(pdf.glyphs(made))).select("doc_id", "page_no", F.round("y0", 3).alias("top"), "text", F.round("x0", 3).alias("x0"), F.round("font_size", 3).alias("font_size"), "is_bold")
+
+    run.__name__ = "pdf_roundtrip" if variant == "plain" else f"pdf_roundtrip_{variant}"
+    # The glyphs' upper edge is 0.8 of the size above the baseline, which is ten points below the line's top.
+    query("+ o AS (SELECT doc_id, page_no, round(y0 + 10 - 0.8 * font_size, 3) AS top, text, x0, font_size, is_bold FROM fx_lines) SELECT * FROM o", fixture=True)(run)
+
+
+for _v in pdf_writer.VARIANTS:
+    _pdf_roundtrip(_v)
+
+
+@query("SELECT doc_id, 'Document ' || doc_id AS title FROM documents WHERE len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) > 0")
+def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pdf.parse(pdf_writer.write(body(spark, sf_dir).where("page_no = 1"), "rc4"))
+    return made.where("page_no = 1").select("doc_id", F.element_at("meta", "Title").alias("title"))
