@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import codecs, geometry, text
 from quillwork.operators import document, layout, spatial, tables
-from quillwork.plans import typeset
+from quillwork.plans import emit, typeset
 from quillwork.sources import pdf, pdf_writer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -586,3 +586,61 @@ for _v in pdf_writer.VARIANTS:
 def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pdf.parse(pdf_writer.write(body(spark, sf_dir).where("page_no = 1"), "rc4"))
     return made.where("page_no = 1").select("doc_id", F.element_at("meta", "Title").alias("title"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.list_groups(items(spark, sf_dir))
+
+
+MD = LISTS + r"""
+, md_b AS (SELECT doc_id, page_no, para_no, CASE WHEN trim(text) = '' THEN '' WHEN heading_level IS NOT NULL THEN repeat('#', heading_level) || ' ' || trim(text)
+  WHEN list_marker IS NOT NULL THEN repeat('  ', lv) || CASE WHEN list_marker ~ '^.*[.)]$' THEN CASE WHEN regexp_matches(ltrim(rtrim(list_marker, '.)'), '('), '^\d+$') THEN ltrim(rtrim(list_marker, '.)'), '(') || '.' ELSE list_marker END ELSE '-' END || ' ' || trim(text) ELSE trim(text) END AS b FROM lists),
+md_p AS (SELECT doc_id, page_no, string_agg(b, chr(10) || chr(10) ORDER BY para_no) AS p FROM md_b WHERE b <> '' GROUP BY ALL)
+"""
+
+
+@query(f"+ {MD} SELECT doc_id, page_no, para_no, b AS content FROM md_b", fixture=True)
+def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(spark, sf_dir).select("doc_id", "page_no", "para_no", emit.markdown_block().alias("content"))
+
+
+@query(f"+ {MD} SELECT doc_id, string_agg(p, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_no) AS content FROM md_p GROUP BY ALL", fixture=True)
+def md_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit.markdown(blocks(spark, sf_dir))
+
+
+@query("+ g AS (SELECT doc_id, page_no, CAST(floor(y0 / 12) AS INTEGER) AS row, rtrim(left(repeat(' ', CAST(floor(x0 / 6) AS BIGINT)) || text, 102)) AS content FROM fx_lines) SELECT * FROM g", fixture=True)
+def canvas_grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit.canvas_rows(body(spark, sf_dir))
+
+
+@query("+ t AS (SELECT doc_id, page_no, seq, '<text x=\"' || CAST(CAST(x0 AS INTEGER) AS VARCHAR) || '\" y=\"' || CAST(CAST(y0 + 10 + (page_no - 1) * 812 AS INTEGER) AS VARCHAR) || '\" font-size=\"' || CAST(CAST(font_size AS INTEGER) AS VARCHAR) || CASE WHEN is_bold THEN '\" font-weight=\"bold' ELSE '' END || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</text>' AS t FROM fx_lines) SELECT doc_id, '<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"612\" height=\"' || (max(page_no) * 812 - 20) || '\" viewBox=\"0 0 612 ' || (max(page_no) * 812 - 20) || '\">' || chr(10) || string_agg(t, chr(10) ORDER BY page_no, seq) || chr(10) || '</svg>' || chr(10) AS content FROM t GROUP BY doc_id", fixture=True)
+def svg_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit.svg(body(spark, sf_dir))
+
+
+def _emitted(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return emit.documents(blocks(spark, sf_dir), body(spark, sf_dir), name)
+
+    run.__name__ = f"emit_{name}"
+    query()(run)
+
+
+for _n in ("html", "latex", "typst", "rtf"):
+    _emitted(_n)
+
+
+def _packaged(name: str) -> None:
+    from quillwork.sources import packages
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = packages.read(packages.write(blocks(spark, sf_dir), name))
+        return parts.select("doc_id", "part_no", "part_name", "is_stored", F.length("content").alias("n_bytes"))
+
+    run.__name__ = f"zip_parts_{name}"
+    query()(run)
+
+
+for _n in ("epub", "docx", "pptx", "odt", "odp"):
+    _packaged(_n)
