@@ -235,7 +235,7 @@ def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, shingles array<long>")
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 6, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 10, bits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups of documents whose sets of word shingles are alike to the Jaccard similarity or more: (sketches, groups).
 
     sketches has doc_id and digest for every row of docs, groups has digest and root for each different text; texts of a
