@@ -52,8 +52,10 @@ def escape_latex_url(url: Column) -> Column:
 
 def escape_typst(text: Column) -> Column:
     clean = F.regexp_replace(text, "[\u0001-\u0008\u000b-\u001f\u007f]", "")
-    marked = F.regexp_replace(F.regexp_replace(clean, f"([{TYPST_MARKUP}])", r"\\$1"), r"/(?=[/*])", r"\\/")
-    return replace_all(marked, {"\n": " \\\n", "\t": "  "})
+    # A slash that would open a comment is set aside while the other characters get their backslashes.
+    aside = F.regexp_replace(clean, r"/(?=[/*])", chr(0xE000))
+    marked = F.regexp_replace(aside, f"([{TYPST_MARKUP}])", r"\\$1")
+    return replace_all(marked, {chr(0xE000): "\\/", "\n": " \\\n", "\t": "  "})
 
 
 def escape_typst_string(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,7 +72,23 @@ def violations(blocks: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     return blocks.withColumn("violations", F.filter(F.array(*[F.when(~F.coalesce(F.expr(sql), F.lit(True)), F.lit(name)) for name, sql in rules.items()]), lambda x: x.isNotNull()))
 
 
-def metadata_words(raw: F.Column) -> F.Column:
+def metadata_words(raw: Column) -> Column:
     """Keywords parted by commas or semicolons, the first spelling of each, in order."""
     parts = F.filter(F.transform(F.split(raw, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(parts, lambda x, i: F.array_position(F.transform(parts, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+
+
+# The names that entries of a file's information have in the result.
+CANONICAL = {"title": "title", "author": "author", "subject": "description", "description": "description", "keywords": "keywords", "creationdate": "date", "date": "date", "moddate": "lastmod", "lastmod": "lastmod", "creator": "creator", "producer": "producer"}
+
+
+def metadata(raw: Column) -> Column:
+    """A map of a file's information with plain keys: known ones by their canonical names, others in lower case; dates in ISO 8601; nothing empty. Of entries with one name the first stays."""
+    from quillwork.functions.text import pdf_date
+
+    known = F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv])
+    key = lambda k: F.lower(F.trim(F.regexp_replace(k, "^/+", "")))
+    named = F.transform(F.map_entries(raw), lambda e: F.struct(F.coalesce(F.element_at(known, key(e["key"])), F.regexp_replace(key(e["key"]), "[^a-z0-9_-]+", "_")).alias("key"), F.trim(F.replace(e["value"], F.lit("\u0000"), F.lit(""))).alias("value")))
+    full = F.filter(named, lambda e: (e["key"] != "") & e["value"].isNotNull() & (e["value"] != ""))
+    first = F.filter(full, lambda e, i: F.array_position(F.transform(full, lambda x: x["key"]), e["key"]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"].isin("date", "lastmod"), pdf_date(e["value"])).otherwise(e["value"]).alias("value"))))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.functions import codecs, geometry, text
-from quillwork.operators import document, layout, spatial, tables
+from quillwork.functions import codecs, geometry, images, text
+from quillwork.operators import document, fonts, layout, spatial, tables
 from quillwork.plans import emit, typeset
 from quillwork.sources import pdf, pdf_writer
 
@@ -609,7 +609,7 @@ def md_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit.markdown(blocks(spark, sf_dir))
 
 
-@query("+ g AS (SELECT doc_id, page_no, CAST(floor(y0 / 12) AS INTEGER) AS row, rtrim(left(repeat(' ', CAST(floor(x0 / 6) AS BIGINT)) || text, 102)) AS content FROM fx_lines) SELECT * FROM g", fixture=True)
+@query("+ g AS (SELECT doc_id, page_no, CAST(round_even(y0 / 12, 0) AS INTEGER) AS row, rtrim(left(repeat(' ', CAST(round_even(x0 / 6, 0) AS BIGINT)) || text, 102)) AS content FROM fx_lines) SELECT * FROM g", fixture=True)
 def canvas_grid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit.canvas_rows(body(spark, sf_dir))
 
@@ -644,3 +644,68 @@ def _packaged(name: str) -> None:
 
 for _n in ("epub", "docx", "pptx", "odt", "odp"):
     _packaged(_n)
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation as table cells: a header, then name, balance and segment."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.withColumn("row", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")))
+    body_ = rows.select(F.col("c_nationkey").alias("table_id"), "row", F.posexplode(F.array("c_name", F.col("c_custkey").cast("string"), F.concat("c_mktsegment", F.lit("|x")))).alias("col", "text"))
+    head = c.select("c_nationkey").distinct().select(F.col("c_nationkey").alias("table_id"), F.lit(0).alias("row"), F.posexplode(F.array(F.lit("name"), F.lit("key"), F.lit("segment"))).alias("col", "text"))
+    return head.unionByName(body_)
+
+
+CELLS = """WITH cr AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row FROM customer),
+ce AS (SELECT c_nationkey AS table_id, CAST(row AS INTEGER) AS row, unnest([0, 1, 2]) AS col, unnest([c_name, c_custkey::VARCHAR, c_mktsegment || '|x']) AS text FROM cr
+ UNION ALL SELECT DISTINCT c_nationkey, 0, unnest([0, 1, 2]), unnest(['name', 'key', 'segment']) FROM customer),
+al AS (SELECT table_id, col, CASE WHEN count(*) FILTER (WHERE regexp_matches(trim(text), '^[$€£¥₽₹]?\\s*-?\\d{1,3}(,\\d{3})*(\\.\\d+)?\\s*%?$')) >= count(*) / 2.0 THEN 'right' ELSE 'left' END AS alignment, CAST(greatest(3, max(length(replace(text, '|', '\\|')))) AS INTEGER) AS width FROM ce GROUP BY ALL)
+"""
+
+
+@query(CELLS + "SELECT table_id, col, alignment, width FROM al")
+def gfm_alignment_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit.column_alignments(order_cells(spark, sf_dir), ["table_id"])
+
+
+@query(CELLS + ", tt AS (SELECT table_id, row, col, CASE WHEN alignment = 'right' THEN lpad(replace(text, '|', '\\|'), width, ' ') ELSE rpad(replace(text, '|', '\\|'), width, ' ') END AS t, CASE WHEN alignment = 'right' THEN repeat('-', width - 1) || ':' ELSE ':' || repeat('-', width - 1) END AS d FROM ce JOIN al USING (table_id, col)), rr AS (SELECT table_id, row * 2 AS o, '| ' || string_agg(t, ' | ' ORDER BY col) || ' |' AS x FROM tt GROUP BY table_id, row UNION ALL SELECT table_id, 1, '| ' || string_agg(d, ' | ' ORDER BY col) || ' |' FROM tt WHERE row = 0 GROUP BY table_id) SELECT table_id, string_agg(x, chr(10) ORDER BY o) AS content FROM rr GROUP BY ALL")
+def md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emit.pipe_tables(order_cells(spark, sf_dir), ["table_id"])
+
+
+@query("WITH b AS (SELECT s_suppkey AS doc_id, CAST(s_suppkey % 7 AS INTEGER) AS c0, CAST(s_suppkey % 7 + 3 AS INTEGER) AS c1, CAST(s_suppkey % 5 AS INTEGER) AS r0, CAST(s_suppkey % 5 + 2 AS INTEGER) AS r1 FROM supplier), b2 AS (SELECT * FROM b UNION ALL SELECT doc_id, c1, c1 + 3, r0, r1 FROM b), f AS (SELECT doc_id, unnest([r0, r1]) AS row, c0, c1, unnest([range(c0, c1 + 1), range(c0, c1 + 1)]) AS cs FROM b2), ff AS (SELECT doc_id, row, c0, c1, unnest(cs) AS col FROM f), t AS (SELECT doc_id, unnest([c0, c1]) AS col, r0, r1, unnest([range(r0, r1 + 1), range(r0, r1 + 1)]) AS rs FROM b2), tt AS (SELECT doc_id, col, r0, r1, unnest(rs) AS row FROM t), m AS (SELECT doc_id, row, col, CASE WHEN col < c1 THEN 2 ELSE 0 END + CASE WHEN col > c0 THEN 8 ELSE 0 END AS mask FROM ff UNION ALL SELECT doc_id, row, col, CASE WHEN row < r1 THEN 4 ELSE 0 END + CASE WHEN row > r0 THEN 1 ELSE 0 END FROM tt) SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(bit_or(mask) AS INTEGER) AS mask FROM m GROUP BY doc_id, row, col")
+def box_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    one = table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page_no"), (6.0 * (k % 7)).alias("x0"), (6.0 * (k % 7 + 3)).alias("x1"), (12.0 * (k % 5)).alias("y0"), (12.0 * (k % 5 + 2)).alias("y1"))
+    two = one.select("doc_id", "page_no", F.col("x1").alias("x0"), (F.col("x1") + 18.0).alias("x1"), "y0", "y1")
+    return emit.box_cells(one.unionByName(two)).select("doc_id", "row", "col", "mask")
+
+
+@query("SELECT doc_id, left(text, 50) AS t FROM documents WHERE length(text) >= 50 AND NOT regexp_matches(left(text, 50), '[^\x00-\xff]')")
+def cmap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 50").where(~F.substring("text", 1, 50).rlike("[^\u0001-\u00ff]"))
+    chars = docs.select("doc_id", (F.col("doc_id") % 3).alias("font_id"), F.posexplode(F.split(F.substring("text", 1, 50), "")).alias("i", "c")).where("c <> ''")
+    codes = chars.withColumn("code", F.when(F.ascii("c") < 128, F.ascii("c") + 1000 * F.col("font_id")).otherwise(F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("long")))
+    ranges = spark.range(3).select(F.col("id").alias("font_id"), (F.col("id") * 1000 + 1).alias("lo"), (F.col("id") * 1000 + 127).alias("hi"), F.lit(1).cast("long").alias("target"))
+    text_ = fonts.decoded(codes, F.broadcast(fonts.code_table(ranges)))
+    return text_.groupBy("doc_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(i, text))), x -> x.text), '')").alias("t"))
+
+
+@query("WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN -(l_quantity * 10 / 1000.0 * 12 * 0.5) ELSE ((500 + l_quantity) / 1000.0 * 12 + 0.25 + CASE WHEN l_linenumber % 4 = 0 THEN 1.5 ELSE 0 END) * 0.5 END AS step, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq FROM lineitem) SELECT l_orderkey, seq::INTEGER AS seq, round(coalesce(sum(step) OVER (PARTITION BY l_orderkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS x FROM s")
+def kerning_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    kern = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity") * 10)
+    shown = li.select("l_orderkey", "seq", kern.alias("kern"), (500 + F.col("l_quantity")).alias("width"), (F.col("l_linenumber") % 4 == 0).alias("is_space"), F.lit(12.0).alias("size"), F.lit(0.25).alias("spacing"), F.lit(1.5).alias("word_spacing"), F.lit(0.5).alias("scale"))
+    return fonts.placed(shown, ["l_orderkey"]).select("l_orderkey", "seq", F.round("x", 6).alias("x"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 40 + 1 AS INTEGER) AS width, CAST(p_size AS INTEGER) AS height, 'png' AS format, 1::INTEGER AS channels, 8::INTEGER AS depth FROM part")
+def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "part").select("p_partkey", images.gray_png_column((F.col("p_partkey") % 40 + 1).cast("int"), "p_size", F.lit(7)).alias("png"))
+    return made.select("p_partkey", images.image_info_column("png").alias("i")).select("p_partkey", "i.width", "i.height", "i.format", "i.channels", "i.depth")
+
+
+@query("SELECT o_orderkey, 'date=' || strftime(o_orderdate, '%Y-%m-%d') || '|lang=' || o_orderpriority || '|title=Order ' || o_orderkey AS meta FROM orders")
+def metadata_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.create_map(F.lit("/Title"), F.concat(F.lit(" Order "), F.col("o_orderkey").cast("string")), F.lit("CreationDate"), F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd")), F.lit("Lang"), F.col("o_orderpriority"), F.lit("Empty"), F.lit("  "))
+    entries = F.map_entries(document.metadata(raw))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("meta"))

@@ -121,7 +121,7 @@ def rtf(blocks: DataFrame) -> DataFrame:
 def canvas_rows(lines: DataFrame, width: float = 612.0, height: float = 792.0, cell: tuple[float, float] = (6.0, 12.0)) -> DataFrame:
     """(doc_id, page_no, row, content): lines on a grid of characters; where two meet, the later one shows."""
     cols, rows = int(width / cell[0]), int(height / cell[1])
-    at = lines.select(*PAGE, "seq", F.floor(F.col("y0") / cell[1]).cast("int").alias("row"), F.floor(F.col("x0") / cell[0]).cast("int").alias("_c"), F.posexplode(F.split("text", "")).alias("_i", "_ch")).withColumn("col", F.col("_c") + F.col("_i"))
+    at = lines.select(*PAGE, "seq", F.greatest(F.lit(0), F.rint(F.col("y0") / cell[1])).cast("int").alias("row"), F.greatest(F.lit(0), F.rint(F.col("x0") / cell[0])).cast("int").alias("_c"), F.posexplode(F.split("text", "")).alias("_i", "_ch")).withColumn("col", F.col("_c") + F.col("_i"))
     shown = at.where((F.col("_ch") != "") & F.col("col").between(0, cols - 1) & F.col("row").between(0, rows - 1)).groupBy(*PAGE, "row", "col").agg(F.max_by("_ch", "seq").alias("ch"))
     cells_ = shown.groupBy(*PAGE, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "ch"))).alias("_m"), F.max("col").alias("_last"))
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(F.element_at("_m", i), F.lit(" "))), "")
@@ -160,3 +160,43 @@ def documents(blocks: DataFrame, lines: DataFrame, name: str, mode: str = "flow"
     from quillwork.sources.packages import write
 
     return write(blocks, name)
+
+
+# The directions of a box's lines at a place, as bits, and the glyph for each set of them.
+NORTH, EAST, SOUTH, WEST = 1, 2, 4, 8
+BOX_GLYPHS = {1: "│", 2: "─", 3: "└", 4: "│", 5: "│", 6: "┌", 7: "├", 8: "─", 9: "┘", 10: "─", 11: "┴", 12: "┐", 13: "┤", 14: "┬", 15: "┼"}
+
+
+def box_cells(boxes: DataFrame, cell: tuple[float, float] = (6.0, 12.0)) -> DataFrame:
+    """(doc_id, page_no, row, col, mask, glyph): the outlines of boxes on a character grid, joined where they meet."""
+    c0, c1 = (F.greatest(F.lit(0), F.rint(F.col(k) / cell[0])).cast("int") for k in ("x0", "x1"))
+    r0, r1 = (F.greatest(F.lit(0), F.rint(F.col(k) / cell[1])).cast("int") for k in ("y0", "y1"))
+    b = boxes.select(*PAGE, c0.alias("c0"), r0.alias("r0"), c1.alias("c1"), r1.alias("r1")).where("c1 > c0 and r1 > r0")
+    flat = b.withColumn("row", F.explode(F.array("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    flat = flat.select(*PAGE, "row", "col", (F.when(F.col("col") < F.col("c1"), EAST).otherwise(0) + F.when(F.col("col") > F.col("c0"), WEST).otherwise(0)).alias("mask"))
+    tall = b.withColumn("col", F.explode(F.array("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1")))
+    tall = tall.select(*PAGE, "row", "col", (F.when(F.col("row") < F.col("r1"), SOUTH).otherwise(0) + F.when(F.col("row") > F.col("r0"), NORTH).otherwise(0)).alias("mask"))
+    out = flat.unionByName(tall).groupBy(*PAGE, "row", "col").agg(F.bit_or("mask").cast("int").alias("mask"))
+    return out.withColumn("glyph", F.get(F.array(*[F.lit(BOX_GLYPHS.get(i, " ")) for i in range(16)]), F.col("mask")))
+
+
+# Fixed value: numbers with grouped thousands, a currency sign before and a percent sign after.
+NUMERIC = r"^[$€£¥₽₹]?\s*-?\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*%?$"
+
+
+def column_alignments(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, col, alignment, width): right for columns of which half the filled cells or more are numbers; width is the longest cell's, at least 3."""
+    text = F.trim("text")
+    number = text.rlike(NUMERIC)
+    votes = cells.groupBy(*keys, "col").agg(F.count_if(text != "").alias("n"), F.count_if(number).alias("n_right"), F.greatest(F.lit(3), F.max(F.length(tx.escape_cell(F.col("text"))))).alias("width"))
+    return votes.select(*keys, "col", F.when((F.col("n") > 0) & (F.col("n_right") >= F.col("n") / 2), "right").otherwise("left").alias("alignment"), F.col("width").cast("int").alias("width"))
+
+
+def pipe_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, content): tables of cells (keys, row, col, text) as pipe tables; row 0 is the header."""
+    at = cells.join(column_alignments(cells, keys), [*keys, "col"])
+    shown = at.withColumn("_t", tx.padded(tx.escape_cell(F.col("text")), F.col("width"), F.col("alignment")))
+    line = lambda df, value: joined(df.withColumn("_x", value), [*keys, "row"], ["col"], "_x", " | ").withColumn("_x", F.concat(F.lit("| "), F.col("_x"), F.lit(" |")))
+    rows = line(shown, F.col("_t")).withColumn("_o", F.col("row") * 2)
+    rule = line(shown.where("row = 0"), tx.table_delimiter(F.col("width"), F.col("alignment"))).withColumn("_o", F.lit(1))
+    return joined(rows.unionByName(rule), keys, ["_o"], "_x", "\n").withColumnRenamed("_x", "content")

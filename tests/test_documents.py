@@ -159,3 +159,66 @@ def test_stream(spark, tmp_path):
         ingest.start(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
     assert pdf.read(spark, str(source)).count() == 6
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 20), st.integers(1, 20), st.sampled_from([0, 2, 4, 6]), st.randoms())
+def test_png(width, height, color, random):
+    from quillwork.functions import images
+
+    data = random.randbytes(width * height * images.CHANNELS[color])
+    png = images.encode_png(width, height, data, color)
+    assert images.decode_png(png) == (width, height, color, 8, data)
+    assert images.image_info(png) == {"format": "png", "width": width, "height": height, "channels": images.CHANNELS[color], "depth": 8}
+    with pytest.raises(ValueError):
+        images.decode_png(png[:-6] + b"\0" + png[-5:])
+
+
+def test_image_headers():
+    from quillwork.functions.images import image_info
+
+    size = lambda b: (lambda i: i and (i["format"], i["width"], i["height"]))(image_info(b))
+    assert size(b"GIF89a" + (7).to_bytes(2, "little") + (9).to_bytes(2, "little")) == ("gif", 7, 9)
+    assert size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x06\x03") == ("jpeg", 6, 5)
+    assert size(b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (9).to_bytes(3, "little") + (4).to_bytes(3, "little")) == ("webp", 10, 5)
+    assert size(b"\xff\x4f\xff\x51\x00\x29\x00\x00" + b"".join(n.to_bytes(4, "big") for n in (11, 12, 1, 2)) + bytes(16) + b"\x00\x03\x07") == ("jp2", 10, 10)
+    assert image_info(b"") is None and image_info(b"\xff\xd8") is None
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from quillwork.functions import geometry, text
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    assert one(text.code_fence(F.lit("a ``` b"))) == "````\na ``` b\n````"
+    assert one(text.escape_typst(F.lit("a*b /* c // d\n"))) == "a\\*b \\/\\* c \\// d \\\n"
+    assert one(text.rtf_text(F.lit("é😀{"))) == "\\u233?\\u-10179?\\u-8704?\\{"
+    assert [one(text.pdf_date(F.lit(x))) for x in ("D:2024", "D:20241301", "D:20240102030405Z", "no date", "D:202401020304-05'30'")] == ["2024", "D:20241301", "2024-01-02T03:04:05Z", "no date", "2024-01-02T03:04:00-05:30"]
+    assert tuple(one(text.font_style(F.lit("ABCDEF+Times-BoldItalic")))) == ("Times", True, True)
+    assert [one(geometry.from_hex(F.lit(x))) for x in ("#fff", "0a0b0c80", "12")] == [(255, 255, 255, 1.0), (10, 11, 12, 128 / 255), None]
+    assert one(geometry.inverse(geometry.affine(*[F.lit(x) for x in (1, 2, 2, 4, 0, 0)]))) is None
+
+
+def test_hairy_paragraphs(spark):
+    """Blank and single lines, gaps, indents and sizes: paragraphs by a plain fold."""
+    from quillwork.operators import layout
+
+    import random
+
+    rng, rows = random.Random(5), []
+    for page in range(30):
+        y = 80.0
+        for i in range(rng.randrange(1, 14)):
+            rows.append((1, page, i, "words here", 72.0 + rng.choice([0, 0, 0, 12]), y, 300.0, y + 12, float(rng.choice([11, 11, 11, 14])), False, False))
+            y += 12 + rng.choice([2, 2, 2, 3, 4, 9])
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean, is_italic boolean")
+    got = {(r.page_no, r.seq): r.para_no for r in layout.paragraph_numbers(df).collect()}
+    for page in range(30):
+        own = [r for r in rows if r[1] == page]
+        gaps = sorted(b[5] - a[7] for a, b in zip(own, own[1:], strict=False) if b[5] >= a[7])
+        limit, n = max(3.0, 1.6 * (gaps[len(gaps) // 2] if gaps else 4.0)), 0
+        for a, b in zip([None, *own], own, strict=False):
+            if a and (b[5] - a[7] > limit or abs(b[8] - a[8]) > max(2.5, 0.2 * a[8]) or b[4] - a[4] > 10):
+                n += 1
+            assert got[page, b[2]] == n
