@@ -81,8 +81,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, p
 
     Copies come from systematic rounding: within a source, by size from large to small, a row gets as many copies as
     the running sum of rates passes half-integers, so a source's taken words miss its target by one row's size at most.
-    Each further pass then adds or drops one copy of rows, large to small, as far as their sizes fit into what is still
-    missing. A null text has size 0, gets the copies that its rate 1 gives, and takes no words. A null source is a
+    Further passes then add or drop one copy of rows, large to small, as far as their sizes fit into what is still
+    missing, and at last one copy of the row that comes nearest to it. A null text has size 0, gets the copies that its rate 1 gives, and takes no words. A null source is a
     source of its own, last in order. Rows alike in source, size and doc_id may trade copies among themselves only. An
     empty table gives an empty result; other columns are ignored.
     """
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, p
     )
     rated = rated.select("doc_id", "source", "skey", *kept, "size", "source_size", "target", F.round(F.col("rate") * UNIT).cast("long").alias("rate"), (-F.col("size")).alias("_large"), F.xxhash64("doc_id").alias("_mixed"))
     order = ["_large", "_mixed", "doc_id"]
-    rows = ranged(rated, "skey", *order)
+    rows = ranged(rated, "skey", *order).withColumn("_n", F.monotonically_increasing_id())  # over written rows: the numbers stay
     rounded = running(rows, ["skey"], order, {"before": "rate"})
     half = UNIT // 2
     rows = cut(rounded.withColumn("copies", F.expr(f"(before + rate + {half}) div {UNIT} - (before + {half}) div {UNIT}")).drop("before", "rate"))
@@ -111,4 +111,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, p
         marked = rows.join(checked(missing, n_sources), "skey").withColumn("fit", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
         summed = running(marked, ["skey"], order, {"used": "fit"})
         rows = cut(summed.withColumn("copies", F.col("copies") + F.expr("case when fit > 0 and used + fit <= abs(missing) then sign(missing) else 0 end").cast("long")).drop("missing", "fit", "used"))
+    for _ in range(20):
+        # What no row fits into may still come nearer by the one row whose size is nearest to what is missing; each turn
+        # lessens what a source misses, and a few leave no such row anywhere.
+        missing = rows.groupBy("skey").agg((F.round(F.first("target")) - F.sum(F.col("copies") * F.col("size"))).cast("long").alias("missing"))
+        off = F.abs(F.col("size") - F.abs("missing"))
+        could = F.expr(f"(missing > 0 and copies < {limit}) or (missing < 0 and copies > 0)") & (off < F.abs("missing"))
+        best = rows.join(checked(missing, n_sources), "skey").where(could).groupBy("skey").agg(F.min(F.struct(off.alias("off"), F.col("_mixed"), F.col("_n"), F.signum("missing").cast("long").alias("by"))).alias("b")).select(F.col("b._n").alias("_n"), F.col("b.by").alias("_by"))
+        best = cut(best)
+        if best.isEmpty():
+            break
+        rows = cut(rows.join(checked(best, n_sources), "_n", "left").withColumn("copies", F.col("copies") + F.coalesce("_by", F.lit(0))).drop("_by"))
     return rows.select("doc_id", "source", *kept, "size", "source_size", "target", "copies")

@@ -226,12 +226,25 @@ def test_op7(spark, sf_dir, docs):
         assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[s] += r.taken
     for s in names:
+        # Ten documents a source seldom add up to a target, but no copy more or less comes nearer.
         want = 3 * total[s] if s in held else level * weight[s]
-        assert abs(taken[s] - want) <= max(0.03 * want, 30)
+        own = [got[i] for i, _, x in docs if x == s and size[i]]
+        one = [r.size for r in own if r.taken < 3 * r.size] + [-r.size for r in own if r.taken]
+        assert all(abs(taken[s] + d - want) >= abs(taken[s] - want) - 1 for d in one)
     again = by_id(queries.op7_mixing(spark, sf_dir))
     assert again == got
 
 
+def test_op7_comes_near_with_fifty_documents_a_source(spark):
+    at = "/root/testdata/sf0.01"
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "source").collect()}
+    taken, want = Counter(), {}
+    for r in queries.op7_mixing(spark, at).collect():
+        taken[source[r.doc_id]] += r.taken
+        want[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - want[s]) <= 0.005 * want[s] for s in want)
+
+
 def test_tilt_meets_target(spark):
     sizes = [1, 5, 9, 40, 200, 1000]
     counts = spark.createDataFrame([("0a", s, 7) for s in sizes] + [("0b", s, 2) for s in sizes], "skey string, size long, n long")
