@@ -198,3 +198,20 @@ def embedded_images(html: Column) -> Column:
     """array<struct<mime, content>> of base64 data URIs."""
     uris = F.regexp_extract_all(html, F.lit(r"(data:image/[a-zA-Z0-9.+-]+;base64,[A-Za-z0-9+/=]+)"), 1)
     return F.transform(uris, lambda u: F.struct(F.regexp_extract(u, r"^data:([^;]+)", 1).alias("mime"), F.unbase64(F.regexp_extract(u, r"base64,(.*)$", 1)).alias("content")))
+
+
+def manifest_id(raw: Column) -> Column:
+    """A name that XML takes as an id: other characters become underscores, and one goes before a first that isn't a letter."""
+    name = F.regexp_replace(F.trim(raw), r"[^A-Za-z0-9_.-]", "_")
+    return F.when(name.rlike(r"^[A-Za-z_]"), name).otherwise(F.concat(F.lit("_"), name))
+
+
+def package_path(href: Column) -> Column:
+    """A path inside a package with . and .. resolved; null for one that leads out of it."""
+    parts = F.filter(F.split(F.replace(href, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    bad = F.struct(F.lit(True).alias("out"), F.array().cast("array<string>").alias("p"))
+    walked = F.aggregate(
+        parts, F.struct(F.lit(False).alias("out"), F.array().cast("array<string>").alias("p")),
+        lambda s, p: F.when(s.out | ((p == "..") & (F.size(s.p) == 0)), bad).when(p == "..", F.struct(F.lit(False).alias("out"), F.slice(s.p, F.lit(1), F.size(s.p) - 1).alias("p"))).otherwise(F.struct(F.lit(False).alias("out"), F.concat(s.p, F.array(p)).alias("p"))),
+    )
+    return F.when(~walked.out, F.array_join(walked.p, "/"))

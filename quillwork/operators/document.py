@@ -92,3 +92,23 @@ def metadata(raw: Column) -> Column:
     full = F.filter(named, lambda e: (e["key"] != "") & e["value"].isNotNull() & (e["value"] != ""))
     first = F.filter(full, lambda e, i: F.array_position(F.transform(full, lambda x: x["key"]), e["key"]) == i + 1)
     return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"].isin("date", "lastmod"), pdf_date(e["value"])).otherwise(e["value"]).alias("value"))))
+
+
+def inline_images(pages: DataFrame, resources: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, html) with each image's source that resources (path, mime, content) has as a data URI; others stay.
+
+    References are joined by path, so only pages that have any are touched by the shuffle.
+    """
+    from quillwork.functions.text import external_references
+
+    refs = pages.select(page_id, F.explode(external_references(F.col(html))).alias("r")).where("r like 'image: %'").select(page_id, F.expr("substring(r, 8)").alias("path")).distinct()
+    uri = F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", ""))
+    found = refs.join(resources.select("path", uri.alias("uri")), "path").groupBy(page_id).agg(F.sort_array(F.collect_list(F.struct("path", "uri"))).alias("_found"))
+    with_found = pages.join(found, page_id, "left")
+    changed = F.aggregate(F.coalesce("_found", F.array().cast("array<struct<path:string,uri:string>>")), F.col(html), lambda h, f: F.replace(F.replace(h, F.concat(F.lit('"'), f.path, F.lit('"')), F.concat(F.lit('"'), f.uri, F.lit('"'))), F.concat(F.lit("'"), f.path, F.lit("'")), F.concat(F.lit("'"), f.uri, F.lit("'"))))
+    return with_found.select(page_id, changed.alias(html))
+
+
+def reading_edges(ordered: DataFrame) -> DataFrame:
+    """(doc_id, page_no, block_no, next_no): the chain of blocks in reading order."""
+    return ordered.select(*PAGE, "block_no").distinct().withColumn("next_no", F.lead("block_no").over(W.partitionBy(*PAGE).orderBy("block_no"))).where("next_no is not null")

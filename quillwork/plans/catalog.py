@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.functions import codecs, geometry, images, text
+from quillwork.functions import codecs, geometry, images, paths, text
 from quillwork.operators import document, fonts, layout, spatial, tables
 from quillwork.plans import emit, typeset
 from quillwork.sources import pdf, pdf_writer
@@ -709,3 +709,30 @@ def metadata_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.create_map(F.lit("/Title"), F.concat(F.lit(" Order "), F.col("o_orderkey").cast("string")), F.lit("CreationDate"), F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd")), F.lit("Lang"), F.col("o_orderpriority"), F.lit("Empty"), F.lit("  "))
     entries = F.map_entries(document.metadata(raw))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("meta"))
+
+
+@query("SELECT p_partkey, 'M 0.00 ' || printf('%.2f', 792.0 - p_size) || ' L 10.00 792.00 C 1.00 791.00 2.00 790.00 ' || printf('%.2f', p_size::DOUBLE) || ' 789.50 Z' AS flipped, 10::INTEGER AS n_segments, greatest(10.0, p_size)::DOUBLE AS x1, greatest(2.5, p_size)::DOUBLE AS y1 FROM part")
+def path_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    path = F.concat(F.lit("M 0 "), size, F.lit(" L 10 0 C 1 1 2 2 "), size, F.lit(" 2.5 Z"))
+    b = paths.bounds(path)
+    return table(spark, sf_dir, "part").select("p_partkey", paths.flipped(path, 792.0).alias("flipped"), F.size(paths.segments(path)).alias("n_segments"), b.x1.alias("x1"), b.y1.alias("y1"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html || '<img src=\"data:image/png;base64,' || 'QUI=' || '\"><img src=\"b.png\">' ELSE html END AS html FROM pages")
+def html_inline_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_ = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<img src="a.png"><img src="b.png">'))).otherwise(F.col("html")).alias("html"))
+    have = spark.range(1).select(F.lit("a.png").alias("path"), F.lit("image/png").alias("mime"), F.encode(F.lit("AB"), "UTF-8").alias("content"))
+    return document.inline_images(pages_, have)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'OEBPS/img' || p_partkey WHEN 1 THEN NULL ELSE 'b/c.x' END AS href, '_' || p_partkey || '_a_b' AS id FROM part")
+def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    href = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("OEBPS/Text/../img"), k)).when(F.col("p_partkey") % 3 == 1, "a/../../b").otherwise("./a/..//b/c.x")
+    return table(spark, sf_dir, "part").select("p_partkey", text.package_path(href).alias("href"), text.manifest_id(F.concat(k, F.lit(" a:b"))).alias("id"))
+
+
+@query("+ c AS (SELECT DISTINCT doc_id, page_no, CASE WHEN seq BETWEEN 4 AND 21 THEN 1 WHEN seq BETWEEN 22 AND 39 THEN 2 WHEN seq > 39 THEN 3 ELSE 0 END AS leaf FROM fx_lines), n AS (SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY leaf) - 1 AS INTEGER) AS block_no FROM c) SELECT doc_id, page_no, block_no, block_no + 1 AS next_no FROM n WHERE EXISTS (SELECT 1 FROM n m WHERE m.doc_id = n.doc_id AND m.page_no = n.page_no AND m.block_no = n.block_no + 1)", fixture=True)
+def reading_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document.reading_edges(layout.reading_order(layout.xy_cut(columns_page(spark, sf_dir))))
