@@ -14,6 +14,7 @@ LATEX = {
     "\u00a0": "~", "\u2013": "--", "\u2014": "---", "\u2018": "`", "\u2019": "'", "\u201c": "``", "\u201d": "''",
     "\u2026": r"\ldots{}", "\u2022": r"\textbullet{}", "\u00b0": r"\textdegree{}", "\u00a9": r"\textcopyright{}", "\u00ae": r"\textregistered{}", "\u2122": r"\texttrademark{}",
 }
+# Characters that Typst markup needs escaped, and words in the names of monospaced fonts.
 TYPST_MARKUP = r"\\#\*_`\$<>@\[\]~"
 MONOSPACE = "courier|consolas|mono|menlo|monaco|lucidaconsole|sourcecode|firacode|inconsolata|typewriter"
 

@@ -22,7 +22,7 @@ def outline(paras: DataFrame, max_level: int = 3) -> DataFrame:
 
 
 def outline_parents(entries: DataFrame, max_level: int = 6) -> DataFrame:
-    """outline()'s entries with parent_no, the nearest earlier entry of a smaller level (null at the top), and depth from 1."""
+    """outline()'s entries with parent_no, the nearest earlier entry of a smaller level (null at the top)."""
     before = W.partitionBy("doc_id").orderBy("entry_no").rowsBetween(W.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") <= k, F.col("entry_no")), ignorenulls=True).over(before) for k in range(1, max_level)}
     at = entries.withColumns({f"_last{k}": c for k, c in last.items()})
@@ -30,14 +30,20 @@ def outline_parents(entries: DataFrame, max_level: int = 6) -> DataFrame:
     for k in range(1, max_level):
         case = F.when(F.col("level") == k + 1, F.col(f"_last{k}")).otherwise(case)
     at = at.withColumn("parent_no", case).drop(*[f"_last{k}" for k in last])
-    # The depth is one more than the number of ancestors: levels fall along the chain of parents, so it ends within max_level steps.
-    chain, step = at.select("doc_id", "entry_no", "parent_no"), at.select("doc_id", F.col("entry_no").alias("_e"), F.col("parent_no").alias("_p"))
-    depth, out = F.lit(1), chain.withColumn("_a", F.col("parent_no"))
-    for k in range(max_level - 1):
-        out = out.withColumn(f"_has{k}", F.col("_a").isNotNull().cast("int"))
-        depth = depth + F.col(f"_has{k}")
-        out = out.join(step, (out.doc_id == step.doc_id) & (out["_a"] == step["_e"]), "left").select(*[out[c] for c in out.columns if c != "_a"], F.col("_p").alias("_a"))
-    return at.join(out.select("doc_id", "entry_no", depth.cast("int").alias("depth")), ["doc_id", "entry_no"])
+    return at
+
+
+def outline_depths(entries: DataFrame) -> DataFrame:
+    """(doc_id, entry_no, depth): how deep each entry stands, from 1, by a fold over a document's entries that holds the levels open so far."""
+    own = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", "level"))).alias("e"))
+    none = F.array().cast("array<int>")
+    state = F.struct(none.alias("open"), F.array().cast("array<struct<entry_no:int,depth:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        above = F.filter(s.open, lambda k: k < x.level)
+        return F.struct(F.concat(above, F.array(x.level)).alias("open"), F.concat(s.out, F.array(F.struct(x.entry_no.alias("entry_no"), (F.size(above) + 1).alias("depth")))).alias("out"))
+
+    return own.select("doc_id", F.explode(F.aggregate("e", state, step, lambda s: s.out)).alias("o")).select("doc_id", "o.entry_no", "o.depth")
 
 
 def chapters(paras: DataFrame, max_pages: int = 10) -> DataFrame:

@@ -117,7 +117,11 @@ def modal_sizes(paras: DataFrame) -> DataFrame:
 
 def headings(paras: DataFrame) -> DataFrame:
     """paras with heading_level (1 to 6, or null), from size against the page's modal size, weight, case and length."""
-    at = paras.join(modal_sizes(paras), PAGE, "left")
+    # The page's modal size as a window, so that paragraphs are made once and need no further shuffle.
+    same = W.partitionBy(*PAGE, "_size")
+    sized = paras.withColumn("_size", F.rint(F.col("font_size") * 2) / 2).withColumn("_n", F.sum("n_chars").over(same)).withColumn("_first", F.min(F.when(F.col("n_chars") > 0, F.col("para_no"))).over(same))
+    most = F.max(F.when(F.col("_n") > 0, F.struct("_n", (-F.col("_first")).alias("f"), F.col("_size").alias("s")))).over(W.partitionBy(*PAGE))
+    at = sized.withColumn("body_size", most.getField("s")).drop("_size", "_n", "_first")
     text, ratio = F.trim("text"), F.col("font_size") / F.coalesce("body_size", F.lit(12.0))
     ends = text.rlike(r"[.?!]$")
     line = F.col("n_lines") == 1

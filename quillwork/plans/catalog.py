@@ -380,7 +380,7 @@ def toc_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"RECURSIVE {TOC}, pa AS (SELECT t.doc_id, t.entry_no, (SELECT max(p.entry_no) FROM toc p WHERE p.doc_id = t.doc_id AND p.entry_no < t.entry_no AND p.level < t.level) AS parent_no FROM toc t), de AS (SELECT doc_id, entry_no, 1 AS depth FROM pa WHERE parent_no IS NULL UNION ALL SELECT pa.doc_id, pa.entry_no, depth + 1 FROM pa JOIN de ON de.doc_id = pa.doc_id AND de.entry_no = pa.parent_no) SELECT doc_id, CAST(max(depth) AS INTEGER) AS depth FROM de GROUP BY ALL")
 def toc_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document.outline_parents(document.outline(heads(spark, sf_dir), 6)).groupBy("doc_id").agg(F.max("depth").alias("depth"))
+    return document.outline_depths(document.outline(heads(spark, sf_dir), 6)).groupBy("doc_id").agg(F.max("depth").alias("depth"))
 
 
 ORACLES["toc_depth"] = f"WITH RECURSIVE {typeset.SQL.strip()}, " + ORACLES["toc_depth"].removeprefix("RECURSIVE ")
