@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import bounded_batches, cut, shared_dir, shuffle_width
+from quillwork.llm._common import cut, shared_dir, shuffle_width, tidied
 from quillwork.llm.sstable import file_system
 
 CHUNK_WORDS, BLOCK_BYTES = 1_500_000, 24 << 20
@@ -245,7 +245,6 @@ def _pair_keys(number: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarra
 def train(texts: DataFrame, folder: str | None = None) -> Model:
     """Count the column text of texts (null: empty) and write the model's files below folder (by default a new one in the shared folder). Nothing is pruned."""
     spark = texts.sparkSession
-    bounded_batches(spark)
     folder = folder or posixpath.join(shared_dir(spark), f"lm-{uuid.uuid4().hex}")
     texts = texts.select(F.col("text").cast("string").alias("text"))
     n_bytes = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -264,7 +263,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["block", "n", "total"])
 
     gather = lambda df: df.repartition(blocks, "block").sortWithinPartitions("block")
-    sizes = {r.block: r for r in cut(gather(texts.mapInArrow(words, sql)).mapInArrow(vocabulary, "block int, n long, total long")).collect()}  # a row for each file
+    sizes = {r.block: r for r in cut(gather(texts.mapInArrow(tidied(words), sql)).mapInArrow(tidied(vocabulary), "block int, n long, total long")).collect()}  # a row for each file
     starts = np.cumsum([0, *[sizes[b].n if b in sizes else 0 for b in range(blocks)]]).tolist()
     if starts[-1] >= (1 << 32) - 1:
         raise ValueError("numbers of words have 32 bits")
@@ -293,7 +292,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), [*types, pa.list_(pa.int64())], strict=True)], names=[*names, "sums"])
 
-    counted = cut(gather(texts.mapInArrow(pairs, sql)).mapInArrow(pair_table, "block int, data binary, sums array<long>"))
+    counted = cut(gather(texts.mapInArrow(tidied(pairs), sql)).mapInArrow(tidied(pair_table), "block int, data binary, sums array<long>"))
     add = lambda df, k: [df.agg(*[F.sum(F.element_at("sums", i + 1)) for i in range(k)]).first()[i] or 0 for i in range(k)]
     of_pairs = add(counted.where("block < 0"), 5)
 
@@ -306,7 +305,7 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
             sums = [int((dense == k).sum()) for k in range(1, 5)] + [int((dense > 2).sum())]
             yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], names=["sums"])
 
-    of_words = add(cut(gather(counted.where("block >= 0").select("block", "data")).mapInArrow(follow_table, "sums array<long>")), 5)
+    of_words = add(cut(gather(counted.where("block >= 0").select("block", "data")).mapInArrow(tidied(follow_table), "sums array<long>")), 5)
     model.pair_discounts, model.pair_types = _discounts(of_pairs[:4]), of_pairs[4]
     model.word_discounts, model.word_types = _discounts(of_words[:4]), (of_words[0], of_words[1], of_words[4])
     return model
@@ -322,7 +321,6 @@ def score(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     base_score is the add-0.1 unigram log10 probability, score the model's: P(w|v) = (c(vw) - D) / c(v.) + g(v) P(w), and
     P(w) is (n(.w) - d) / n(..) plus what the discounts leave, spread evenly over the known words and one unknown.
     """
-    bounded_batches(docs.sparkSession)
     names = [*carried, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +353,7 @@ def score(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lengths.astype(np.int64)), *sums], names=names)
 
     sql = ", ".join(f"{c} long" for c in names[:-2]) + ", base_score double, score double"
-    return docs.select(*carried, F.col("text").cast("string").alias("text")).mapInArrow(run, sql)
+    return docs.select(*carried, F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), sql)
 
 
 def held_out(tenth: int = 10) -> F.Column:

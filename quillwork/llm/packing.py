@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut, ranged, running
+from quillwork.llm._common import cut, ranged, running, tidied
 from quillwork.llm.tokens import encoded, encoder, id_array
 
 TIERS = (512, 1024, 2048, 4096)
@@ -118,5 +118,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
             yield pa.RecordBatch.from_arrays(cols, names=out_names)
 
     joined = known.join(of_row, "row").select("doc_id", "n", "ids", "pieces", "row")
-    out = joined.mapInArrow(run, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in out_names))
+    out = joined.mapInArrow(tidied(run), ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in out_names))
     return out.withColumn("tier", F.col("tier").cast("int")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "row", *(["ids"] if ids else []))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut
+from quillwork.llm._common import cut, tidied
 
 #: Vectors of one index block, about, and queries answered between two results. Each block answers each query with k rows.
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
@@ -136,7 +136,7 @@ def neighbours(table: DataFrame, every: int = 20, k: int = 20, pivots: int = 256
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["asked", "entry", "score"])
 
-    met = stream.mapInArrow(run, "asked long, entry long, score double")
+    met = stream.mapInArrow(tidied(run), "asked long, entry long, score double")
     best = W.partitionBy("asked").orderBy(F.desc("score"), "entry")
     met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(entries.select("entry", "ids"), "entry")
     ids = met.select("asked", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)

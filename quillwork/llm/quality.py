@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import bounded_batches, cut
+from quillwork.llm._common import cut, tidied
 
 SYMBOLS = b"#*$%&|<>"
 #: Length classes widen by this factor; texts whose word counts differ by less mostly share a class.
@@ -56,20 +56,19 @@ def text_features(text: str | None) -> tuple:
 
 def features(docs: DataFrame, carried: str | None = None) -> DataFrame:
     """A row for each of docs, with a row number of its own, host, base figures and line hashes; carried names a column of longs that stays."""
-    bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = [carried] if carried else []
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("row", pa.int64()), *[(c, pa.int64()) for c in kept], *[(n, pa.int64()) for n in names], ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             made = [text_features(t.as_py()) for t in b.column("text")]
             cols = list(zip(*made, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "host", "row", *kept)], *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3 + len(kept) :], strict=True)]], schema=schema)
 
     sql = "doc_id long, host string, row long, " + ", ".join(f"{n} long" for n in [*kept, *names]) + ", lines array<long>, line_words array<long>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.monotonically_increasing_id().alias("row"), *kept, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, sql)
+    return rows.mapInArrow(tidied(run), sql)
 
 
 def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int = 20, keep_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, carried: str | None = None) -> DataFrame:

@@ -17,13 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import bounded_batches, checked, cut, shuffle_width
+from quillwork.llm._common import checked, cut, shuffle_width, tidied
 from quillwork.llm._graph import components
 
 SEED = 42
@@ -55,14 +54,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row of docs; fp is the fingerprint's bits as a signed long. A null text is an empty one."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -92,8 +90,8 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 1 << 14):
-            fp, first, kind = (np.asarray(c.slice(at, 1 << 14)).astype(np.int64) for c in b.columns)
+        for at in range(0, b.num_rows, 1 << 12):
+            fp, first, kind = (np.asarray(c.slice(at, 1 << 12)).astype(np.int64) for c in b.columns)
             fp = fp.view(np.uint64)
             out_a, out_r = [], []
             for side in (0, 1):
@@ -172,8 +170,8 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             yield made(_compare(kept_a, kept_f, bits))
 
     n = shuffle_width(distinct.sparkSession)
-    met = distinct.select("fp", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.col("kind").cast("long").alias("kind")).mapInArrow(_covered, "anchor long, fp long, first long")
-    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(run, "kind long, a long, b long").distinct()
+    met = distinct.select("fp", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.col("kind").cast("long").alias("kind")).mapInArrow(tidied(_covered), "anchor long, fp long, first long")
+    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(tidied(run), "kind long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -209,21 +207,20 @@ def _sketch(text: str | None, kinds: int) -> tuple[bytes, list[int]]:
 
 def sketches(docs: DataFrame, kinds: int) -> DataFrame:
     """(doc_id, digest, fps) for every row of docs."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_sketch(t.as_py(), kinds) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "digest", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, digest binary, fps array<long>")
 
 
 def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
     """(digest, shingles): the hashes of the different word shingles of each row of docs, in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             digests, sets = [], []
             for t in b.column(0):
                 words = (t.as_py() or "").encode("utf-8", "replace").lower().split()
@@ -232,7 +229,7 @@ def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
                 sets.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, shingles array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "digest binary, shingles array<long>")
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 10, bits: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -282,8 +279,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 def _with_digest(docs: DataFrame) -> DataFrame:
     """docs and the digest of similar() as _key."""
 
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())))
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array((xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode("utf-8", "replace").lower().split())) for t in texts), pa.binary())
 
     return docs.withColumn("_key", digest(F.col("text").cast("string")))

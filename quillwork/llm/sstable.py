@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut, shared_dir
-from quillwork.llm.tokens import encoded, encoder, id_array
+from quillwork.llm._common import cut, shared_dir, tidied
+from quillwork.llm.tokens import encoded, encoder, id_bytes
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQIB8s")
@@ -142,7 +142,7 @@ class Reader:
         self.blocks = list(INDEX.iter_unpack(raw[:n]))
         self.last = [b[0] for b in self.blocks]
         self.bloom, self.bits = raw[n:], 8 * bloom_n
-        self.dtype = f"<u{self.width}"
+        self.dtype, self.unpack = f"<u{self.width}", zstandard.ZstdDecompressor()
 
     def block(self, i: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
         """(key, ids of the file before it, ids) for the entries of block i."""
@@ -151,7 +151,7 @@ class Reader:
         packed = self.f.read(n)
         if zlib.crc32(packed) != crc:
             raise ValueError(f"block {i} is damaged")
-        raw, pos, key = zstandard.ZstdDecompressor().decompress(packed, max_output_size=full), 0, b""
+        raw, pos, key = self.unpack.decompress(packed, max_output_size=full), 0, b""
         while pos < len(raw):
             shared, pos = _read_varint(raw, pos)
             rest, pos = _read_varint(raw, pos)
@@ -217,14 +217,14 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
                     now, temp = shard, posixpath.join(root, f".{uuid.uuid4().hex}")
                     sink = fs.open_output_stream(temp)
                     out = Writer(sink, item.itemsize)
-                out.add(doc_id, id_array(ids.as_py(), item.str).astype(item).tobytes())
+                out.add(doc_id, id_bytes(ids.as_py()))
         if out:
             end()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "file", "docs", "ids"])
 
     dealt = encoded(docs, path, end_id, limits).select("shard", "doc_id", "n", "ids").repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
-    return cut(dealt.mapInArrow(write, "shard int, file string, docs long, ids long"))
+    return cut(dealt.mapInArrow(tidied(write), "shard int, file string, docs long, ids long"))
 
 
 def read_tables(files: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def read_tables(files: DataFrame) -> DataFrame:
                 with fs.open_input_file(name) as f:
                     rows = []
                     for doc_id, start, ids in Reader(f).scan():
-                        rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), file))
+                        rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4")), file))
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                             rows = []
@@ -249,7 +249,7 @@ def read_tables(files: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return at.repartition(n, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return at.repartition(n, "shard").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def lookup(files: DataFrame, doc_id: int | None) -> list[np.ndarray]:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import WORD, bounded_batches, cut, shuffle_width
+from quillwork.llm._common import WORD, cut, shuffle_width, tidied
 
 #: Words whose phrases a task sorts and packs together, and bytes of text for each block of the index: about 100 bytes of
 #: a worker's memory for each word. With more memory and a larger corpus both should grow, as the parts of the index
@@ -213,13 +213,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     """(doc, tie, data) for documents with phrases that also start earlier: packed word numbers and earlier starts. doc is the doc_id (the lowest long for null), tie a hash of the text that tells rows of one doc_id apart."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), n_bytes // BLOCK_BYTES)
     texts = docs.select(_doc(), _tie(), F.col("text").cast("string").alias("text"))
-    parts = texts.mapInArrow(_phrases(blocks, length), KIND)
-    answers = parts.repartitionById(blocks, F.col("to")).sortWithinPartitions("block").mapInArrow(_search(blocks), KIND)
-    return cut(answers.repartitionById(blocks, F.col("to")).mapInArrow(_gather, "doc long, tie int, data binary"))
+    parts = texts.mapInArrow(tidied(_phrases(blocks, length)), KIND)
+    answers = parts.repartitionById(blocks, F.col("to")).sortWithinPartitions("block").mapInArrow(tidied(_search(blocks)), KIND)
+    return cut(answers.repartitionById(blocks, F.col("to")).mapInArrow(tidied(_gather), "doc long, tie int, data binary"))
 
 
 def _doc() -> F.Column:
@@ -291,7 +290,7 @@ def deduplicate(docs: DataFrame, length: int = 20, texts: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(o, k) for o, k in zip(out, kinds, strict=False)]], names=names)
 
     kind = f"_row {row_type}, n_words long, n_removed long, kept_sha256 string, factors array<struct<word:long,words:long,ref_doc_id:long,ref_word:long>>" + (", _text string" if texts else "")
-    done = joined.mapInArrow(run, kind)
+    done = joined.mapInArrow(tidied(run), kind)
     if not texts:
         return done.select("_row.doc_id", "n_words", "n_removed", "kept_sha256", "factors")
     return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "n_words", "n_removed", "kept_sha256", "factors")

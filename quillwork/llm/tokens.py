@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -13,10 +14,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import bounded_batches
+from quillwork.llm._common import tidied
 
 #: A worker keeps the ids of at most so many units, and of so many characters of them.
-KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
+KEPT_UNITS, KEPT_CHARS = 200_000, 16_000_000
 #: Units given to the library in one text, parted by a special token; such texts in one call; characters cut at once.
 JOINED, CALLED, CUT_CHARS = 2000, 8, 2_000_000
 MARKS = ".,;:!?"
@@ -40,6 +41,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with contextlib.suppress(AttributeError):  # every unit is new to the library: its own cache would only cost
+            model = self.tokenizer.model
+            model._resize_cache(0)
+            self.tokenizer.model = model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
@@ -74,17 +79,19 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of each unit. Many go to the library as one text, parted by a special token, whose id parts the ids."""
+    def _each(self, words: list[str], plain: list[str]) -> dict[str, bytes]:
+        """The ids of each unit. Words are given side by side and told apart by flags of their ids; other units go to the
+        library as one text, parted by a special token, whose id parts the ids."""
         if self.part is None:
-            return dict(zip(units, self._whole(units), strict=True))
+            return dict(zip(words + plain, self._whole(words + plain), strict=True))
         done: dict[str, bytes] = {}
         if self.first is not None:
-            side = [u for u in units if u[0] in " \n" and WORD.fullmatch(u)]
+            side = [u for u in words if u[0] in " \n"]
+            plain = plain + [u for u in words if u[0] not in " \n"]
         elif self.last is not None:
-            side = [u for u in units if WORD.fullmatch(u)]
+            side = words
         else:
-            side = []
+            side, plain = [], plain + words
         for i in range(0, len(side), JOINED * CALLED):
             run = side[i : i + JOINED * CALLED]
             (e,) = self.tokenizer.encode_batch_fast([("" if self.leads else " ").join(run)], add_special_tokens=False)
@@ -95,10 +102,11 @@ class Encoder:
                 edges = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
             if len(edges) != len(run) + 1:  # not a rule that the flags describe
                 self.first = self.last = None
+                plain = plain + [u for u in side if u not in done]
                 break
             raw, width = ids.tobytes(), self.dtype.itemsize
             done.update(zip(run, (raw[s * width : e * width] for s, e in zip(edges, edges[1:], strict=False)), strict=True))
-        rest = [u for u in units if u not in done]
+        rest = plain
         if any(t in "\0".join(rest) for t in self.special):
             odd = [u for u in rest if any(t in u for t in self.special)]
             done.update(zip(odd, self._whole(odd), strict=True))
@@ -120,7 +128,7 @@ class Encoder:
     def _learn(self, missing: set[str]) -> None:
         # A word and the mark that ends it are parted by the library, so each of the two is encoded once; so is a word
         # in whatever case, if the library lowers it.
-        match, words, of = WORD.fullmatch, set(MARKS), {}
+        match, words, plain, of = WORD.fullmatch, set(), set(MARKS), {}
         for u in missing:
             mark = u[-1] if u[-1] in MARKS else ""
             if match(u, 0, len(u) - len(mark)):
@@ -130,9 +138,9 @@ class Encoder:
                 words.add(w)
                 of[u] = w, mark
             else:
-                words.add(u)
+                plain.add(u)
         kept = self.kept
-        kept.update(self._each(list(words - kept.keys())))
+        kept.update(self._each(list(words - kept.keys()), list(plain - kept.keys())))
         kept.update({u: kept[w] + kept[mark] if mark else kept[w] for u, (w, mark) in of.items()})
         self.chars += sum(map(len, missing))
 
@@ -188,7 +196,6 @@ def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None =
 
     With limits, ascending doc_ids, also shard: how many of them are below the row's doc_id (none below a null one).
     """
-    bounded_batches(docs.sparkSession)
     names = ["row", "doc_id", "n", "ids", *(["shard"] if limits is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +212,17 @@ def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None =
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n long, ids binary" + (", shard int" if limits is not None else ""))
+    return rows.mapInArrow(tidied(run), "row long, doc_id long, n long, ids binary" + (", shard int" if limits is not None else ""))
+
+
+_unpacker = zstandard.ZstdDecompressor()
+
+
+def id_bytes(ids: bytes) -> bytes:
+    """The ids of a row of encoded(), as bytes of the encoder's dtype."""
+    return _unpacker.decompress(ids)
 
 
 def id_array(ids: bytes, dtype: str) -> np.ndarray:
     """The ids of a row of encoded() as unsigned 32-bit integers."""
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), dtype).astype("<u4")
+    return np.frombuffer(id_bytes(ids), dtype).astype("<u4")
