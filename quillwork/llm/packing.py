@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm._common import cut, ranged, running, tidied
-from quillwork.llm.tokens import encoded, encoder, id_array
+from quillwork.llm.tokens import KEPT_UNITS, encoded, encoder, id_array
 
 TIERS = (512, 1024, 2048, 4096)
 #: Width of the buckets in which gaps meet what fills them; no gap or rest is longer than half of it.
@@ -87,14 +87,14 @@ def plan(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int =
     return made
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True, kept_units: int = KEPT_UNITS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row, ids) for every piece; row numbers the rows of docs, ids may be left out.
 
     path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. A null or
     empty text has the end id only. Every row is a document of its own, also where doc_ids repeat or are null; the
     doc_id only labels its pieces. An empty table gives an empty result; other columns are ignored.
     """
-    known = cut(encoded(docs, path, end_id))
+    known = cut(encoded(docs, path, end_id, kept_units=kept_units))
     dtype = encoder(path).dtype.str
     pieces = plan(known.select("row", "n"), tiers, step_tokens)
     names = ["start", "length", "sequence_id", "offset", "tier", "step_group"]

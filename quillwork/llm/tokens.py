@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quillwork.llm._common import tidied
 
-#: A worker keeps the ids of at most so many units, and of so many characters of them.
-KEPT_UNITS, KEPT_CHARS = 200_000, 16_000_000
+#: A worker keeps the ids of at most so many units (about 300 bytes each), and of so many characters of them.
+KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
 #: Units given to the library in one text, parted by a special token; such texts in one call; characters cut at once.
 JOINED, CALLED, CUT_CHARS = 2000, 8, 2_000_000
 MARKS = ".,;:!?"
@@ -74,7 +74,7 @@ class Encoder:
                 self.last = flags
         self.part = own[-1] if own else None
         self.kept: dict[str, bytes] = {"": b""}
-        self.chars = 0
+        self.chars, self.limit = 0, KEPT_UNITS
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,7 +170,7 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
-        if len(self.kept) > KEPT_UNITS or self.chars > KEPT_CHARS:
+        if len(self.kept) > self.limit or self.chars > KEPT_CHARS:
             self.kept, self.chars = {"": b""}, 0
         got = [list(map(self.kept.get, c)) if c else [] for c in cut]
         gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
@@ -191,7 +191,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None = None, kept_units: int = KEPT_UNITS) -> DataFrame:
     """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed. A null text is empty.
 
     With limits, ascending doc_ids, also shard: how many of them are below the row's doc_id (none below a null one).
@@ -200,6 +200,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        own.limit = kept_units
         end = np.array([end_id], own.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
