@@ -30,6 +30,10 @@ SEED = 42
 CHUNK = 1 << 18
 #: Up to so many fingerprints at an anchor are compared by shifts of the whole batch.
 SMALL = 24
+#: Leads of a cluster in the first round of similar()'s completion; each later round takes ROUND times as many.
+LEADS, ROUND = 64, 8
+#: Members of a cluster that a lead meets in one block.
+BLOCK = 1024
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -232,13 +236,63 @@ def _shingles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "digest binary, shingles array<long>")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (one, other) whose sets of shingles are alike, as (a, b)."""
+    both = pairs.join(sets.select(F.col("digest").alias("one"), F.col("s").alias("x")), "one").join(sets.select(F.col("digest").alias("other"), F.col("s").alias("y")), "other")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("one").alias("a"), F.col("other").alias("b"))
+
+
+def _completed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, alike: DataFrame, bits: int, similarity: float, kinds: int) -> DataFrame:
+    """(node, root) of the groups of all candidates that are alike, from the pairs of links() and those alike among them.
+
+    pairs only connect the candidates: all others lie within its clusters. In rounds, leads of each cluster meet all its
+    members of other groups that are near in any fingerprint. Leads are texts outside a cluster's largest group, drawn by
+    a salted hash, and of each group the text with most links, as an original stands nearer to its edits than they do to each other. A
+    text that was a lead has met all others, so the rounds end when every text outside the largest group was one.
+    """
+    roots = components(alike)
+    sized = sets.select("digest", F.size("s").alias("n"))
+    members = cut(texts.select("digest", "fps").join(sized, "digest").join(components(pairs, "one", "other").select(F.col("node").alias("digest"), F.col("root").alias("cluster")), "digest"))
+    done, seen, turn, most = None, pairs, 0, LEADS
+    while True:
+        now = members.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        now = now.withColumn("met", F.lit(False)) if done is None else now.join(done, "digest", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+        parts = cut(now.groupBy("cluster", "root").agg(F.count("*").alias("size"), F.count_if(~F.col("met")).alias("open")))
+        main = parts.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all"), F.sum("open").alias("open"), F.count("*").alias("groups"))
+        outside = parts.join(main.select("cluster", F.col("m.root").alias("main")), "cluster").where("root <> main").groupBy("cluster").agg(F.sum("open").alias("outside"))
+        facts = cut(main.join(outside, "cluster").where("outside > 0").select("cluster", F.col("m.root").alias("main"), "all", "outside"))
+        n = facts.count()
+        if not n:
+            return roots
+        now = cut(now.join(checked(facts, n), "cluster"))
+        degree = alike.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("degree")).where("degree > 2")
+        hubs = now.where("not met").join(degree, "digest").groupBy("cluster", "root").agg(F.max(F.struct("degree", "digest")).alias("h")).select("h.digest")
+        drawn = now.where((F.col("root") != F.col("main")) & ~F.col("met") & (F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("outside")) < most)).select("digest")
+        leads = cut(hubs.union(drawn).distinct())
+        blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+        a = now.join(leads, "digest", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("digest").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("fps").alias("fx"))
+        b = now.where("not met").select("cluster", F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"), F.col("digest").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("fps").alias("fy"))
+        near = " or ".join(f"bit_count(fx[{k}] ^ fy[{k}]) <= {bits}" for k in range(kinds))
+        met = a.join(b, ["cluster", "block"]).where(f"rx <> ry and least(nx, ny) >= {similarity} * greatest(nx, ny) and ({near})")
+        fresh = cut(met.select(F.least("x", "y").alias("one"), F.greatest("x", "y").alias("other")).distinct().join(seen, ["one", "other"], "left_anti"))
+        asked = cut(fresh.select(F.explode(F.array("one", "other")).alias("digest")).distinct())
+        found = cut(_verified(fresh, sets.join(checked(asked, asked.count()), "digest", "left_semi"), similarity))
+        if not found.isEmpty():
+            alike = cut(alike.union(found))
+            roots = components(alike)
+        leads = leads.withColumn("met", F.lit(True))
+        done = leads if done is None else cut(done.union(leads))
+        turn, most = turn + 1, most * ROUND
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 10, bits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups of documents whose sets of word shingles are alike to the Jaccard similarity or more: (sketches, groups).
 
     sketches has doc_id and digest for every row of docs, groups has digest and root for each different text; texts of a
     group share a root. Texts that are equal but for case and white space are one. Others are candidates if one of
-    `kinds` fingerprints of their words differs in at most bits bits; the shingles of a candidate pair are compared in
-    full. A null text is an empty one. An empty table gives empty results; other columns of docs are ignored.
+    `kinds` fingerprints of their words differs in at most bits bits; the shingles of candidate pairs are compared in
+    full, until every pair is compared or known to be of one group. A null text is an empty one. An empty table gives empty results; other columns of docs are ignored.
     """
     known = cut(sketches(docs, kinds))
     texts = cut(known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps")))
@@ -255,10 +309,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: i
     # One row of each wanted text: its first doc_id finds it; rows of one doc_id are told apart by the digest.
     found = docs.join(checked(wanted.select(F.col("first").alias("_first")).distinct(), n), F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
     sets = cut(_shingles(found, shingle).join(checked(wanted.select("digest"), n), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("s")))
-    both = pairs.join(sets.select(F.col("digest").alias("one"), F.col("s").alias("x")), "one").join(sets.select(F.col("digest").alias("other"), F.col("s").alias("y")), "other")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select(F.col("one").alias("a"), F.col("other").alias("b"))
-    roots = components(alike).withColumnRenamed("node", "digest")
+    alike = cut(_verified(pairs, sets, similarity))
+    roots = _completed(texts, sets, pairs, alike, bits, similarity, kinds).withColumnRenamed("node", "digest")
     return known.select("doc_id", "digest"), texts.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 

@@ -116,3 +116,32 @@ def test_odd_rows(spark, sf_dir):
             docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), df.schema)
             assert docs.columns == df.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0 if start is not df else {r.doc_id for r in docs.collect()} <= {None, 6}
+
+
+def test_near_duplicates_of_an_original_that_is_not_the_least(spark):
+    import numpy as np
+
+    from quillwork.llm import simhash
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 1 << 30, 250)]
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        own = list(base)
+        for at in range(int(rng.integers(0, 50)), 250, 60):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.root for r in (lambda known, groups: known.join(groups, "digest"))(*simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    ids = [i for i, _ in rows]
+    fps = {i: simhash._sketch(t, 10)[1] for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    top = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            near = any(((x ^ y) & (1 << 64) - 1).bit_count() <= 3 for x, y in zip(fps[a], fps[b], strict=True))
+            shared = len(sets[a] & sets[b])
+            if near and shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) and top[a] != top[b]:
+                old, new = top[a], top[b]
+                top = {i: new if t == old else t for i, t in top.items()}
+    assert len(set(top.values())) < 10
+    assert len(set(got.values())) == len(set(top.values())) == len({(got[i], top[i]) for i in ids})
