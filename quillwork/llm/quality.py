@@ -34,8 +34,12 @@ def repeated_words(words: list[bytes]) -> int:
     return total
 
 
+def _line_hash(own: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(own).lower()) - (1 << 63)
+
+
 def text_features(text: str | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then the distinct line hashes of the text and the words that stand in lines with each."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a hash of the words in lower case, then the distinct line hashes of the text and the words that stand in lines with each."""
     raw = (text or "").encode("utf-8", "replace")
     lines: dict[int, int] = {}
     seen: set[bytes] = set()
@@ -48,22 +52,22 @@ def text_features(text: str | None) -> tuple:
         dup += line in seen
         seen.add(line)
         words += own
-        h = xxhash.xxh64_intdigest(b" ".join(own).lower()) - (1 << 63)
+        h = _line_hash(own)
         lines[h] = lines.get(h, 0) + len(own)
     joined = b"".join(words)
-    return len(words), len(joined.decode("utf-8")), len(joined) - len(joined.translate(None, SYMBOLS)), dup, repeated_words(words), list(lines), list(lines.values())
+    return len(words), len(joined.decode("utf-8")), len(joined) - len(joined.translate(None, SYMBOLS)), dup, repeated_words(words), xxhash.xxh64_intdigest(b" ".join(words).lower(), 1) - (1 << 63), list(lines), list(lines.values())
 
 
 def features(docs: DataFrame, carried: str | None = None) -> DataFrame:
     """A row for each of docs, with a row number of its own, host, base figures and line hashes; carried names a column of longs that stays."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "copy"]
     kept = [carried] if carried else []
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("row", pa.int64()), *[(c, pa.int64()) for c in kept], *[(n, pa.int64()) for n in names], ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             made = [text_features(t.as_py()) for t in b.column("text")]
-            cols = list(zip(*made, strict=True)) or [[]] * 7
+            cols = list(zip(*made, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "host", "row", *kept)], *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3 + len(kept) :], strict=True)]], schema=schema)
 
     sql = "doc_id long, host string, row long, " + ", ".join(f"{n} long" for n in [*kept, *names]) + ", lines array<long>, line_words array<long>"
@@ -71,24 +75,33 @@ def features(docs: DataFrame, carried: str | None = None) -> DataFrame:
     return rows.mapInArrow(tidied(run), sql)
 
 
-def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int = 20, keep_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, carried: str | None = None) -> DataFrame:
+def _lines(known: DataFrame, max_docs: int, max_lengths: int | None) -> tuple[DataFrame, DataFrame]:
+    """The lines of features(), a row for each and document, and those (host, line) above the limits."""
+    length = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(math.log(STEP))).cast("int")
+    exploded = lambda rows: rows.select("row", "host", length.alias("class"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", "class", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    # Copies make one document of a host.
+    single = known.where(F.size("lines") > 0).groupBy("host", "copy").agg(F.min("row").alias("row")).select("row")
+    per = exploded(known.join(single, "row", "left_semi")).groupBy("host", "line", "class").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_lengths"))
+    above = f"n_docs > {max_docs}" + ("" if max_lengths is None else f" and n_lengths > {max_lengths}")
+    return exploded(known), cut(per.where(above).select("host", "line"))
+
+
+def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int | None = None, keep_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, carried: str | None = None, removed: bool = False) -> DataFrame:
     """doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, kept for every row of docs, with the column `carried` names.
 
     A line is its words, in lower case and joined by one space, hashed. For each host and line the distinct documents
-    are counted, and the distinct classes of length among them: copies and near copies of one document, however many,
-    share their length and so one to three classes, while what a site puts onto its pages stands in texts of any
-    length. A line above both limits goes, and a document that keeps less than keep_share of its words is rejected.
-    Base rules reject fewer than min_words words, or a share of repeated words above max_repeat_percent.
+    are counted; copies, whose words are equal but for case and white space, are one document. A line above max_docs
+    goes, and a document that keeps less than keep_share of its words is rejected. With max_lengths a line must also
+    stand in more than so many classes of length. Base rules reject fewer than min_words words, or a share of repeated
+    words above max_repeat_percent. `removed` adds removed_lines, the hashes of the lines that go (null for none).
 
     A null text is an empty one, a null source the host "". Repeated rows are judged alike, one for each row. An empty
     table gives an empty result; other columns are ignored.
     """
     known = cut(features(docs, carried))
-    length = F.floor(F.log(F.col("n_words").cast("double")) / F.lit(math.log(STEP))).cast("int")
-    lines = known.select("row", "host", length.alias("class"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", "class", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    per = lines.groupBy("host", "line", "class").agg(F.count("*").alias("n")).groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_lengths"))
-    common = cut(per.where(f"n_docs > {max_docs} and n_lengths > {max_lengths}").select("host", "line"))
-    lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed"))
+    lines, common = _lines(known, max_docs, max_lengths)
+    hashes = [F.collect_list("line").alias("removed_lines")] if removed else []
+    lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed"), *hashes)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = known.drop("lines", "line_words").join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).withColumn("base_failed", failed)
+    out = known.drop("lines", "line_words", "copy").join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= keep_share * F.col("n_words")))

@@ -285,6 +285,17 @@ def test_quality_rejects_shared_lines_and_keeps_copies(spark):
     assert got[200].kept
 
 
+def test_quality_counts_documents_of_any_length_and_copies_once(spark):
+    rng = np.random.default_rng(2)
+    line = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 1 << 30, n))
+    banner, copied = line(30), line(100)
+    rows = [(i, f"{banner}\n{line(100)}", "a") for i in range(21)] + [(100 + i, f"{banner}\n{line(100)}", "b") for i in range(20)]
+    rows += [(200 + i, f"{banner}\n{copied}" if i % 2 else f"{banner.upper()} \n {copied}", "c") for i in range(40)]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(got[i].n_removed == 30 and got[i].kept for i in range(21))
+    assert all(r.n_removed == 0 and r.kept for i, r in got.items() if i >= 100)
+
+
 def test_op9(spark, sf_dir, docs):
     tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t, _ in docs}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
