@@ -23,11 +23,8 @@ def _text_key() -> F.Column:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged."""
-    judged = quality.judge(docs.withColumn("text_key", _text_key()), carried="text_key")
-    gone = cut(judged.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("text_key").alias("_key")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host")) & (_text_key() == F.col("_key"))
-    return docs.join(checked(gone, gone.count()), same, "left_anti")
+    """Documents that the quality rules keep, without the lines that too many documents of their host share."""
+    return quality.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut, tidied
+from quillwork.llm._common import checked, cut, tidied
 
 SYMBOLS = b"#*$%&|<>"
 #: Length classes widen by this factor; texts whose word counts differ by less mostly share a class.
@@ -105,3 +105,29 @@ def judge(docs: DataFrame, max_docs: int = 20, max_lengths: int | None = None, k
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = known.drop("lines", "line_words", "copy").join(lost, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= keep_share * F.col("n_words")))
+
+
+def without_lines(text: str | None, gone: list[int] | None) -> str | None:
+    """text without its lines whose hashes are in gone; the other lines stay as they are."""
+    if text is None or not gone:
+        return text
+    out = set(gone)
+    return "\n".join(x for x in text.split("\n") if not (own := x.encode("utf-8", "replace").split()) or _line_hash(own) not in out)
+
+
+def apply(docs: DataFrame, **limits: int | float | None) -> DataFrame:
+    """The rows of docs that judge() keeps, their texts without the lines above its limits, and n_chars where docs has it and lines went."""
+
+    @F.arrow_udf("string")
+    def stripped(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        return pa.array((without_lines(t.as_py(), g.as_py()) for t, g in zip(texts, gone, strict=True)), pa.string())
+
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    judged = judge(docs.withColumn("_text_key", key), carried="_text_key", removed=True, **limits)
+    facts = cut(judged.where("not kept or removed_lines is not null").select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("_text_key").alias("_key"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.array_sort("removed_lines")).alias("_gone")).distinct())
+    size = facts.agg(F.sum(1 + F.coalesce(F.greatest(F.size("_gone"), F.lit(0)), F.lit(0)))).first()[0] or 0
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host")) & (key == F.col("_key"))
+    left = docs.join(checked(facts, size), same, "left").where("_kept is null or _kept")
+    cleaned = left.withColumn("_new", F.when(F.col("_gone").isNotNull(), stripped(F.col("text").cast("string"), F.col("_gone"))))
+    made = {"text": F.coalesce("_new", "text"), "n_chars": F.coalesce(F.length("_new").cast("long"), "n_chars") if "n_chars" in docs.columns else None}
+    return cleaned.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])

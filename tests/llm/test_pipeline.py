@@ -145,3 +145,14 @@ def test_near_duplicates_of_an_original_that_is_not_the_least(spark):
                 top = {i: new if t == old else t for i, t in top.items()}
     assert len(set(top.values())) < 10
     assert len(set(got.values())) == len(set(top.values())) == len({(got[i], top[i]) for i in ids})
+
+
+def test_quality_rules_take_frequent_lines_out(spark, sf_dir):
+    body = lambda i, n: "\n".join(f"  {' '.join(f'd{i}l{k}w{j}' for j in range(20))}" for k in range(n))
+    banner = " ".join(f"b{j}" for j in range(30))
+    rows = [(i, f"{banner}\n{body(i, 3 + i)}\n\n{banner.upper()} ", "a", 7) for i in range(40)] + [(99, f"{banner}\n{body(99, 9)}", "b", 7)]
+    rows += rows[:1] + rows[-1:] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = Counter(map(tuple, corpus_pipeline.quality_rules(spark, df, sf_dir).collect()))
+    clean = [(i, f"{body(i, 3 + i)}\n", "a", len(body(i, 3 + i)) + 1) for i in range(40)]
+    assert got == Counter(clean + clean[:1] + rows[-1:] * 3)
