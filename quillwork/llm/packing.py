@@ -1,17 +1,20 @@
 """Hierarchical multi-length packing of token ids.
 
-Documents of more than the longest window fill windows of their own; what remains of a document is routed to the
-smallest tier that holds it. Rests of the longest tier open a window each, and the gaps behind them are laid end to end
-and filled, to the last id, with rests of the shorter tiers, shortest first. Whatever the gaps leave of a tier is packed
-into windows of that tier's own length, which then need no padding either; only the last ids of each tier meet in a
-final window. If the gaps hold more than the shorter tiers have, the shortest of the long rests fill gaps as well
-instead of opening windows. All places are prefix sums and arithmetic over one row a document.
+Documents of more than the longest window fill windows of their own; what remains of a document, its rest, is routed to
+the smallest tier that holds it. The plan is made from the histogram of rests, at most as many numbers as the longest
+window has places: from the longest length down, a rest opens a window of its tier, and the gap behind it takes whole
+rests of the shorter tiers, longest first, until no length fits. Gaps that are left are filled to the last id with pieces
+of a reserve, the least share of all rests that suffices; only these are cut, and only they and what remains of the
+reserve meet in a final window that may need padding. Where a row goes follows from its number among the rows of its
+length, by arithmetic.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,101 +25,172 @@ from quillwork.llm._common import cut, ranged, running, tidied
 from quillwork.llm.tokens import KEPT_UNITS, encoded, encoder, id_array
 
 TIERS = (512, 1024, 2048, 4096)
-#: Width of the buckets in which gaps meet what fills them; no gap or rest is longer than half of it.
-BUCKET = 8192
-
-
-def plan(lengths: DataFrame, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20) -> DataFrame:
-    """(row, start, length, tier, sequence_id, offset, step_group) for (row, n): where the n ids of each row go.
-
-    tiers are powers of two, the last the longest. step_group deals the sequences of every tier round robin over as many
-    groups as there are steps of step_tokens, so groups hold equally many sequences of each tier, give or take one.
-    """
-    top = tiers[-1]
-    tier = F.expr("case " + " ".join(f"when r <= {t} then {t}" for t in tiers[:-1]) + f" else {top} end")
-    rows = lengths.select("row", F.expr(f"n div {top}").alias("k"), F.expr(f"n % {top}").alias("r")).withColumn("tier", tier)
-    rows = rows.withColumn("long", (F.col("tier") == top).cast("long")).withColumn("gap", F.when(F.col("tier") == top, top - F.col("r")).otherwise(0))
-    order = ["tier", "r", "row"]
-    at = running(ranged(rows, *order), [], order, {"x": "r", "gap_at": "gap", "k_at": "k", "long_at": "long"}, totals=True)
-    # A long rest opens a window if all gaps from its own on can be filled with what comes before it.
-    at = cut(at.withColumn("opens", (F.col("tier") == top) & (F.col("gap_at_total") - F.col("gap_at") <= F.col("x"))))
-    total = at.groupBy("tier", "opens").agg(F.sum("r"), F.sum("gap"), F.sum("k"), F.count("*")).collect()  # five rows at most
-    full = sum(x[4] for x in total)
-    gaps = sum(x[3] for x in total if x.opens)
-    windows = sum(x[5] for x in total if x.opens)
-    skipped_gap = sum(x[3] for x in total if x.tier == top and not x.opens)
-    skipped = sum(x[5] for x in total if x.tier == top and not x.opens)
-    have = {t: sum(x[2] for x in total if x.tier == t and not x.opens) for t in tiers}
-    # Of each tier: where its fill begins, what the gaps leave of it, how much of that makes whole windows.
-    begin, base, tails, pos, seq, tail = {}, {}, {}, 0, full + windows, 0
+#: The reserve's share of the rests is found to one part in so many.
+RESERVE_STEPS = 1024
+
+
+def filled(counts: np.ndarray, tiers: tuple[int, ...]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(tier, windows, [(length, rests of it in each window)]) for counts of rests by length, largest first."""
+    left = {int(n): int(counts[n]) for n in np.flatnonzero(counts)}
+    lengths, out = sorted(left), []
+    while lengths:
+        top = lengths[-1]
+        tier = next(t for t in tiers if t >= top)
+        used, gap = {top: 1}, tier - top
+        at = len(lengths)
+        while gap and at:
+            at = bisect.bisect_right(lengths, gap, 0, at) - 1
+            if at < 0:
+                break
+            n = lengths[at]
+            take = min(gap // n, left[n] - used.get(n, 0))
+            if take:
+                used[n] = used.get(n, 0) + take
+                gap -= take * n
+        windows = min(left[n] // k for n, k in used.items())
+        out.append((tier, windows, list(used.items())))
+        for n, k in used.items():
+            left[n] -= k * windows
+            if not left[n]:
+                del lengths[bisect.bisect_left(lengths, n)]
+    return out
+
+
+@dataclass
+class Plan:
+    """Where rests go. Whole rests are found by their length and number; the reserve lies end to end over all gaps, then over final windows."""
+
+    tiers: tuple[int, ...]
+    full: int  # windows that long documents fill alone; they come first
+    groups: int
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # rests shorter than each length
+    whole: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # rests of each length that stay whole
+    before: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ids of the reserve in shorter lengths
+    slots: dict = field(default_factory=dict)  # by length: (first number, rests a window, pattern, offset) as arrays
+    tier: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each pattern
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # its first window, counted from the first rest's
+    of_tier: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the same among windows of its tier
+    gap: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ids left in each of its windows
+    gap_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # ids of the gaps before it; then of all
+    windows: int = 0
+    top_windows: int = 0
+
+
+def plan(counts: np.ndarray, full: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20) -> Plan:
+    """The plan for counts of rests by length (0 to the longest tier) and `full` windows of long documents."""
+    lengths = np.arange(len(counts))
+    lo, hi = 0, RESERVE_STEPS
+    while True:
+        i = (lo + hi) // 2
+        reserve = np.diff(np.cumsum(counts) * i // RESERVE_STEPS, prepend=0)  # spread over all lengths
+        made = filled(counts - reserve, tiers)
+        gaps = sum((t - sum(n * k for n, k in used)) * m for t, m, used in made)
+        if lo == hi:
+            break
+        lo, hi = (lo, i) if int((reserve * lengths).sum()) >= gaps else (i + 1, hi)
+    out = Plan(tiers, full, 1, np.cumsum(counts) - counts, counts - reserve, np.cumsum(reserve * lengths) - reserve * lengths)
+    tier, windows, gap, slots = [], [], [], {}
+    taken: dict[int, int] = {}
+    for p, (t, m, used) in enumerate(made):
+        offset = 0
+        for n, k in used:
+            slots.setdefault(n, []).append((taken.get(n, 0), k, p, offset))
+            taken[n] = taken.get(n, 0) + m * k
+            offset += n * k
+        tier.append(t)
+        windows.append(m)
+        gap.append(t - offset)
+    m = np.array(windows, np.int64)
+    out.tier, out.gap = np.array(tier, np.int64), np.array(gap, np.int64)
+    out.first, out.gap_at = np.cumsum(m) - m, np.concatenate([[0], np.cumsum(m * out.gap)]).astype(np.int64)
+    out.of_tier = np.zeros(len(m), np.int64)
     for t in tiers:
-        s, e = max(pos, gaps), max(pos + have[t], gaps)
-        whole = (e - s) // t * t
-        begin[t], base[t], tails[t] = s, seq, (whole, tail)
-        seq += whole // t
-        tail += e - s - whole
-        pos += have[t]
-    tail_seq = seq
-    count = {t: (base[t2] if (t2 := next((u for u in tiers if u > t), None)) else tail_seq) - base[t] for t in tiers}
-    padded = top * (full + windows + -(-tail // top)) + sum(t * c for t, c in count.items())
-    groups = max(1, -(-padded // step_tokens))
-    lit = lambda d, f=lambda v: v: F.expr("case tier " + " ".join(f"when {t} then {f(v)}" for t, v in d.items()) + " end").cast("long")
-
-    def piece(df: DataFrame, start, length, kind, index, seq_id, offset) -> DataFrame:
-        return df.select("row", F.expr(start).alias("start"), F.expr(length).alias("length"), kind.cast("int").alias("tier"), F.expr(seq_id).alias("sequence_id"), F.expr(offset).alias("offset"), (F.expr(index) % groups).cast("long").alias("step_group"))
-
-    whole_docs = at.where("k > 0").withColumn("i", F.explode(F.expr("sequence(0L, k - 1)")))
-    out = [piece(whole_docs, f"i * {top}", f"cast({top} as long)", F.lit(top), "k_at + i", "k_at + i", "0L")]
-    opened = at.where("opens").withColumn("w", F.expr(f"{full} + long_at - {skipped}"))
-    out.append(piece(opened, f"k * {top}", "r", F.lit(top), "w", "w", "0L"))
-    fill = at.where("not opens and r > 0")
-    # Fill before the end of all gaps meets them in buckets; a pair counts in the bucket where its overlap begins.
-    g = opened.where("gap > 0").withColumn("g0", F.expr(f"gap_at - {skipped_gap}")).withColumn("g1", F.expr("g0 + gap")).select("g0", "g1", "w", F.col("r").alias("before"), F.explode(F.expr(f"sequence(g0 div {BUCKET}, (g1 - 1) div {BUCKET})")).alias("b"))
-    f = fill.where(F.col("x") < gaps).withColumn("x1", F.least(F.expr("x + r"), F.lit(gaps))).select("row", "k", "x", "x1", F.explode(F.expr(f"sequence(x div {BUCKET}, (x1 - 1) div {BUCKET})")).alias("b"))
-    met = f.join(g, (f.b == g.b) & (f.x < g.g1) & (g.g0 < f.x1) & (F.expr(f"greatest(x, g0) div {BUCKET}") == f.b))
-    out.append(piece(met, f"k * {top} + greatest(x, g0) - x", "least(x1, g1) - greatest(x, g0)", F.lit(top), "w", "w", "before + greatest(x, g0) - g0"))
-    left = fill.where(F.col("x") + F.col("r") > gaps).withColumn("x0", F.greatest("x", F.lit(gaps))).withColumn("p0", F.col("x0") - lit(begin)).withColumn("p1", F.expr("x + r") - lit(begin)).withColumn("whole", lit(tails, lambda v: v[0]))
-    own = left.where("p0 < whole").withColumn("e", F.least("p1", "whole")).withColumn("i", F.explode(F.expr("sequence(p0 div tier, (e - 1) div tier)"))).withColumn("a", F.greatest("p0", F.expr("i * tier"))).withColumn("z", F.least("e", F.expr("(i + 1) * tier"))).withColumn("s", lit(base) + F.col("i"))
-    out.append(piece(own, f"k * {top} + x0 - x + a - p0", "z - a", F.col("tier"), "i", "s", "a - i * tier"))
-    rest = left.where("p1 > whole").withColumn("y0", F.greatest("p0", "whole")).withColumn("q0", F.col("y0") - F.col("whole") + lit(tails, lambda v: v[1])).withColumn("q1", F.expr("q0 + p1 - y0"))
-    rest = rest.withColumn("i", F.explode(F.expr(f"sequence(q0 div {top}, (q1 - 1) div {top})"))).withColumn("a", F.greatest("q0", F.expr(f"i * {top}"))).withColumn("z", F.least("q1", F.expr(f"(i + 1) * {top}")))
-    out.append(piece(rest, f"k * {top} + x0 - x + y0 - p0 + a - q0", "z - a", F.lit(top), "i", f"{tail_seq} + i", f"a - i * {top}"))
-    made = out[0]
-    for more in out[1:]:
-        made = made.unionByName(more)
-    return made
+        own = out.tier == t
+        out.of_tier[own] = np.cumsum(m[own]) - m[own]
+    out.slots = {n: tuple(np.array(c, np.int64) for c in zip(*s, strict=True)) for n, s in slots.items()}
+    out.windows, out.top_windows = int(m.sum()), int(m[out.tier == tiers[-1]].sum())
+    tail = max(0, int((reserve * lengths).sum()) - int(out.gap_at[-1]))
+    padded = tiers[-1] * (full - (-tail // tiers[-1])) + int((m * out.tier).sum())
+    out.groups = max(1, -(-padded // step_tokens))
+    return out
+
+
+def pieces(p: Plan, n: int, number: int, k_at: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(start, length, sequence_id, offset, tier, step_group, cut) for a document of n ids whose rest is the number-th of all rests by length, and before which k_at windows are full."""
+    top = p.tiers[-1]
+    k, r = divmod(n, top)
+    out = [(i * top, top, k_at + i, 0, top, (k_at + i) % p.groups, 0) for i in range(k)]
+    if not r:
+        return out
+    own = number - int(p.seen[r])
+    if own < p.whole[r]:
+        first, each, pattern, offset = p.slots[r]
+        s = int(np.searchsorted(first, own, side="right")) - 1
+        w, c = divmod(own - int(first[s]), int(each[s]))
+        q = int(pattern[s])
+        tier, index = int(p.tier[q]), int(p.of_tier[q]) + w
+        group = index + (p.full if tier == top else 0)
+        return [*out, (k * top, r, p.full + int(p.first[q]) + w, int(offset[s]) + c * r, tier, group % p.groups, 0)]
+    x, start, gaps = int(p.before[r]) + (own - int(p.whole[r])) * r, k * top, int(p.gap_at[-1])
+    end = x + r
+    while x < end:
+        if x < gaps:
+            q = int(np.searchsorted(p.gap_at, x, side="right")) - 1
+            w, into = divmod(x - int(p.gap_at[q]), int(p.gap[q]))
+            tier, index = int(p.tier[q]), int(p.of_tier[q]) + w
+            sequence, offset, room = p.full + int(p.first[q]) + w, int(p.tier[q] - p.gap[q]) + into, int(p.gap[q]) - into
+            group = index + (p.full if tier == top else 0)
+        else:
+            w, offset = divmod(x - gaps, top)
+            tier, room, sequence, group = top, top - offset, p.full + p.windows + w, p.full + p.top_windows + w
+        length = min(room, end - x)
+        out.append((start, length, sequence, offset, tier, group % p.groups, int(length < r)))
+        x, start = x + length, start + length
+    return out
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True, kept_units: int = KEPT_UNITS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, row, ids) for every piece; row numbers the rows of docs, ids may be left out.
-
-    path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. A null or
-    empty text has the end id only. Every row is a document of its own, also where doc_ids repeat or are null; the
-    doc_id only labels its pieces. An empty table gives an empty result; other columns are ignored.
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, cut, row, ids) for every piece; row numbers the rows of docs, ids may be left out.
+
+    path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. tiers are powers
+    of two, the last the longest. cut is 1 for a piece of a rest that was cut to fill gaps: of a table with short and
+    long documents, that is a few in a hundred at most; no other rest is. step_group deals the sequences of every tier
+    round robin over as many groups as there are steps of step_tokens, so groups hold equally many of each tier, give or
+    take one. A null or empty text has the end id only; a text of any length is encoded and placed whole. Every row is
+    a document of its own, also where doc_ids repeat or are null; the doc_id only labels its pieces. An empty table
+    gives an empty result; other columns are ignored.
     """
     known = cut(encoded(docs, path, end_id, kept_units=kept_units))
-    dtype = encoder(path).dtype.str
-    pieces = plan(known.select("row", "n"), tiers, step_tokens)
-    names = ["start", "length", "sequence_id", "offset", "tier", "step_group"]
+    dtype, top = encoder(path).dtype.str, tiers[-1]
+    sizes = known.select("row", F.expr(f"n div {top}").alias("k"), F.expr(f"n % {top}").alias("r"))
+    counts, full = np.zeros(top, np.int64), 0
+    for x in sizes.groupBy("r").agg(F.count("*").alias("n"), F.sum("k").alias("k")).collect():  # a row for each length of a rest at most
+        full += x.k
+        if x.r:
+            counts[x.r] = x.n
+    made = plan(counts, full, tiers, step_tokens)
+    at = running(ranged(sizes, "r", "row"), [], ["r", "row"], {"number": F.expr("cast(r > 0 as long)"), "k_at": "k"}).select("row", "number", "k_at")
+    names = ["start", "length", "sequence_id", "offset", "tier", "step_group", "cut"]
     with_ids = ids
     out_names = ["doc_id", *names, "ids_crc32", "doc_tokens", "row", *(["ids"] if ids else [])]
-    of_row = pieces.groupBy("row").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in names])).alias("pieces"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces = b.column(3)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(pieces.offsets)))
-            fields = {c: np.asarray(pieces.flatten().field(c)) for c in names}
-            order = np.lexsort((fields["start"], doc))
-            doc, fields = doc[order], {c: v[order] for c, v in fields.items()}
-            raw = [id_array(x, dtype) for x in b.column(2).to_pylist()]
-            parts = [raw[d][s : s + n] for d, s, n in zip(doc.tolist(), fields["start"].tolist(), fields["length"].tolist(), strict=True)]
-            at = pa.array(doc)
-            cols = [b.column(0).take(at), *[pa.array(v) for v in fields.values()], pa.array([zlib.crc32(x) for x in parts], pa.int64()), b.column(1).take(at), b.column(4).take(at)]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts or [np.zeros(0)]).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(cols, names=out_names)
-
-    joined = known.join(of_row, "row").select("doc_id", "n", "ids", "pieces", "row")
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                doc, placed, parts = [], [], []
+                for i, (n, raw, number, k_at) in enumerate(zip(*[b.column(c).to_pylist() for c in (1, 2, 3, 4)], strict=True)):
+                    own = id_array(raw, dtype)
+                    for piece in pieces(made, n, number, k_at):
+                        doc.append(i)
+                        placed.append(piece)
+                        parts.append(own[piece[0] : piece[0] + piece[1]])
+                at = pa.array(doc, pa.int64())
+                fields = np.array(placed, np.int64).reshape(-1, len(names))
+                cols = [b.column(0).take(at), *[pa.array(fields[:, c]) for c in range(len(names))], pa.array([zlib.crc32(x) for x in parts], pa.int64()), b.column(1).take(at), b.column(5).take(at)]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts or [np.zeros(0)]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=out_names)
+
+    joined = known.join(at, "row").select("doc_id", "n", "ids", "number", "k_at", "row")
     out = joined.mapInArrow(tidied(run), ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in out_names))
-    return out.withColumn("tier", F.col("tier").cast("int")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "row", *(["ids"] if ids else []))
+    return out.withColumn("tier", F.col("tier").cast("int")).withColumn("cut", F.col("cut") == 1).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "cut", "row", *(["ids"] if ids else []))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut, shared_dir, tidied
+from quillwork.llm._common import cut, ranged, running, shared_dir, tidied
 from quillwork.llm.tokens import encoded, encoder, id_bytes
 
 MAGIC = b"QWSST001"
@@ -83,6 +83,7 @@ class Writer:
         self.at = out.write(MAGIC) and len(MAGIC)
         self.block, self.size, self.last = [], 0, b""
         self.index, self.keys = [], []
+        self.first = b""
         self.docs = self.ids = self.docs_before = self.ids_before = 0
         self.pack = zstandard.ZstdCompressor(level=1)
 
@@ -97,7 +98,7 @@ class Writer:
         entry = _varint(shared) + _varint(9 - shared) + _varint(n) + key[shared:]
         self.block += [entry, ids]
         self.size += len(entry) + len(ids)
-        self.last = key
+        self.last, self.first = key, self.first or key
         if not self.keys or self.keys[-1] != key:
             self.keys.append(key)
         self.docs += 1
@@ -118,10 +119,11 @@ class Writer:
             self._flush()
         index = b"".join(self.index)
         bits = max(64, len(self.keys) * BITS + 7 & ~7)
-        bloom = np.zeros(bits, np.uint8)
+        bloom = bytearray(bits // 8)
         for key in self.keys:
-            bloom[_probes(key, bits)] = 1
-        packed = np.packbits(bloom, bitorder="little").tobytes()
+            for p in _probes(key, bits):
+                bloom[p >> 3] |= 1 << (p & 7)
+        packed = bytes(bloom)
         self.out.write(index + packed)
         self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), len(packed), self.docs, self.ids, zlib.crc32(index + packed), self.width, MAGIC))
 
@@ -180,22 +182,45 @@ class Reader:
                 yield id_of(key), start, ids
 
 
-def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_bytes: int = 64 << 20, most_shards: int = 4096) -> DataFrame:
-    """Write docs' ids into files below folder in ascending doc_id order; (shard, file, docs, ids) for each file.
+def _limits(docs: DataFrame, shard_bytes: int) -> list[tuple[int, int, int, int]]:
+    """The (known, key, text hash, row number) at which each shard but the first begins, as sums of text bytes in that order pass multiples of shard_bytes."""
+    sized = docs.select(*_order(), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
+    order = list(ORDER)
+    at = running(ranged(sized, *order), [], order, {"before": "size"})
+    crossed = at.where(F.expr(f"(before + size) div {shard_bytes} > before div {shard_bytes}"))
+    return [tuple(x) for x in crossed.select(*order).orderBy(*order).collect()]  # a row for each shard
 
-    path is a file of the tokenizers library; end_id follows the ids of each text. Shards are ranges of doc_id between
-    quantiles, about shard_bytes of text each (most_shards bounds the list of limits that the driver holds). Each file is
-    written under a name of its own and then renamed, so a task that runs again leaves a whole file. A null text is
-    empty; a null doc_id comes first; rows of one doc_id stay together, by their ids. An empty table makes no file.
+
+ORDER = ("known", "key", "mixed", "row")
+
+
+def _order() -> list[F.Column]:
+    """What rows are ordered by: doc_id, null first, then a hash of the text, then the row's number. Rows of one doc_id, or none, can thus lie in several shards."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").isNotNull().cast("long").alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("mixed"), F.monotonically_increasing_id().alias("row")]
+
+
+def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Write docs' ids into files below folder in ascending doc_id order; (shard, file, docs, ids, first, last) for each file, first and last being its least and greatest key as hexadecimal digits.
+
+    path is a file of the tokenizers library; end_id follows the ids of each text. Shards are cut where the sum of text
+    bytes passes a multiple of shard_bytes, so a shard has that many bytes and less than one document more, however
+    many rows have one doc_id; the driver and the tasks hold one limit for each. Each file is written under a name of its
+    own and then renamed, so a task that runs again leaves a whole file. A null text is empty; a null doc_id comes
+    first; rows of one doc_id are ordered by a hash of their texts, rows alike in both each have an entry; a text of
+    any length is one entry. An empty table makes no file; other columns are ignored.
     """
     spark = docs.sparkSession
-    n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(most_shards, max(width, -(-n_bytes // shard_bytes)))
-    limits = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).first()[0] or []
-    limits = np.unique(np.array(limits, np.int64))
+    limits = spark.sparkContext.broadcast(_limits(docs, shard_bytes))  # 24 bytes for each shard_bytes of text
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(limits.value) + 1)
     item = encoder(path).dtype
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = limits.value
+        for b in batches:
+            shard = [bisect.bisect_left(at, k) for k in zip(*[b.column(c).to_pylist() for c in ORDER], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *[b.column(c) for c in (*ORDER, "ids")]], names=["shard", *ORDER, "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         now = temp = out = sink = None
@@ -204,27 +229,34 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
         def end() -> None:
             out.close()
             sink.close()
-            name = posixpath.join(root, f"shard-{now:06d}.sst")
-            fs.move(temp, name)
-            made.append((now, posixpath.join(folder, f"shard-{now:06d}.sst"), out.docs, out.ids))
+            name = f"shard-{now:08d}.sst"
+            fs.move(temp, posixpath.join(root, name))
+            made.append((now, posixpath.join(folder, name), out.docs, out.ids, out.first.hex(), out.last.hex()))
 
         for b in batches:
-            for shard, doc_id, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            for shard, known, key, ids in zip(*[b.column(c).to_pylist() for c in ("shard", "known", "key")], b.column("ids"), strict=True):
                 if shard != now:
                     if out:
                         end()
-                    fs.create_dir(root, recursive=True)
-                    now, temp = shard, posixpath.join(root, f".{uuid.uuid4().hex}")
+                    parts = posixpath.join(root, "unfinished")
+                    fs.create_dir(parts, recursive=True)
+                    now, temp = shard, posixpath.join(parts, uuid.uuid4().hex)
                     sink = fs.open_output_stream(temp)
                     out = Writer(sink, item.itemsize)
-                out.add(doc_id, id_bytes(ids.as_py()))
+                out.add(key if known else None, id_bytes(ids.as_py()))
         if out:
             end()
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "file", "docs", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["shard", "file", "docs", "ids", "first", "last"])
 
-    dealt = encoded(docs, path, end_id, limits).select("shard", "doc_id", "n", "ids").repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
-    return cut(dealt.mapInArrow(tidied(write), "shard int, file string, docs long, ids long"))
+    *keys, row = _order()
+    known = encoded(docs.select("doc_id", "text", *keys, row.alias("place")), path, end_id, carried=("known", "key", "mixed", "place")).withColumn("row", F.col("place")).select(*ORDER, "ids")
+    dealt = known.mapInArrow(deal, "shard int, known long, key long, mixed long, row long, ids binary").repartitionById(n, F.col("shard"))
+    files = cut(dealt.sortWithinPartitions("shard", *ORDER).mapInArrow(tidied(write), "shard int, file string, docs long, ids long, first string, last string"))
+    fs, root = file_system(folder)
+    if fs.get_file_info(posixpath.join(root, "unfinished")).type.name != "NotFound":
+        fs.delete_dir(posixpath.join(root, "unfinished"))  # what lost tasks have left
+    return files
 
 
 def read_tables(files: DataFrame) -> DataFrame:
@@ -253,13 +285,14 @@ def read_tables(files: DataFrame) -> DataFrame:
 
 
 def lookup(files: DataFrame, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of a document by its doc_id: files' filters are asked in turn. For single lookups, on the driver."""
-    for x in files.select("file").toLocalIterator():
+    """The ids of every document of this doc_id: only files whose keys enclose it are opened, and in each the filter, the index and one block are read."""
+    key = key_of(doc_id).hex()
+    found = []
+    for x in files.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("shard").select("file").toLocalIterator():
         fs, name = file_system(x.file)
         with fs.open_input_file(name) as f:
-            if found := Reader(f).get(doc_id):
-                return found
-    return []
+            found += Reader(f).get(doc_id)
+    return found
 
 
 def fresh_folder(spark) -> str:

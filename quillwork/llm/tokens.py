@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,23 @@ from quillwork.llm._common import tidied
 
 #: A worker keeps the ids of at most so many units (about 300 bytes each), and of so many characters of them.
 KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
-#: Units given to the library in one text, parted by a special token; such texts in one call; characters cut at once.
-JOINED, CALLED, CUT_CHARS = 2000, 8, 2_000_000
-MARKS = ".,;:!?"
-#: Letters that the libraries' rules never part, also in lower case: so not U+0130.
-WORD = re.compile("[ \n]?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+#: Units given to the library in one text; characters cut at once.
+JOINED, CUT_CHARS = 16_000, 2_000_000
+#: A word of its own between units where nothing else marks their ends; no text that holds it is cut.
+MARK = "\x01"
+#: Characters that Python and the library lower alike, and that no normal form changes: so not U+0130.
+PLAIN_CASE = re.compile("[^\0-įı-ɏ]")
 #: White space other than space and line feed, in the widest sense of either library.
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
 class Encoder:
-    """ids(texts) for one tokenizer file.
+    """ids(texts) for one tokenizer file, equal to the library's ids with add_special_tokens=False.
 
     Where the file's rules never join what a space or line feed separates, texts are cut there and each distinct unit
     is given to the library once: a byte-level rule keeps white space with the word that follows, a rule that drops
-    white space needs none of it. Any other file, and a text for which the cut isn't safe, is encoded whole.
+    white space needs none of it. A unit that holds the string of a special token is given alone, so that it becomes
+    that token's id as in the whole text. Any other file, and a text for which the cut isn't safe, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,7 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with contextlib.suppress(AttributeError):  # every unit is new to the library: its own cache would only cost
             model = self.tokenizer.model
             model._resize_cache(0)
@@ -50,98 +52,68 @@ class Encoder:
             rules = json.load(f)
         pre = rules.get("pre_tokenizer") or {}
         first = (pre.get("pretokenizers") or [{}])[0]
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not rules.get("normalizer") and not rules.get("post_processor"):
+        added = rules.get("added_tokens", [])
+        self.special = [t["content"] for t in added]
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or " " in t["content"] or "\n" in t["content"] for t in added)
+        self.units, self.unsafe, self.leads = None, None, False
+        if plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not rules.get("normalizer") and not rules.get("post_processor"):
             self.units, self.unsafe, self.leads = re.compile("[ \n]*[^ \n]+|[ \n]+"), OTHER_SPACE, True
-        elif first.get("type") == "Split" and first.get("behavior") == "Removed" and "\\s" in str(rules.get("normalizer")) and not rules.get("post_processor"):
-            self.units, self.unsafe, self.leads = re.compile("[^ \n]+"), None, False
-        else:
-            self.units, self.unsafe, self.leads = None, None, False
-        own = [t for t in rules.get("added_tokens", []) if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
-        self.special = [t["content"] for t in rules.get("added_tokens", [])]
-        self.lowers = "'Lowercase'" in str(rules.get("normalizer"))
-        # Words given to the library side by side are told apart by their ids: the first of each starts with white
-        # space, or the last of each carries the mark for the end of a word.
-        suffix = rules["model"].get("end_of_word_suffix")
-        self.first = self.last = None
-        vocabulary = rules["model"].get("vocab")
-        if self.units is not None and isinstance(vocabulary, dict):
-            flags = np.zeros(max(vocabulary.values()) + 1, bool)
-            if self.leads:
-                flags[[i for t, i in vocabulary.items() if t[0] in "\u0120\u010a"]] = True
-                self.first = flags
-            elif suffix:
-                flags[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-                self.last = flags
-        self.part = own[-1] if own else None
+        elif plain and first.get("type") == "Split" and first.get("behavior") == "Removed" and "\\s" in str(rules.get("normalizer")) and not rules.get("post_processor"):
+            self.units = re.compile("[^ \n]+")
+        self.lowers = self.units is not None and not self.leads and "'Lowercase'" in str(rules.get("normalizer"))
+        # Units given to the library side by side are told apart by their ids: each starts with white space, or a mark
+        # that the library makes one id of stands between them.
+        self.first = self.mark = None
+        if self.leads:
+            vocabulary = rules["model"]["vocab"]
+            self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.first[[i for t, i in vocabulary.items() if t[0] in "ĠĊ"]] = True
+        elif self.units is not None:
+            a, b, ab = ([*self.tokenizer.encode(t, add_special_tokens=False).ids] for t in ("ab", "ba", f"ab {MARK} ba"))
+            if len(ab) == len(a) + len(b) + 1 and ab[: len(a)] == a and ab[len(a) + 1 :] == b:
+                self.mark = ab[len(a)]
         self.kept: dict[str, bytes] = {"": b""}
         self.chars, self.limit = 0, KEPT_UNITS
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str], plain: list[str]) -> dict[str, bytes]:
-        """The ids of each unit. Words are given side by side and told apart by flags of their ids; other units go to the
-        library as one text, parted by a special token, whose id parts the ids."""
-        if self.part is None:
-            return dict(zip(words + plain, self._whole(words + plain), strict=True))
-        done: dict[str, bytes] = {}
-        if self.first is not None:
-            side = [u for u in words if u[0] in " \n"]
-            plain = plain + [u for u in words if u[0] not in " \n"]
-        elif self.last is not None:
-            side = words
+    def _side_by_side(self, run: list[str]) -> Iterator[bytes] | None:
+        """The ids of each of run's units from one call; None if the ids don't tell them apart."""
+        (e,) = self.tokenizer.encode_batch_fast([("" if self.leads else f" {MARK} ").join(run)], add_special_tokens=False)
+        ids, width = np.array(e.ids, self.dtype), self.dtype.itemsize
+        if self.leads:
+            at = np.flatnonzero(self.first[ids]) * width
+            starts, ends = at.tolist(), [*at[1:].tolist(), len(ids) * width]
         else:
-            side, plain = [], plain + words
-        for i in range(0, len(side), JOINED * CALLED):
-            run = side[i : i + JOINED * CALLED]
-            (e,) = self.tokenizer.encode_batch_fast([("" if self.leads else " ").join(run)], add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            if self.first is not None:
-                edges = [*np.flatnonzero(self.first[ids]).tolist(), len(ids)]
-            else:
-                edges = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            if len(edges) != len(run) + 1:  # not a rule that the flags describe
-                self.first = self.last = None
-                plain = plain + [u for u in side if u not in done]
-                break
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            done.update(zip(run, (raw[s * width : e * width] for s, e in zip(edges, edges[1:], strict=False)), strict=True))
-        rest = plain
-        if any(t in "\0".join(rest) for t in self.special):
-            odd = [u for u in rest if any(t in u for t in self.special)]
-            done.update(zip(odd, self._whole(odd), strict=True))
-            rest = [u for u in rest if u not in done]
-        runs = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
-        width = self.dtype.itemsize
-        for i in range(0, len(runs), CALLED):
-            called = runs[i : i + CALLED]
-            self.tokenizer.encode_special_tokens = False
-            answers = self.tokenizer.encode_batch_fast([self.part["content"].join(r) for r in called], add_special_tokens=False)
-            self.tokenizer.encode_special_tokens = True
-            for run, e in zip(called, answers, strict=True):
-                ids = np.array(e.ids, self.dtype)
-                at = np.flatnonzero(ids == self.part["id"])
-                raw, starts, ends = ids.tobytes(), [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(ids) * width]
-                done.update(zip(run, (raw[s:e] for s, e in zip(starts, ends, strict=True)), strict=True))
-        return done
-
-    def _learn(self, missing: set[str]) -> None:
-        # A word and the mark that ends it are parted by the library, so each of the two is encoded once; so is a word
-        # in whatever case, if the library lowers it.
-        match, words, plain, of = WORD.fullmatch, set(), set(MARKS), {}
-        for u in missing:
-            mark = u[-1] if u[-1] in MARKS else ""
-            if match(u, 0, len(u) - len(mark)):
-                w = u[:-1] if mark else u
-                if self.lowers:
-                    w = w.lower()
-                words.add(w)
-                of[u] = w, mark
+            at = np.flatnonzero(ids == self.mark) * width
+            starts, ends = [0, *(at + width).tolist()], [*at.tolist(), len(ids) * width]
+        if len(starts) != len(run) or self.leads and starts[0]:
+            return None
+        raw = ids.tobytes()
+        return (raw[s:e] for s, e in zip(starts, ends, strict=True))
+
+    def _learn(self, missing: list[str]) -> None:
+        if self.leads:
+            side = [u for u in missing if len(u) > 1 and u[0] in " \n" and u[1] not in " \n"]
+            alone = [u for u in missing if not (len(u) > 1 and u[0] in " \n" and u[1] not in " \n")]
+        elif self.mark is not None:
+            side, alone = missing, []
+        else:
+            side, alone = [], missing
+        joined = "\0".join(side)
+        if any(t in joined for t in self.special) or MARK in joined:
+            odd = (*self.special, MARK)
+            alone += [u for u in side if any(t in u for t in odd)]
+            side = [u for u in side if not any(t in u for t in odd)]
+        for i in range(0, len(side), JOINED):
+            run = side[i : i + JOINED]
+            got = self._side_by_side(run)
+            if got is None:
+                alone += run
             else:
-                plain.add(u)
-        kept = self.kept
-        kept.update(self._each(list(words - kept.keys()), list(plain - kept.keys())))
-        kept.update({u: kept[w] + kept[mark] if mark else kept[w] for u, (w, mark) in of.items()})
+                self.kept.update(zip(run, got, strict=True))
+        self.kept.update(zip(alone, self._whole(alone), strict=True))
         self.chars += sum(map(len, missing))
 
     def _cut(self, text: str) -> list[str] | None:
@@ -149,11 +121,15 @@ class Encoder:
         if self.units is None or self.unsafe is not None and self.unsafe.search(text):
             return None
         if not self.leads:
+            if self.lowers and (text.isascii() or not PLAIN_CASE.search(text)):
+                lower = text.lower()
+                if not any(t in lower for t in self.special):
+                    text = lower
             return text.replace("\n", " ").split(" ")  # between two separators lies the empty unit, of no ids
-        if "  " in text or " \n" in text or "\n\n" in text or "\n " in text or text[:1] in " \n":
+        if "  " in text or " \n" in text or "\n\n" in text or "\n " in text or text[:1] in " \n" or "\0" in text:
             return self.units.findall(text)
         # Every separator is one character: a space leads its word, a line feed too.
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else self.units.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of dtype."""
@@ -172,13 +148,11 @@ class Encoder:
         cut = [self._cut(t) for t in texts]
         if len(self.kept) > self.limit or self.chars > KEPT_CHARS:
             self.kept, self.chars = {"": b""}, 0
-        got = [list(map(self.kept.get, c)) if c else [] for c in cut]
-        gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
-        self._learn({c[i] for c, gap in zip(cut, gaps, strict=True) for i in gap})
-        for c, g, gap in zip(cut, got, gaps, strict=True):
-            for i in gap:
-                g[i] = self.kept[c[i]]
-        return [self._whole([t])[0] if c is None else b"".join(g) for t, c, g in zip(texts, cut, got, strict=True)]
+        missing = list(filterfalse(self.kept.__contains__, set().union(*[c for c in cut if c])))
+        if missing:
+            self._learn(missing)
+        known = self.kept.__getitem__
+        return [self._whole([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -191,12 +165,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None = None, kept_units: int = KEPT_UNITS) -> DataFrame:
-    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed. A null text is empty.
-
-    With limits, ascending doc_ids, also shard: how many of them are below the row's doc_id (none below a null one).
-    """
-    names = ["row", "doc_id", "n", "ids", *(["shard"] if limits is not None else [])]
+def encoded(docs: DataFrame, path: str, end_id: int, kept_units: int = KEPT_UNITS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed; then the columns `carried` (longs). A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -206,14 +176,10 @@ def encoded(docs: DataFrame, path: str, end_id: int, limits: np.ndarray | None =
         for b in batches:
             raw = [x + end for x in own.ids([t or "" for t in b.column(2).to_pylist()])]
             n, ids = [len(x) // own.dtype.itemsize for x in raw], [pack.compress(x) for x in raw]
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
-            if limits is not None:
-                known = np.array([-(1 << 63) if d is None else d for d in b.column(1).to_pylist()], np.int64)
-                cols.append(pa.array(np.searchsorted(limits, known), pa.int32()))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(run), "row long, doc_id long, n long, ids binary" + (", shard int" if limits is not None else ""))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *b.columns[3:]], names=["row", "doc_id", "n", "ids", *carried])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.mapInArrow(tidied(run), "row long, doc_id long, n long, ids binary" + "".join(f", {c} long" for c in carried))
 
 
 _unpacker = zstandard.ZstdDecompressor()

@@ -69,22 +69,38 @@ def test_packing_of_odd_rows(odd):
     assert sorted(whole.values())[:4] == [1, 1, 1, 1]
 
 
-@pytest.mark.parametrize("lengths", [[4096], [4095, 1], [2049] * 50, [4000] * 9 + [3000] * 9, [1] * 700, [1500] * 40 + [3000] * 30, [10_000, 1, 2048, 1024, 512], [511, 1023, 2047, 4095]])
-def test_plan(spark, lengths):
-    got = packing.plan(spark.createDataFrame(list(enumerate(lengths)), "row long, n long")).collect()
-    for i, n in enumerate(lengths):
-        at = 0
-        for r in sorted((r for r in got if r.row == i), key=lambda r: r.start):
-            assert r.start == at and r.length > 0
-            at += r.length
-        assert at == n
-    full = {}
-    for s in {r.sequence_id for r in got}:
-        own = sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset)
-        assert [r.offset for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]]
-        full[s] = sum(r.length for r in own)
-        assert full[s] <= own[0].tier and len({r.tier for r in own}) == 1
-    assert sum(0 if n & (n - 1) == 0 else 4096 - n for n in full.values()) < 2 * 4096
+@pytest.mark.parametrize("lengths", [[4096], [4095, 1], [2049] * 50, [4000] * 9 + [3000] * 9, [1] * 700, [1500] * 40 + [3000] * 30, [10_000, 1, 2048, 1024, 512], [511, 1023, 2047, 4095], [1 + (i * 37) % 5000 for i in range(2000)]])
+def test_plan(lengths):
+    lengths = np.array(lengths)
+    k, r = lengths // 4096, lengths % 4096
+    counts = np.bincount(r, minlength=4096)
+    counts[0] = 0
+    plan, number, k_at, full = packing.plan(counts, int(k.sum())), 0, 0, {}
+    n_cut = set()
+    for i in np.lexsort((np.arange(len(r)), r)):
+        got, at = packing.pieces(plan, int(lengths[i]), number, k_at), 0
+        number, k_at = number + int(r[i] > 0), k_at + int(k[i])
+        for start, length, sequence, offset, tier, group, piece_cut in got:
+            assert start == at and length > 0
+            at += length
+            full.setdefault(sequence, []).append((offset, length, tier, group))
+            if piece_cut:
+                n_cut.add(i)
+        assert at == lengths[i]
+    padding, groups = 0, {}
+    for own in full.values():
+        own.sort()
+        assert [x[0] for x in own] == [0, *np.cumsum([x[1] for x in own])[:-1]]
+        n = sum(x[1] for x in own)
+        assert n <= own[0][2] and len({x[2:] for x in own}) == 1
+        groups.setdefault(own[0][2], []).append(own[0][3])
+        padding += 0 if n & (n - 1) == 0 else 4096 - n
+    assert padding < 4096
+    for own in groups.values():
+        share = np.bincount(own, minlength=plan.groups)
+        assert share.max() - share.min() <= 1
+    if len(lengths) == 2000:
+        assert len(n_cut) < 0.1 * len(lengths)
 
 
 def test_substring_of_odd_rows(odd):

@@ -11,9 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillwork.llm import html_text, kneser_ney, mixing, quality, queries, simhash, sstable, substring
+from quillwork.llm import html_text, kneser_ney, mixing, packing, quality, queries, simhash, sstable, substring
 from quillwork.llm.tokens import Encoder
 
 
@@ -132,7 +133,6 @@ def test_op3(spark, sf_dir, docs):
 
 def test_op4(spark, sf_dir, docs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = {d[0]: np.array([*e.ids, 2], "<u4") for d, e in zip(docs, t.encode_batch([d[1] for d in docs], add_special_tokens=False), strict=True)}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in queries.op4_packing(spark, sf_dir).collect():
@@ -342,7 +342,6 @@ def test_op9(spark, sf_dir, docs):
 
 def test_op10(spark, sf_dir, docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got, at = by_id(queries.op10_sstable(spark, sf_dir)), 0
     for (i, _, _), e in zip(docs, t.encode_batch([d[1] for d in docs], add_special_tokens=False), strict=True):
         ids = np.array([*e.ids, 0], "<u4")
@@ -351,7 +350,9 @@ def test_op10(spark, sf_dir, docs):
 
 
 def test_lookup(spark, sf_dir, docs):
-    files = sstable.write_tables(spark.read.parquet(f"{sf_dir}/documents.parquet"), sstable.fresh_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit("x").alias("file"), F.lit(1).alias("first"))
+    files = sstable.write_tables(table, sstable.fresh_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=50_000)
+    assert files.count() > 4
     own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for i in (0, 57, 199):
         (found,) = sstable.lookup(files, i)
@@ -359,9 +360,43 @@ def test_lookup(spark, sf_dir, docs):
     assert sstable.lookup(files, 10**9) == [] == sstable.lookup(files, None)
 
 
+def test_tables_are_cut_by_bytes(spark):
+    """Shards follow the bytes of texts, also where one doc_id has most of them, and a lookup finds all its rows."""
+    found = [(7, f"text {i} " + "word " * 300) for i in range(300)] + [(i, "short") for i in range(100, 900)] + [(-1, "long " * 30_000), (None, "no id"), (-(1 << 63), "least id")]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    files = sstable.write_tables(df, sstable.fresh_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=40_000)
+    own = {r.shard: r for r in files.collect()}
+    assert sum(r.docs for r in own.values()) == len(found) and len(own) > 10
+    text_tokens = 151_000
+    assert all(r.ids < 60_000 or r.docs == 1 or r.ids < text_tokens + 40_000 for r in own.values())
+    assert len(sstable.lookup(files, 7)) == 300 and len(sstable.lookup(files, None)) == 1 == len(sstable.lookup(files, -(1 << 63)))
+    got = sstable.read_tables(files).orderBy("start").collect()
+    assert [r.doc_id for r in got[:3]] == [None, -(1 << 63), -1]
+    assert [r.doc_id for r in got[3:]] == sorted(r.doc_id for r in got[3:])
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
+SPECIAL = ["a <|endoftext|> b", "a <|startoftext|> b", "<|endoftext|><|endoftext|>\n\n<|startoftext|> x", "A <|ENDOFTEXT|> <|endoftext|>", "plain", "x<|endoftext|>\ty", "a \x01 b"]
+
+
+def test_special_tokens_in_texts(spark):
+    """The string of a special token in a text becomes that token's id, as the library does it."""
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).orderBy("start").collect():
+        got[r.doc_id] += r.ids
+    assert [got[i] for i in range(len(SPECIAL))] == [[*word.encode(t, add_special_tokens=False).ids, 2] for t in SPECIAL]
+    assert 49407 in got[0] and 49406 in got[1]
+    rows = by_id(sstable.read_tables(sstable.write_tables(df, sstable.fresh_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))))
+    for i, t in enumerate(SPECIAL):
+        ids = np.array([*byte.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_units_encode_as_whole_texts(name, docs):
-    odd = ["", " ", "\n\n", "a\t b", "a \t\n b.", "x  y", " lead", "trail \n", "don't, I'll", "A<|endoftext|>b c", "é, ñandú! é,", " z  q", "Σίγμας, ΣΑΣ.", "1,5 (a).", "İ, ſ."]
+    odd = [*SPECIAL, "trail\n", "É é", "a\x01b \x01 c", "a\0b c", "", " ", "\n\n", "a\t b", "a \t\n b.", "x  y", " lead", "trail \n", "don't, I'll", "A<|endoftext|>b c", "é, ñandú! é,", " z  q", "Σίγμας, ΣΑΣ.", "1,5 (a).", "İ, ſ."]
     texts = [*odd, *[d[1] for d in docs[:60]]]
     own = Encoder(public_tokenizers.path(name))
     assert own.ids(texts) == own._whole(texts) == [own.ids([t])[0] for t in texts]
