@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, one is made for a local master (tests); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quillwork-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -95,10 +97,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, F.
     return out.drop(*[f"_v_{k}" for k in sums], *[f"_b_{k}" for k in sums])
 
 
-#: Rows of a join's small side up to which it is broadcast (some tens of bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a join's small side up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Parts into which salted_join() deals the rows of a key.
+SALTS = 16
 
 
-def checked(small: DataFrame, n: int) -> DataFrame:
-    """small, to be broadcast if its n rows are within the limit."""
-    return F.broadcast(small) if n <= BROADCAST_ROWS else small
+def checked(small: DataFrame, n: int, width: int = 64) -> DataFrame:
+    """small, to be broadcast if its n rows of about width bytes are within the limit."""
+    return F.broadcast(small) if n * width <= BROADCAST_BYTES else small
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes a written-down frame takes as a broadcast: strings, binaries and arrays by their lengths."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    width = lambda c: F.coalesce(F.octet_length(c) if kinds[c] in ("string", "binary") else 8 * F.size(c) if kinds[c] in ("array", "map") else F.lit(0), F.lit(0)) + 16
+    return df.agg(F.sum(sum((width(c) for c in df.columns), F.lit(16)))).first()[0] or 0
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The inner join of large with small, which is written down: by broadcast within the limit, beyond it with each key's rows dealt by a hash of the column `spread` over SALTS tasks."""
+    if bytes_of(small) <= limit:
+        return large.join(F.broadcast(small), on)
+    dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt.hint("shuffle_hash"), [*on, "_salt"]).drop("_salt")

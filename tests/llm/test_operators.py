@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillwork.llm import html_text, kneser_ney, mixing, packing, quality, queries, simhash, sstable, substring
+from quillwork.llm import _common, html_text, kneser_ney, mixing, packing, quality, queries, simhash, sstable, substring
 from quillwork.llm.tokens import Encoder
 
 
@@ -203,6 +203,37 @@ def test_html_rules():
     assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<") .replace("<", "") == ""
 
 
+GOOD = "This is the text of the article and it goes on for as long as a paragraph in the middle of a page does."
+MORE = "The second paragraph of it is as long as the first one was, so that there is more than one of them in the page."
+COMMENT = "I have read all of this and I am of the opinion that it was not as good as what you had in the paper before."
+RUSSIAN = "Это довольно длинный абзац русского текста, который стоит на странице рядом с английским. Он не короче других!"
+CODE = "def f(x):\n    return x * x + 17 * x - 1024 / (x - 3) ** 2\nprint(f(10), f(20), f(30), f(40), f(50))"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p>{GOOD}</p></article><aside><article><p>{COMMENT}</p></article></aside>", [GOOD]),
+        (f'<article><p>{GOOD}</p></article><article class="comment"><p>{COMMENT}</p></article>', [GOOD]),
+        (f"<article><h1>Title</h1><p>{GOOD}</p><p>{MORE}</p><article><p>{COMMENT}</p></article></article>", ["Title", GOOD, MORE]),
+        (f'<form id="aspnetForm"><div><h1>Title</h1><p>{GOOD}</p><p>{MORE}</p></div><div class="login"><p>{COMMENT}</p></div></form>', ["Title", GOOD, MORE]),
+        (f'<div class="post has-tags"><p>{GOOD}</p><p>{MORE}</p></div>', [GOOD, MORE]),
+        (f'<div id="social-policy"><p>{GOOD}</p><p>{MORE}</p></div>', [GOOD, MORE]),
+        (f"<nav><ul><li><a href=/>Home</a></li></ul><div><p>{GOOD}</p><p>{MORE}</p></div><footer><p>{COMMENT}</p></footer>", [GOOD, MORE]),
+        (f"<p>{GOOD}</p><a href=/x><div><p>{COMMENT}</p></div></a><p>{MORE}</p>", [GOOD, MORE]),
+        (f"<div><p>{GOOD}</p><p>Kurz.</p><p>{RUSSIAN}</p><p>Да.</p></div>", [GOOD, "Kurz.", RUSSIAN, "Да."]),
+        (f"<div><p>{GOOD}</p><pre>{CODE}</pre></div>", [GOOD, " ".join(CODE.split())]),
+        (f"<article><p>{GOOD} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>.</p></article>", [f"{GOOD} x=1."]),
+        (f'<article><p>{GOOD}</p></article><section class="reader-feedback"><h3>Two readers</h3><p>{COMMENT}</p></section>', [GOOD]),
+        (f'<div class="comments-page"><h1>Title</h1><p>{GOOD}</p></div>', ["Title", GOOD]),
+        (f"<p>{GOOD}<b><i><u><s>deep</s></u></i></b><span><em><div>{MORE}</div></em></span>", [GOOD + "deep", MORE]),
+        (f'<div hidden><p>{GOOD}</p></div><p>{MORE}</p>', [MORE]),
+    ],
+)
+def test_html_evidence(page, want):
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>").split("\n\n") == want
+
+
 def test_op7(spark, sf_dir, docs):
     got = by_id(queries.op7_mixing(spark, sf_dir))
     size = {i: len(words(t)) for i, t, _ in docs}
@@ -277,7 +308,7 @@ def test_quality_rejects_shared_lines_and_keeps_copies(spark):
     rows = [(i, "\n".join([*site, line(20 + 15 * i)]), "a") for i in range(40)]
     rows += [(100 + i, rows[39][1].split("\n")[3], "b") for i in range(40)]  # copies
     rows += [(200, rows[0][1], "c")]  # the same lines on another host
-    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=20, max_lengths=20))
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=20))
     for i in range(40):
         n = 20 + 15 * i
         assert got[i].n_removed == 90 and got[i].kept == (n >= 0.5 * (90 + n))
@@ -296,6 +327,49 @@ def test_quality_counts_documents_of_any_length_and_copies_once(spark):
     assert all(r.n_removed == 0 and r.kept for i, r in got.items() if i >= 100)
 
 
+def slow_verdicts(rows, max_docs=20, share=0.5):
+    """{row: (removed words, kept)} by the rules, without any of the operator's code."""
+    lines = [[x.lower().split() for x in (t or "").encode().split(b"\n") if x.split()] for _, t, _ in rows]
+    first, holders = {}, defaultdict(set)
+    for i, (d, _, s) in enumerate(rows):
+        first.setdefault((s, b" ".join(w for x in lines[i] for w in x)), i)
+    for i in first.values():
+        for x in lines[i]:
+            holders[rows[i][2], b" ".join(x)].add(("id", rows[i][0]) if rows[i][0] is not None else ("row", i))
+    out = {}
+    for i, (_, t, s) in enumerate(rows):
+        w = words(t)
+        gone = sum(len(x) for x in lines[i] if len(holders[s, b" ".join(x)]) > max_docs)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        count = Counter(grams)
+        again = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(3)}
+        out[i] = (gone, len(w) >= 50 and 100 * len(again) <= 50 * len(w) and len(w) - gone >= share * len(w))
+    return out
+
+
+def test_op8_verdicts(spark, docs):
+    """kept and n_removed of whole tables against the rules by brute force, on the table and on one with templated pages."""
+    rng = np.random.default_rng(5)
+    line = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 1 << 30, n))
+    site, other = [line(40) for _ in range(3)], line(60)
+    rows = [(i, "\n".join([*site, line(60)]), "site") for i in range(60)]  # templated pages of one length: rejected
+    rows += [(100 + i, "\n".join([site[0], line(60)]), "site") for i in range(30)]  # lose a line, stay
+    rows += [(200, "\n".join([other, line(60)]), "one") for _ in range(30)]  # rows of one doc_id are one document
+    rows += [(None, "\n".join([other, line(60)]), "none") for _ in range(30)]  # each without a doc_id is one
+    rows += [(300 + i, f"{other}\n{site[1]}" if i % 2 else f"{other.upper()}  \n{site[1]}", "copies") for i in range(40)]
+    rows += [tuple(d) for d in docs]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)).orderBy("row").collect()
+    want = slow_verdicts(rows)
+    assert [(r.n_removed, r.kept) for r in got] == [want[i] for i in range(len(rows))]
+    assert not any(r.kept for r in got[:60]) and all(r.kept and r.n_removed for r in got[60:90]) and all(r.n_removed == 0 for r in got[90:120]) and all(r.n_removed for r in got[120:150])
+
+
+def test_salted_join_without_broadcast(spark):
+    big = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    assert sorted(_common.salted_join(big, small, ["k"], "id", limit=0).collect()) == sorted(big.join(small, "k").collect())
+
+
 def test_op9(spark, sf_dir, docs):
     tokens = {i: [*(t or "").encode().lower().split(), b""] for i, t, _ in docs}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
