@@ -121,3 +121,15 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: str,
         return large.join(F.broadcast(small), on)
     dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt.hint("shuffle_hash"), [*on, "_salt"]).drop("_salt")
+
+
+#: Rows of one key from which a join takes it as hot.
+HOT_ROWS = 200_000
+
+
+def hot_join(large: DataFrame, small: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """large joined with small, whose keys differ; rows of the keys in hot, each of HOT_ROWS rows or more of large, meet theirs by broadcast. hot is written down, or None if there is none."""
+    if hot is None:
+        return large.join(small, on, how)
+    few = F.broadcast(hot)
+    return large.join(few, on, "left_semi").join(F.broadcast(small.join(few, on, "left_semi")), on, how).unionByName(large.join(few, on, "left_anti").join(small, on, how))

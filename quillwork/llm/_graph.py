@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import cut
+from quillwork.llm._common import HOT_ROWS, cut, hot_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,25 +14,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round every node goes over to that one of itself and its neighbours whose salted hash is least, and the edges
     between the new nodes are what remains: a constant share of nodes vanishes in each round whatever the shape
     (chains included), so rounds are logarithmic. The mappings, each smaller than the one before, are composed from the
-    last back to the first. Hubs cost no more than their partial minima; nothing but a count comes to the driver.
+    last back to the first. A hub of more than HOT_ROWS edges meets them by broadcast, so its edges stay where they are;
+    there are at most as many such hubs as edges by HOT_ROWS. Only counts come to the driver.
     """
-    left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    maps: list[DataFrame] = []
-    salt = 0
-    left = cut(left)
-    while not left.isEmpty():
-        salt += 1
-        key = lambda c: F.xxhash64(F.col(c), F.lit(salt))
+    left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    maps: list[tuple[DataFrame, DataFrame | None]] = []
+    while True:
+        salt = F.lit(str(len(maps)))  # a text, which compiled code refers to: all rounds share one
+        key = lambda c: F.xxhash64(F.col(c), salt)  # noqa: E731, B023
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(F.struct(key("b").alias("h"), F.col("b").alias("n"))).alias("m"))
-        step = cut(best.select(F.col("a").alias("node"), F.when(F.struct(key("a").alias("h"), F.col("a").alias("n")) < F.col("m"), F.col("a")).otherwise(F.col("m.n")).alias("to")))
-        maps.append(step)
-        moved = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b")
+        best = both.groupBy("a").agg(F.min(F.struct(key("b").alias("h"), F.col("b").alias("n"))).alias("m"), F.count("*").alias("degree"))
+        step = cut(best.select(F.col("a").alias("node"), F.when(F.struct(key("a").alias("h"), F.col("a").alias("n")) < F.col("m"), F.col("a")).otherwise(F.col("m.n")).alias("to"), "degree"))
+        facts = step.agg(F.count("*").alias("n"), F.max("degree").alias("most")).first()
+        if not facts.n:
+            break
+        hot = cut(step.where(F.col("degree") > HOT_ROWS).select("node")) if facts.most > HOT_ROWS else None
+        step = step.select("node", "to")
+        maps.append((step, hot))
+        moved = left
+        for end, to in (("a", "ra"), ("b", "rb")):
+            moved = hot_join(moved, step.select(F.col("node").alias(end), F.col("to").alias(to)), end, hot and hot.select(F.col("node").alias(end)))
         left = cut(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not maps:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where("false")
-    out = maps.pop().withColumnRenamed("to", "root")
+    out = maps.pop()[0].withColumnRenamed("to", "root")
     while maps:
+        step, hot = maps.pop()
         later = out.select(F.col("node").alias("to"), "root")
-        out = cut(maps.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+        out = hot_join(step, later, "to", hot and hot.select(F.col("node").alias("to")), "left").select("node", F.coalesce("root", "to").alias("root"))
+        if len(maps) % 4 == 0:
+            out = cut(out)
     return out

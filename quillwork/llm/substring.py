@@ -7,6 +7,10 @@ The answers come back to the document, which is parsed greedily: a factor starts
 earlier start elsewhere and goes on while the next phrase's answer moves on with it. Phrases across a factor's boundary
 are phrases of the index as well and are looked up like any other, so no repeat is missed where two sources meet.
 Factors are at least `length` words long; the words they cover are the duplicate spans.
+
+The index knows phrases by 64-bit hashes, so each factor is checked in the end: a digest of its words goes to the document
+that it is said to repeat, and is compared with that of the words there. Where they differ, the factor's phrases are
+compared one by one, and those that differ repeat nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import WORD, cut, shuffle_width, tidied
+from quillwork.llm._common import WORD, checked, cut, shuffle_width, tidied
 
 #: Words whose phrases a task sorts and packs together, and bytes of text for each block of the index: about 100 bytes of
 #: a worker's memory for each word. With more memory and a larger corpus both should grow, as the parts of the index
@@ -102,7 +106,7 @@ def _phrases(blocks: int, length: int):
         keys = sorted(docs)
         words = [docs[k] for k in keys]
         n = np.array([len(w) for w in words], np.int64)
-        doc, tie = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int32)
+        doc, tie = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
         at = np.repeat(np.arange(len(keys)), n)
         pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         h = phrase_hashes(np.concatenate(words), length)
@@ -211,14 +215,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """(doc, tie, data) for documents with phrases that also start earlier: packed word numbers and earlier starts. doc is the doc_id (the lowest long for null), tie a hash of the text that tells rows of one doc_id apart."""
+    """(doc, tie, data) for documents with phrases that also start earlier: packed word numbers and earlier starts. doc is the doc_id (the lowest long for null), tie a 64-bit hash of the text that tells rows of one doc_id apart."""
     spark = docs.sparkSession
     n_bytes = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), n_bytes // BLOCK_BYTES)
     texts = docs.select(_doc(), _tie(), F.col("text").cast("string").alias("text"))
     parts = texts.mapInArrow(tidied(_phrases(blocks, length)), KIND)
     answers = parts.repartitionById(blocks, F.col("to")).sortWithinPartitions("block").mapInArrow(tidied(_search(blocks)), KIND)
-    return cut(answers.repartitionById(blocks, F.col("to")).mapInArrow(tidied(_gather), "doc long, tie int, data binary"))
+    return cut(answers.repartitionById(blocks, F.col("to")).mapInArrow(tidied(_gather), "doc long, tie long, data binary"))
 
 
 def _doc() -> F.Column:
@@ -226,23 +230,59 @@ def _doc() -> F.Column:
 
 
 def _tie() -> F.Column:
-    return F.hash(F.col("text").cast("string")).alias("tie")
+    return F.xxhash64(F.col("text").cast("string")).alias("tie")
 
 
-def factors(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """The greedy parse: (first word, number of words, document and first word of the earlier start), in order."""
+def factors(data: bytes, length: int, unequal: set[tuple[int, int]] = frozenset(), own: int = 0) -> list[tuple[int, int, int, int]]:
+    """The greedy parse: (first word, number of words, document and first word of the earlier start), in order. unequal has the (tie, word) of phrases that are no repeats; own is the document's tie."""
     pos, ref_pos, ref_doc = (c.astype(np.int64) for c in _unpack(data))
     # A phrase may have an answer from its own chunk and one from the index; either is earlier.
     order = np.lexsort((ref_pos, ref_doc, pos))
     pos, ref_pos, ref_doc = pos[order], ref_pos[order], ref_doc[order]
     keep = np.r_[True, pos[1:] != pos[:-1]]
+    if unequal:
+        keep &= np.array([(own, p) not in unequal for p in pos.tolist()])
     pos, ref_pos, ref_doc = pos[keep], ref_pos[keep], ref_doc[keep]
+    if not len(pos):
+        return []
     broken = np.r_[True, (np.diff(pos) != 1) | (np.diff(ref_pos) != 1) | (np.diff(ref_doc) != 0)]
     at = np.flatnonzero(broken)
     ends = np.r_[at[1:], len(pos)] - 1
     return [(int(pos[s]), int(pos[e] - pos[s] + length), int(ref_doc[s]), int(ref_pos[s])) for s, e in zip(at, ends, strict=True)]
 
 
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+#: Spans compared in one row.
+SPANS = 4096
+
+
+def _unequal(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Those of spans (ref_doc, ref_word, words, digest) that no document of that id has: their words are others."""
+    asked = cut(spans.distinct())
+    listed = cut(asked.groupBy("ref_doc", F.pmod(F.xxhash64("ref_word", "words"), F.lit(64)).alias("part")).agg(F.collect_set(F.struct("ref_word", "words")).alias("spans")))
+    n = listed.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
+        for b in batches:
+            for i in range(b.num_rows):
+                text, doc = b.column(0)[i].as_py() or "", b.column(1)[i].as_py()
+                if text is not last:
+                    last, own = text, text.encode("utf-8", "replace").split()
+                found = [(x["ref_word"], x["words"]) for x in b.column(2)[i].as_py()]
+                for k in range(0, len(found), SPANS):
+                    some = found[k : k + SPANS]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(some)), pa.array([w for w, _ in some]), pa.array([m for _, m in some]), pa.array([digest(own[w : w + m]) for w, m in some], pa.binary())], names=["ref_doc", "ref_word", "words", "digest"])
+
+    texts = docs.select(_doc().alias("ref_doc"), F.col("text").cast("string").alias("text"))
+    wanted = texts.join(checked(listed.select("ref_doc").distinct(), n), "ref_doc", "left_semi")
+    theirs = wanted.join(checked(listed, n, 4096), "ref_doc").select("text", "ref_doc", "spans").mapInArrow(tidied(run), "ref_doc long, ref_word long, words long, digest binary")
+    return cut(asked.join(theirs, ["ref_doc", "ref_word", "words", "digest"], "left_anti"))
+
+
 _WORD = re.compile(WORD)
 
 
@@ -262,35 +302,64 @@ def deduplicate(docs: DataFrame, length: int = 20, texts: bool = False) -> DataF
     A word is removed if a run of length words that covers it also starts earlier: in a smaller doc_id, or earlier in
     the same document. All runs are judged on the input. factors is the parse: word, words, earlier doc_id and word. A
     null text has no words. Rows of one doc_id are told apart by their texts, in the order of a hash; rows alike in both
-    are one document and get the same result each. A null doc_id comes first. An empty table gives an empty result.
+    are one document and get the same result each. A null doc_id comes first. A text of any length is read whole. An
+    empty table gives an empty result.
     """
     found = repeats(docs, length)
     carried = docs.columns if texts else ["doc_id"]
     rows = docs.select(_doc(), _tie(), F.col("text").cast("string").alias("_text"), F.struct(*[F.col(c) for c in carried if c != "text"]).alias("_row"))
-    joined = rows.join(found, ["doc", "tie"], "left").select("_row", "_text", "data")
+    joined = rows.join(found, ["doc", "tie"], "left").select("_row", "_text", "data", "tie")
     row_type = joined.schema["_row"].dataType.simpleString()
-    names = ["_row", "n_words", "n_removed", "kept_sha256", "factors", *(["_text"] if texts else [])]
-    span = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("ref_doc_id", pa.int64()), ("ref_word", pa.int64())]))
+    names = ["_row", "n_words", "n_removed", "kept_sha256", "factors", "tie", *(["_text"] if texts else [])]
+    span = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("ref_doc_id", pa.int64()), ("ref_word", pa.int64()), ("digest", pa.binary())]))
+    kind = f"_row {row_type}, n_words long, n_removed long, kept_sha256 string, factors array<struct<word:long,words:long,ref_doc_id:long,ref_word:long,digest:binary>>, tie long" + (", _text string" if texts else "")
+
+    def parsed(unequal: set[tuple[int, int]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[list] = [[] for _ in names[1:]]
+                for text, data, tie in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                    text = text.as_py()
+                    words = (text or "").encode("utf-8", "replace").split()
+                    found = factors(data.as_py(), length, unequal, tie) if data.is_valid else []
+                    gone = np.zeros(len(words), bool)
+                    for s, n, _, _ in found:
+                        gone[s : s + n] = True
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if found else words
+                    spans = [{"word": s, "words": n, "ref_doc_id": d, "ref_word": p, "digest": digest(words[s : s + n])} for s, n, d, p in found]
+                    for o, v in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans, tie, without(text, gone) if texts and found else text), strict=False):
+                        o.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.string(), span, pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(o, k) for o, k in zip(out, kinds, strict=False)]], names=names)
+
+        return cut(joined.mapInArrow(tidied(run), kind))
+
+    done = parsed(set())
+    of = lambda df: df.select(F.col("f.ref_doc_id").alias("ref_doc"), F.col("f.ref_word").alias("ref_word"), F.col("f.words").alias("words"), F.col("f.digest").alias("digest"))
+    wrong = _unequal(docs, of(done.select(F.explode("factors").alias("f"))))
+    if not wrong.isEmpty():
+        done = parsed(_collisions(docs, rows, found, wrong, length))
+    factor = F.transform("factors", lambda f: F.struct(f.word.alias("word"), f.words.alias("words"), F.when(f.ref_doc_id != LOWEST, f.ref_doc_id).alias("ref_doc_id"), f.ref_word.alias("ref_word"))).alias("factors")
+    if not texts:
+        return done.select("_row.doc_id", "n_words", "n_removed", "kept_sha256", factor)
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "n_words", "n_removed", "kept_sha256", factor)
+
+
+def _collisions(docs: DataFrame, rows: DataFrame, found: DataFrame, wrong: DataFrame, length: int) -> set[tuple[int, int]]:
+    """The (tie, word) of the phrases of wrong factors whose words differ from those of their earlier starts: as many as there are equal hashes of different phrases, one for each 10^19 pairs."""
+    spans = {(r.ref_doc, r.ref_word, r.words, bytes(r.digest)) for r in wrong.toLocalIterator()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in names[1:]]
-            for text, data in zip(b.column(1), b.column(2), strict=True):
-                text = text.as_py()
-                words = (text or "").encode("utf-8", "replace").split()
-                found = factors(data.as_py(), length) if data.is_valid else []
-                gone = np.zeros(len(words), bool)
-                for s, n, _, _ in found:
-                    gone[s : s + n] = True
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if found else words
-                spans = [{"word": s, "words": n, "ref_doc_id": None if d == LOWEST else d, "ref_word": p} for s, n, d, p in found]
-                for o, v in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans, without(text, gone) if texts and found else text), strict=False):
-                    o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), span, pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(o, k) for o, k in zip(out, kinds, strict=False)]], names=names)
-
-    kind = f"_row {row_type}, n_words long, n_removed long, kept_sha256 string, factors array<struct<word:long,words:long,ref_doc_id:long,ref_word:long>>" + (", _text string" if texts else "")
-    done = joined.mapInArrow(tidied(run), kind)
-    if not texts:
-        return done.select("_row.doc_id", "n_words", "n_removed", "kept_sha256", "factors")
-    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "n_words", "n_removed", "kept_sha256", "factors")
+            out = []
+            for text, data, tie in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode("utf-8", "replace").split()
+                for s, n, d, p in factors(data.as_py(), length):
+                    if (d, p, n, digest(words[s : s + n])) in spans:
+                        out += [(tie, s + i, d, p + i, length, digest(words[s + i : s + i + length])) for i in range(n - length + 1)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], names=["tie", "word", "ref_doc", "ref_word", "words", "digest"])
+
+    phrases = cut(rows.join(found, ["doc", "tie"]).select("_text", "data", "tie").mapInArrow(tidied(run), "tie long, word long, ref_doc long, ref_word long, words long, digest binary"))
+    unequal = _unequal(docs, phrases.select("ref_doc", "ref_word", "words", "digest"))
+    return {(r.tie, r.word) for r in phrases.join(unequal, ["ref_doc", "ref_word", "words", "digest"], "left_semi").toLocalIterator()}

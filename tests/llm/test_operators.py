@@ -102,6 +102,35 @@ def test_similar_finds_near_copies(spark):
     assert len(left) <= 32
 
 
+def test_recall_of_similar_pairs(spark):
+    """Pairs whose five-word shingles have a similarity of 0.80 to 0.85, each far from all others, are found but for a few in a hundred."""
+    rng = np.random.default_rng(11)
+    rows, n = [], 400
+    for i in range(n):
+        own = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        near = list(own)
+        for k in rng.choice(40, 4, replace=False):
+            near[5 * k + 2] = f"n{rng.integers(0, 3000)}"
+        grams = [{tuple(t[j : j + 5]) for j in range(196)} for t in (own, near)]
+        assert 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.85
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(near))]
+    known, groups = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r.doc_id: r.root for r in known.join(groups, "digest").collect()}
+    assert sum(of[2 * i] == of[2 * i + 1] for i in range(n)) >= 0.97 * n
+    assert len(set(of.values())) >= n
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """A star whose middle has more edges than the limit, a chain and a pair, with joins by broadcast for the middle."""
+    from quillwork.llm import _graph
+
+    monkeypatch.setattr(_graph, "HOT_ROWS", 50)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 5001)]
+    root = {r.node: r.root for r in _graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({root[i] for i in range(300)}) == 1 == len({root[i] for i in range(1000, 1041)}) == len({root[5000], root[5001]})
+    assert len(set(root.values())) == 3 and len(root) == 343
+
+
 def test_op2(spark, sf_dir):
     got = queries.op2_permutation(spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
@@ -170,6 +199,27 @@ def test_op5(spark, sf_dir, docs):
         assert tuple(got[i]) == (i, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
+def test_equal_hashes_of_different_phrases(spark, monkeypatch):
+    """Where the index takes different phrases for equal, their words are compared and nothing goes."""
+    rng = np.random.default_rng(2)
+    line = lambda n: " ".join(f"x{i}" for i in rng.integers(0, 1 << 30, n))
+    rows = [(i, line(30)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rows_of = lambda found: df.select(substring._doc(), substring._tie(), F.col("text").alias("_text")).join(found, ["doc", "tie"])
+    # What an index with collisions says: each document's first phrase stands in document 0 at word 3.
+    packed = substring._pack(np.array([0], np.uint32), np.array([3], np.uint32), np.array([0], np.int64))
+    found = rows_of(df.select(substring._doc(), substring._tie())).where("doc > 0").select("doc", "tie", F.lit(bytearray(packed)).alias("data"))
+    monkeypatch.setattr(substring, "repeats", lambda docs, length: found)
+    assert [r.n_removed for r in substring.deduplicate(df).collect()] == [0] * 12
+
+
+def test_null_ids_of_one_hash(spark):
+    """Rows without doc_id whose texts had one 32-bit hash are documents of their own."""
+    rows = [(None, "a " * 40), (None, " ".join(f"w{i}" for i in range(60)))]
+    got = sorted((r.n_words, r.n_removed) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(40, 39), (60, 0)]
+
+
 def test_factors_are_repeats(spark, sf_dir, docs):
     """Each factor's words stand at its earlier place."""
     of = {d[0]: words(d[1]) for d in docs}
