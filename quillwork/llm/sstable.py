@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.llm._common import cut, ranged, running, shared_dir, tidied
-from quillwork.llm.tokens import encoded, encoder, id_bytes
+from quillwork.llm.tokens import encoded, encoder
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQIB8s")
@@ -215,11 +215,9 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(limits.value) + 1)
     item = encoder(path).dtype
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batch: pa.RecordBatch) -> list[int]:
         at = limits.value
-        for b in batches:
-            shard = [bisect.bisect_left(at, k) for k in zip(*[b.column(c).to_pylist() for c in ORDER], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *[b.column(c) for c in (*ORDER, "ids")]], names=["shard", *ORDER, "ids"])
+        return [bisect.bisect_left(at, k) for k in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -243,15 +241,15 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
                     now, temp = shard, posixpath.join(parts, uuid.uuid4().hex)
                     sink = fs.open_output_stream(temp)
                     out = Writer(sink, item.itemsize)
-                out.add(key if known else None, id_bytes(ids.as_py()))
+                out.add(key if known else None, ids.as_py())
         if out:
             end()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["shard", "file", "docs", "ids", "first", "last"])
 
     *keys, row = _order()
-    known = encoded(docs.select("doc_id", "text", *keys, row.alias("place")), path, end_id, carried=("known", "key", "mixed", "place")).withColumn("row", F.col("place")).select(*ORDER, "ids")
-    dealt = known.mapInArrow(deal, "shard int, known long, key long, mixed long, row long, ids binary").repartitionById(n, F.col("shard"))
+    known = encoded(docs.select("doc_id", "text", *keys, row.alias("place")), path, end_id, packed=False, dealt=("known key mixed place", deal))
+    dealt = known.select(F.col("to").alias("shard"), "known", "key", "mixed", F.col("place").alias("row"), "ids").repartitionById(n, F.col("shard"))
     files = cut(dealt.sortWithinPartitions("shard", *ORDER).mapInArrow(tidied(write), "shard int, file string, docs long, ids long, first string, last string"))
     fs, root = file_system(folder)
     if fs.get_file_info(posixpath.join(root, "unfinished")).type.name != "NotFound":

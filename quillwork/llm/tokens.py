@@ -6,7 +6,7 @@ import contextlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
 import numpy as np
@@ -19,6 +19,8 @@ from quillwork.llm._common import tidied
 
 #: A worker keeps the ids of at most so many units (about 300 bytes each), and of so many characters of them.
 KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
+#: Marks at the end of a word that both kinds of rule part from the letter before.
+MARKS = ".,"
 #: Units given to the library in one text; characters cut at once.
 JOINED, CUT_CHARS = 16_000, 2_000_000
 #: A word of its own between units where nothing else marks their ends; no text that holds it is cut.
@@ -72,8 +74,20 @@ class Encoder:
             a, b, ab = ([*self.tokenizer.encode(t, add_special_tokens=False).ids] for t in ("ab", "ba", f"ab {MARK} ba"))
             if len(ab) == len(a) + len(b) + 1 and ab[: len(a)] == a and ab[len(a) + 1 :] == b:
                 self.mark = ab[len(a)]
-        self.kept: dict[str, bytes] = {"": b""}
-        self.chars, self.limit = 0, KEPT_UNITS
+        # A unit of letters only, with its separator if that stays, is one word to the library's rules: such units are
+        # cut by a tokenizer of the same model whose only rule is a separator, and their first or last ids tell them apart.
+        self.words = self.edge = None
+        suffix = rules["model"].get("end_of_word_suffix")
+        if self.leads or self.lowers and suffix:
+            from tokenizers import pre_tokenizers
+
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = rules["model"]["vocab"]
+            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.edge[[i for t, i in vocabulary.items() if (t[0] in "ĠĊ" if self.leads else t.endswith(suffix))]] = True
+        self.always = {"": b"", **dict(zip(MARKS, self._whole(list(MARKS)), strict=True))}
+        self.kept, self.chars, self.limit = dict(self.always), 0, KEPT_UNITS
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,6 +108,33 @@ class Encoder:
         return (raw[s:e] for s, e in zip(starts, ends, strict=True))
 
     def _learn(self, missing: list[str]) -> None:
+        """Keep the ids of units; of a word with a mark after it, the word is learnt apart."""
+        kept = self.kept
+        marked = [u for u in missing if u[-1] in MARKS and u[-2:-1].isalpha() and u[-2] < "\u0250" and u[-2] != "\u0130"]
+        apart = set(marked)
+        bare = [u[:-1] for u in marked]
+        self._encode([u for u in set(bare).union(missing).difference(apart) if u not in kept])
+        kept.update(zip(marked, [kept[w] + kept[u[-1]] for w, u in zip(bare, marked, strict=True)], strict=True))
+        self.chars += sum(map(len, missing))
+
+    def _encode(self, missing: list[str]) -> None:
+        if self.words is not None:
+            letters = [u for u in missing if (u[1:].isalpha() and u[0] in " \n" if self.leads else u.isalpha()) and (u.isascii() or not PLAIN_CASE.search(u))]
+            if not self.leads:
+                letters = [u for u in letters if u == u.lower()]
+            for i in range(0, len(letters), JOINED):
+                run = letters[i : i + JOINED]
+                (e,) = self.words.encode_batch_fast(["\0".join(run)], add_special_tokens=False)
+                ids, width = np.array(e.ids, self.dtype), self.dtype.itemsize
+                at = np.flatnonzero(self.edge[ids])
+                edges = ([*at.tolist(), len(ids)] if self.leads else [0, *(at + 1).tolist()])
+                if len(edges) != len(run) + 1 or edges[0] or edges[-1] != len(ids):
+                    letters = letters[:i]
+                    break
+                raw = ids.tobytes()
+                self.kept.update(zip(run, (raw[s * width : e * width] for s, e in zip(edges, edges[1:], strict=False)), strict=True))
+            done = set(letters)
+            missing = [u for u in missing if u not in done]
         if self.leads:
             side = [u for u in missing if len(u) > 1 and u[0] in " \n" and u[1] not in " \n"]
             alone = [u for u in missing if not (len(u) > 1 and u[0] in " \n" and u[1] not in " \n")]
@@ -114,7 +155,6 @@ class Encoder:
             else:
                 self.kept.update(zip(run, got, strict=True))
         self.kept.update(zip(alone, self._whole(alone), strict=True))
-        self.chars += sum(map(len, missing))
 
     def _cut(self, text: str) -> list[str] | None:
         """The units of a text; None if it must be encoded whole."""
@@ -147,7 +187,7 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         if len(self.kept) > self.limit or self.chars > KEPT_CHARS:
-            self.kept, self.chars = {"": b""}, 0
+            self.kept, self.chars = dict(self.always), 0
         missing = list(filterfalse(self.kept.__contains__, set().union(*[c for c in cut if c])))
         if missing:
             self._learn(missing)
@@ -165,8 +205,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, kept_units: int = KEPT_UNITS, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids compressed; then the columns `carried` (longs). A null text is empty."""
+def encoded(docs: DataFrame, path: str, end_id: int, kept_units: int = KEPT_UNITS, packed: bool = True, dealt: tuple[str, Callable[[pa.RecordBatch], list[int]]] | None = None) -> DataFrame:
+    """(row, doc_id, n, ids) for each of docs: a row number, the number of ids with the end id, and all those ids, compressed if packed. A null text is empty.
+
+    dealt names columns of docs (longs) that stay, and makes of a batch with them first the int column `to`.
+    """
+    carried, to = (dealt[0].split(), dealt[1]) if dealt else ([], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -175,11 +219,12 @@ def encoded(docs: DataFrame, path: str, end_id: int, kept_units: int = KEPT_UNIT
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
             raw = [x + end for x in own.ids([t or "" for t in b.column(2).to_pylist()])]
-            n, ids = [len(x) // own.dtype.itemsize for x in raw], [pack.compress(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *b.columns[3:]], names=["row", "doc_id", "n", "ids", *carried])
+            n, ids = [len(x) // own.dtype.itemsize for x in raw], [pack.compress(x) for x in raw] if packed else raw
+            more = [*b.columns[3:], pa.array(to(b.select(carried)), pa.int32())] if to else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *more], names=["row", "doc_id", "n", "ids", *carried, *(["to"] if to else [])])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
-    return rows.mapInArrow(tidied(run), "row long, doc_id long, n long, ids binary" + "".join(f", {c} long" for c in carried))
+    return rows.mapInArrow(tidied(run), "row long, doc_id long, n long, ids binary" + "".join(f", {c} long" for c in carried) + (", to int" if to else ""))
 
 
 _unpacker = zstandard.ZstdDecompressor()
