@@ -242,10 +242,11 @@ def grid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.borders(tables.rulings(grid_vectors(spark, sf_dir))).select("doc_id", "n_rows", "n_cols", "n_borders")
 
 
-# The missing stretches part no cell 0,0 from its right and lower neighbours: it spans two columns, and two rows where both of them are open.
-@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS col_span, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS row_span FROM part")
+# The missing stretches part no cell 0,0 from its right and lower neighbours: it spans two columns and two rows where both of them are open.
+@query("""WITH g AS (SELECT p_partkey AS doc_id, p_size % 4 + 2 AS n_rows, unnest(range(p_partkey % 4 + 2)) AS col, p_partkey % 3 = 0 AS open FROM part), c AS (SELECT doc_id, unnest(range(n_rows)) AS row, col, open FROM g)
+SELECT doc_id, row::INTEGER AS row, col::INTEGER AS col, CASE WHEN open AND row = 0 AND col = 0 THEN 2 ELSE 1 END AS row_span, CASE WHEN open AND row = 0 AND col = 0 THEN 2 ELSE 1 END AS col_span FROM c WHERE NOT open OR row > 1 OR col > 1 OR (row = 0 AND col = 0)""")
 def cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.cells(tables.rulings(grid_vectors(spark, sf_dir))).where("row = 0 and col = 0").select("doc_id", "col_span", "row_span")
+    return tables.cells(tables.rulings(grid_vectors(spark, sf_dir))).select("doc_id", "row", "col", "row_span", "col_span")
 
 
 @query("SELECT p_partkey AS doc_id, CAST((p_partkey % 4 + 2) * (p_size % 4 + 2) - CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_cells FROM part")
@@ -253,9 +254,9 @@ def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cells(tables.rulings(grid_vectors(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_cells"))
 
 
-@query("SELECT p_partkey AS doc_id, p_size::INTEGER AS seq, CASE WHEN p_partkey % 3 = 0 AND p_size % 3 <= 1 AND p_size % 2 = 0 THEN 0 ELSE p_size % 2 END::INTEGER AS row, CASE WHEN p_partkey % 3 = 0 AND p_size % 2 <= 1 AND p_size % 2 = 0 THEN 0 ELSE 0 END::INTEGER AS col FROM part WHERE p_partkey % 3 <> 0")
+@query("SELECT p_partkey AS doc_id, p_size::INTEGER AS seq, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size % 2 END::INTEGER AS row, 0::INTEGER AS col FROM part")
 def line_to_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("p_size").cast("int").alias("seq"), F.lit(60.0).alias("x0"), (110.0 + 30 * (F.col("p_size") % 2)).alias("y0"), F.lit(100.0).alias("x1"), (120.0 + 30 * (F.col("p_size") % 2)).alias("y1"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("p_size").cast("int").alias("seq"), F.lit(60.0).alias("x0"), (110.0 + 30 * (F.col("p_size") % 2)).alias("y0"), F.lit(100.0).alias("x1"), (120.0 + 30 * (F.col("p_size") % 2)).alias("y1"))
     return tables.lines_in_cells(lines, tables.cells(tables.rulings(grid_vectors(spark, sf_dir)))).select("doc_id", "seq", "row", "col")
 
 
@@ -399,11 +400,11 @@ def ir_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Text functions, on texts with what they must escape put in.
-SPICED = "'<a & \"b\"> ''' || left(text, 60) || chr(10) || '| {x}_$1 #50% ~^ \\\\ // *c* `d` [e]'"
+SPICED = "'<a & \"b\"> ''' || text || chr(10) || '| {x}_$1 #50% ~^ \\\\ // *c* `d` [e]'"
 
 
 def spiced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<a & \"b\"> '"), F.substring("text", 1, 60), F.lit("\n| {x}_$1 #50% ~^ \\\\ // *c* `d` [e]")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<a & \"b\"> '"), F.col("text"), F.lit("\n| {x}_$1 #50% ~^ \\\\ // *c* `d` [e]")).alias("t"))
 
 
 def duck_replace(expr: str, pairs: dict[str, str]) -> str:
@@ -444,12 +445,12 @@ def escape_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 1251 WHEN 1 THEN 1253 WHEN 2 THEN 932 WHEN 3 THEN 936 ELSE 1252 END::INTEGER AS codepage FROM documents")
 def rtf_codepage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(*[F.lit(x) for x in ("Привет", "Ελλάδα", "漢字かな", "漢字漢字", "plain é")])
-    return table(spark, sf_dir, "documents").select("doc_id", text.rtf_codepage(F.concat(F.regexp_replace(F.substring("text", 1, 40), "[^\u0001-\u007f]", ""), F.get(parts, (F.col("doc_id") % 5).cast("int")))).alias("codepage"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.rtf_codepage(F.concat(F.regexp_replace("text", "[^\u0001-\u007f]", ""), F.get(parts, (F.col("doc_id") % 5).cast("int")))).alias("codepage"))
 
 
-@query("WITH c AS (SELECT doc_id, unnest(string_split(left(text, 80), '')) AS ch, generate_subscripts(string_split(left(text, 80), ''), 1) AS i FROM documents) SELECT doc_id, string_agg(CASE WHEN ch IN ('\\', '{', '}') THEN '\\' || ch WHEN ch = chr(10) THEN '\\line ' WHEN ch = chr(9) THEN '\\tab ' WHEN unicode(ch) < 127 THEN ch ELSE '\\u' || CASE WHEN unicode(ch) > 32767 THEN unicode(ch) - 65536 ELSE unicode(ch) END || '?' END, '' ORDER BY i) AS t FROM c GROUP BY ALL")
+@query("WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents) SELECT doc_id, string_agg(CASE WHEN ch IN ('\\', '{', '}') THEN '\\' || ch WHEN ch = chr(10) THEN '\\line ' WHEN ch = chr(9) THEN '\\tab ' WHEN unicode(ch) < 127 THEN ch ELSE '\\u' || CASE WHEN unicode(ch) > 32767 THEN unicode(ch) - 65536 ELSE unicode(ch) END || '?' END, '' ORDER BY i) AS t FROM c GROUP BY ALL")
 def rtf_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.rtf_text(F.substring("text", 1, 80)).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.rtf_text(F.col("text")).alias("t"))
 
 
 @query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'python' WHEN 1 THEN 'bash' WHEN 2 THEN 'json' WHEN 3 THEN 'xml' WHEN 4 THEN 'sql' WHEN 5 THEN 'rust' WHEN 6 THEN 'c' ELSE '' END AS language FROM documents")
@@ -529,14 +530,14 @@ def affine_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _roundtrip(name: str, filters: list[str], parms: dict[str, str] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 400), "UTF-8").alias("raw"))
+        rows = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
         chain = F.array(*[F.lit(f) for f in filters])
         own = F.array(F.create_map(*[F.lit(x) for kv in parms.items() for x in kv])) if parms else F.lit(None).cast("array<map<string,string>>")
         out = rows.select("doc_id", F.length("raw").alias("n"), codecs.decode_stream(codecs.encode_stream(name)("raw"), chain, own).alias("d"))
         return out.select("doc_id", F.decode(F.substring("d.content", 1, F.col("n")) if parms else F.col("d.content"), "UTF-8").alias("t"), F.col("d.status").alias("status"))
 
     run.__name__ = f"codec_{name}" if name not in ("png", "tiff") else f"predictor_{name}"
-    query("SELECT doc_id, left(text, 400) AS t, 'ok' AS status FROM documents")(run)
+    query("SELECT doc_id, text AS t, 'ok' AS status FROM documents")(run)
 
 
 _roundtrip("hex", ["ASCIIHexDecode"])
@@ -554,17 +555,17 @@ def image_format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", geometry.image_format(F.get(heads_, (F.col("doc_id") % 6).cast("int"))).alias("format"))
 
 
-@query("SELECT doc_id, left(text, 200) AS t FROM documents")
+@query("SELECT doc_id, text AS t FROM documents")
 def rc4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.unhex(F.md5(F.col("doc_id").cast("string")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("k"), F.encode(F.substring("text", 1, 200), "UTF-8").alias("raw"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("k"), F.encode("text", "UTF-8").alias("raw"))
     return rows.select("doc_id", F.decode(codecs.rc4_column("k", codecs.rc4_column("k", "raw")), "UTF-8").alias("t"))
 
 
-@query("SELECT doc_id, left(text, 200) AS t FROM documents")
+@query("SELECT doc_id, text AS t FROM documents")
 def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.unhex(F.md5(F.col("doc_id").cast("string")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("k"), F.encode(F.substring("text", 1, 200), "UTF-8").alias("raw"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", key.alias("k"), F.encode("text", "UTF-8").alias("raw"))
     return rows.select("doc_id", F.decode(F.aes_decrypt(F.aes_encrypt("raw", "k", F.lit("CBC"), F.lit("PKCS")), "k", F.lit("CBC"), F.lit("PKCS")), "UTF-8").alias("t"))
 
 
@@ -584,7 +585,7 @@ for _v in pdf_writer.VARIANTS:
 
 @query("SELECT doc_id, 'Document ' || doc_id AS title FROM documents WHERE len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) > 0")
 def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pdf.parse(pdf_writer.write(body(spark, sf_dir).where("page_no = 1"), "rc4"))
+    made = pdf.parse(pdf_writer.write(body(spark, sf_dir), "rc4"))
     return made.where("page_no = 1").select("doc_id", F.element_at("meta", "Title").alias("title"))
 
 
@@ -680,10 +681,11 @@ def box_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit.box_cells(one.unionByName(two)).select("doc_id", "row", "col", "mask")
 
 
-@query("SELECT doc_id, left(text, 50) AS t FROM documents WHERE length(text) >= 50 AND NOT regexp_matches(left(text, 50), '[^\x00-\xff]')")
+# Codes beyond the font's table and Latin-1 have no text.
+@query("SELECT doc_id, regexp_replace(text, '[^\\x{0}-\\x{ff}]', '\ufffd', 'g') AS t FROM documents WHERE text <> ''")
 def cmap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 50").where(~F.substring("text", 1, 50).rlike("[^\u0001-\u00ff]"))
-    chars = docs.select("doc_id", (F.col("doc_id") % 3).alias("font_id"), F.posexplode(F.split(F.substring("text", 1, 50), "")).alias("i", "c")).where("c <> ''")
+    docs = table(spark, sf_dir, "documents")
+    chars = docs.select("doc_id", (F.col("doc_id") % 3).alias("font_id"), F.posexplode(F.split("text", "")).alias("i", "c")).where("c <> ''")
     codes = chars.withColumn("code", F.when(F.ascii("c") < 128, F.ascii("c") + 1000 * F.col("font_id")).otherwise(F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("long")))
     ranges = spark.range(3).select(F.col("id").alias("font_id"), (F.col("id") * 1000 + 1).alias("lo"), (F.col("id") * 1000 + 127).alias("hi"), F.lit(1).cast("long").alias("target"))
     text_ = fonts.decoded(codes, F.broadcast(fonts.code_table(ranges)))
