@@ -74,7 +74,7 @@ def paragraph_numbers(lines: DataFrame, gap_factor: float = 1.6) -> DataFrame:
 
 
 def paragraphs(lines: DataFrame, gap_factor: float = 1.6) -> DataFrame:
-    """One row for each paragraph of a page: text, box, length-weighted size, style, indents, spacing and alignment."""
+    """One row for each paragraph of a page: text, box, length-weighted size, style, indents, spacing and alignment; ws, where lines have it, as a list of its lines' words."""
     numbered = paragraph_numbers(lines, gap_factor)
     page = W.partitionBy(*PAGE)
     boxed = numbered.withColumn("_px0", F.min("x0").over(page)).withColumn("_px1", F.max("x1").over(page))
@@ -95,6 +95,7 @@ def paragraphs(lines: DataFrame, gap_factor: float = 1.6) -> DataFrame:
         F.bool_and(near("x0", "_px0")).alias("_left"), F.bool_and(near("x1", "_px1")).alias("_right"),
         F.bool_and((F.col("_i") == F.col("_n")) | near("x1", "_px1")).alias("_body_right"), F.bool_and(centred).alias("_centred"),
         (F.first("_px1") - F.first("_px0") > F.max("x1") - F.min("x0") + 8.0).alias("_room"),
+        *([F.expr("transform(array_sort(collect_list(struct(_i, ws))), x -> x.ws)").alias("ws")] if "ws" in lines.columns else []),
     )
     order = W.partitionBy(*PAGE).orderBy("para_no")
     one, two = F.col("n_lines") == 1, F.col("n_lines") == 2
@@ -202,31 +203,46 @@ def cut_once(boxes: DataFrame, axis: str, gap: float, node: str = "node") -> Dat
     return boxes.join(cuts, keys, "left").withColumn("_m", middle).withColumn("_cut", F.expr("coalesce(size(filter(_cuts, c -> _m >= c)), 0)")).withColumn("_cut", F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_cut"))).drop("_cuts", "_m")
 
 
+def _sides(boxes: str) -> list:
+    """The four sides of an array of boxes, as arrays."""
+    return [(lambda k: F.transform(boxes, lambda x: x[k].cast("double")))(k) for k in ("x0", "y0", "x1", "y1")]
+
+
 def xy_cut(boxes: DataFrame, x_gap: float = 15.0, y_gap: float = 10.0, max_depth: int = 25) -> DataFrame:
-    """boxes with node, a path such as 0.2.1 that sorts in reading order: pages are cut at white gaps across, else down, until no gap is left.
+    """boxes with node, a path such as 0.2.1 that sorts in reading order: pages are cut at white gaps across, else down, until no gap is left (or max_depth).
 
-    Each round cuts all nodes of all pages at once; a node that a round of cutting across leaves whole is cut down. The
-    rounds end when no node was cut, at max_depth at the latest; lineage is cut by a checkpoint every round.
+    A page's boxes meet in one row and are cut there: one shuffle, whatever the depth.
     """
-    spark = boxes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillwork-"))
-    now = boxes.withColumn("node", F.lit("0"))
-    for _ in range(max_depth):
-        across = cut_once(now, "y", y_gap).withColumn("_y", F.col("_cut")).drop("_cut")
-        whole = F.max("_y").over(W.partitionBy(*PAGE, "node")) == F.min("_y").over(W.partitionBy(*PAGE, "node"))
-        down = cut_once(across.withColumn("_whole", whole), "x", x_gap)
-        part = F.when(F.col("_whole"), F.col("_cut")).otherwise(F.col("_y"))
-        split = down.withColumn("_part", part)
-        pages = W.partitionBy(*PAGE, "node")
-        split = split.withColumn("_more", F.max("_part").over(pages) > F.min("_part").over(pages))
-        now = split.withColumn("node", F.when(F.col("_more"), F.concat_ws(".", "node", F.lpad(F.col("_part").cast("string"), 6, "0"))).otherwise(F.col("node"))).drop("_y", "_whole", "_cut", "_part").checkpoint()
-        if not now.where("_more").limit(1).count():
-            break
-        now = now.drop("_more")
-    return now.drop("_more") if "_more" in now.columns else now
+    import pandas as pd
+
+    from quillwork.sources import pdf_layout
+
+    @F.pandas_udf("array<string>")
+    def nodes(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([pdf_layout.xy_cut(*[v.tolist() for v in own], x_gap, y_gap, max_depth) for own in zip(x0, y0, x1, y1, strict=True)])
+
+    rest = [c for c in boxes.columns if c not in PAGE]
+    pages = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("b"))
+    cut = pages.withColumn("n", nodes(*_sides("b")))
+    each = cut.select(*PAGE, F.explode(F.arrays_zip("b", "n")).alias("z"))
+    return each.select(*PAGE, *[F.col(f"z.b.{c}").alias(c) for c in rest], F.col("z.n").alias("node")).select(*boxes.columns, "node")
+
+
+def in_columns(lines: DataFrame) -> DataFrame:
+    """lines with block_no: the stretch of a page's text that a line is read in, column after column."""
+    import pandas as pd
+
+    from quillwork.sources import pdf_layout
+
+    @F.pandas_udf("array<int>")
+    def numbers(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        return pd.Series([pdf_layout.columns(*[v.tolist() for v in own]) for own in zip(x0, y0, x1, y1, strict=True)])
+
+    rest = [c for c in lines.columns if c not in PAGE]
+    pages = lines.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("b"))
+    cut = pages.withColumn("n", numbers(*_sides("b")))
+    each = cut.select(*PAGE, F.explode(F.arrays_zip("b", "n")).alias("z"))
+    return each.select(*PAGE, *[F.col(f"z.b.{c}").alias(c) for c in rest], F.col("z.n").alias("block_no")).select(*lines.columns, "block_no")
 
 
 def reading_order(cut: DataFrame) -> DataFrame:

@@ -571,8 +571,8 @@ def aes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pdf_roundtrip(variant: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = pdf.parse(pdf_writer.write(body(spark, sf_dir), variant))
-        return pdf.lines(pdf.words(pdf.glyphs(made))).select("doc_id", "page_no", F.round("y0", 3).alias("top"), "text", F.round("x0", 3).alias("x0"), F.round("font_size", 3).alias("font_size"), "is_bold")
+        made = pdf.parse(pdf_writer.write(body(spark, sf_dir), variant), lines=True)
+        return pdf.page_lines(made).select("doc_id", "page_no", F.round("y0", 3).alias("top"), "text", F.round("x0", 3).alias("x0"), F.round("font_size", 3).alias("font_size"), "is_bold")
 
     run.__name__ = "pdf_roundtrip" if variant == "plain" else f"pdf_roundtrip_{variant}"
     # The glyphs' upper edge is 0.8 of the size above the baseline, which is ten points below the line's top.

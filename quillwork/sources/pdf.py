@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillwork.sources.pdf_layout import LINE
+
 GLYPH = "struct<seq:int,text:string,x0:double,y0:double,x1:double,y1:double,origin_x:double,origin_y:double,font_name:string,font_size:double,color:int,is_bold:boolean,is_italic:boolean>"
 VECTOR = "struct<seq:int,svg_path:string,x0:double,y0:double,x1:double,y1:double,fill_rgb:int,stroke_rgb:int,stroke_width:double,fill_rule:string,dash:array<double>,fill_alpha:double,stroke_alpha:double>"
 IMAGE = "struct<seq:int,name:string,x0:double,y0:double,x1:double,y1:double,width:int,height:int,format:string,content:binary>"
+LINES = f"doc_id long, page_no int, width double, height double, rotation int, lines array<{LINE}>, vectors array<{VECTOR}>, images array<{IMAGE}>, meta map<string,string>, error string"
 SCHEMA = f"doc_id long, page_no int, width double, height double, rotation int, glyphs array<{GLYPH}>, vectors array<{VECTOR}>, images array<{IMAGE}>, meta map<string,string>, error string"
 
 
@@ -22,20 +25,22 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def parse(files: DataFrame, password: str = "") -> DataFrame:
+def parse(files: DataFrame, password: str = "", lines: bool = False) -> DataFrame:
     """A row for each page of files (doc_id long, content binary); a file that can't be read gives one row with its error.
 
     Files are parsed whole in a worker, pages are handed on one by one, so memory is a file's and a page's, not a batch's.
+    With lines, glyphs are joined to words and lines where the page is, and only those are handed on.
     """
-    schema = _arrow(SCHEMA)
+    schema = _arrow(LINES if lines else SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillwork.sources import pdf_layout
         from quillwork.sources.pdf_content import evaluate
         from quillwork.sources.pdf_objects import File, PdfError
 
         for b in batches:
             for doc_id, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                row = {"doc_id": doc_id, "page_no": None, "width": None, "height": None, "rotation": None, "glyphs": [], "vectors": [], "images": [], "meta": None, "error": None}
+                row = {"doc_id": doc_id, "page_no": None, "width": None, "height": None, "rotation": None, "lines" if lines else "glyphs": [], "vectors": [], "images": [], "meta": None, "error": None}
                 try:
                     file = File(content.as_py() or b"", password)
                     pages = file.pages()
@@ -43,14 +48,34 @@ def parse(files: DataFrame, password: str = "") -> DataFrame:
                         raise PdfError("no pages")
                     meta = list(file.metadata().items())
                     for i, page in enumerate(pages):
-                        box = [float(file.get(v)) for v in file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
-                        got = evaluate(file, page)
-                        made = row | {"page_no": i + 1, "width": abs(box[2] - box[0]), "height": abs(box[3] - box[1]), "rotation": int(file.get(page.get("Rotate")) or 0) % 360, "glyphs": got.glyphs, "vectors": got.vectors, "images": got.images, "meta": meta if i == 0 else None}
+                        box = page_box(file, page)
+                        height = box[3] - box[1]
+                        got = evaluate(file, page, (box[0], box[1]))
+                        text = pdf_layout.lines(pdf_layout.words(got.glyphs, height)) if lines else got.glyphs
+                        made = row | {"page_no": i + 1, "width": box[2] - box[0], "height": height, "rotation": int(file.get(page.get("Rotate")) or 0) % 360, "lines" if lines else "glyphs": text, "vectors": got.vectors, "images": got.images, "meta": meta if i == 0 else None}
                         yield pa.RecordBatch.from_pylist([made], schema=schema)
                 except (PdfError, ValueError, TypeError, KeyError, IndexError, RecursionError) as e:
                     yield pa.RecordBatch.from_pylist([row | {"error": f"{type(e).__name__}: {e}"}], schema=schema)
 
-    return files.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
+    return files.select(F.col("doc_id").cast("long"), F.col("content").cast("binary")).mapInArrow(run, LINES if lines else SCHEMA)
+
+
+def page_box(file, page: dict) -> tuple[float, float, float, float]:
+    """The part of a page that shows: its crop box within its media box."""
+
+    def corners(name: str) -> tuple[float, ...] | None:
+        v = [float(file.get(x)) for x in file.get(page.get(name)) or ()]
+        return (min(v[0], v[2]), min(v[1], v[3]), max(v[0], v[2]), max(v[1], v[3])) if len(v) == 4 else None
+
+    media = corners("MediaBox") or (0.0, 0.0, 612.0, 792.0)
+    crop = corners("CropBox") or media
+    both = max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3])
+    return both if both[2] > both[0] and both[3] > both[1] else media
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """The lines of parse(lines=True), with their words: the frame that the layout operators take."""
+    return pages.select("doc_id", "page_no", F.explode("lines").alias("l")).select("doc_id", "page_no", "l.*")
 
 
 def read(spark: SparkSession, path: str, password: str = "", pattern: str = "*.pdf") -> DataFrame:

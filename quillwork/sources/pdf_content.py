@@ -319,9 +319,10 @@ class Evaluator:
             inner.run(self.file.content(x))
 
 
-def evaluate(file: File, page: dict) -> Page:
+def evaluate(file: File, page: dict, origin: tuple[float, float] = (0.0, 0.0)) -> Page:
+    """A page's glyphs, vectors and images; origin is the corner of its box that becomes 0, 0."""
     out = Page()
     contents = file.get(page.get("Contents"))
     parts = contents if isinstance(contents, list) else [] if contents is None else [contents]
-    Evaluator(file, page.get("Resources") or {}, out).run(b"\n".join(file.content(p) for p in parts))
+    Evaluator(file, page.get("Resources") or {}, out, State(ctm=(1.0, 0.0, 0.0, 1.0, -origin[0], -origin[1]))).run(b"\n".join(file.content(p) for p in parts))
     return out
