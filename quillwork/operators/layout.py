@@ -7,6 +7,7 @@ y1 (points, top down), font_size, is_bold, is_italic. All operators work page by
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -213,8 +214,6 @@ def xy_cut(boxes: DataFrame, x_gap: float = 15.0, y_gap: float = 10.0, max_depth
 
     A page's boxes meet in one row and are cut there: one shuffle, whatever the depth.
     """
-    import pandas as pd
-
     from quillwork.sources import pdf_layout
 
     @F.pandas_udf("array<string>")
@@ -230,8 +229,6 @@ def xy_cut(boxes: DataFrame, x_gap: float = 15.0, y_gap: float = 10.0, max_depth
 
 def in_columns(lines: DataFrame) -> DataFrame:
     """lines with block_no: the stretch of a page's text that a line is read in, column after column."""
-    import pandas as pd
-
     from quillwork.sources import pdf_layout
 
     @F.pandas_udf("array<int>")
