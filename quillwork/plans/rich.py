@@ -192,7 +192,7 @@ def md_block(b: dict) -> str:
     if b["list_kind"]:
         number = re.sub(r"[.)]+$|^\(+", "", b["list_marker"] or "")
         lead = (f"{number}." if number.isdigit() else b["list_marker"]) if b["list_kind"] == "ordered" else "-"
-        return "  " * (b["list_level"] or 0) + f"{lead} " + "".join(map(md_run, item_runs(b))).strip()
+        return "  " * (b["list_level"] or 0) + f"{lead} " + "".join(map(md_run, b["runs"] or [])).strip()  # the text keeps its marker
     return "".join(map(md_run, b["runs"] or [])).strip()
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Namespaces and media types of the formats.
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
@@ -87,17 +88,10 @@ def docx(title: str, blocks: list[dict]) -> bytes:
     ])
 
 
-def pptx(title: str, blocks: list[dict]) -> bytes:
-    pages, emu = pages_of(blocks), 12700
+def presentation(slides: list[str], relations_: list[list[tuple[str, str, str]]], media: list[tuple[str, bytes]], core: str | None, types, width: int, height: int) -> bytes:
+    """A presentation of slide parts: a plain theme, one master and one layout around them. relations_ has each slide's further relations."""
     ns = f'xmlns:a="{DRAWING}" xmlns:r="{OFFICE}" xmlns:p="{SLIDES}"'
     tree = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
-
-    def shape(i: int, b: dict) -> str:
-        x, y, w, h = (round(v * emu) for v in (b["x0"], b["y0"], max(1.0, b["x1"] - b["x0"]), max(1.0, b["y1"] - b["y0"])))
-        run = f'<a:rPr sz="{round(b["font_size"] * 100)}"' + (' b="1"' if b["is_bold"] else "") + "/>"
-        return f'<p:sp><p:nvSpPr><p:cNvPr id="{i}" name="Text {i}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/><a:ext cx="{w}" cy="{h}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr/><a:p><a:r>{run}<a:t>{clean(b["text"])}</a:t></a:r></a:p></p:txBody></p:sp>'
-
-    slides = [HEAD + f"<p:sld {ns}><p:cSld><p:spTree>{tree}{''.join(shape(i + 2, b) for i, b in enumerate(p))}</p:spTree></p:cSld></p:sld>" for p in pages]
     n = len(slides)
     kind = "application/vnd.openxmlformats-officedocument.presentationml."
     colors = "".join(f'<a:{k}><a:srgbClr val="{v}"/></a:{k}>' for k, v in zip(("dk1", "lt1", "dk2", "lt2", *[f"accent{i}" for i in range(1, 7)], "hlink", "folHlink"), ("000000", "FFFFFF") * 6, strict=True))
@@ -105,20 +99,39 @@ def pptx(title: str, blocks: list[dict]) -> bytes:
     fill, line, effect = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>', '<a:ln><a:solidFill><a:schemeClr val="phClr"/></a:solidFill></a:ln>', "<a:effectStyle><a:effectLst/></a:effectStyle>"
     theme = HEAD + f'<a:theme xmlns:a="{DRAWING}" name="Plain"><a:themeElements><a:clrScheme name="Plain">{colors}</a:clrScheme><a:fontScheme name="Plain">{fonts}</a:fontScheme><a:fmtScheme name="Plain"><a:fillStyleLst>{fill * 3}</a:fillStyleLst><a:lnStyleLst>{line * 3}</a:lnStyleLst><a:effectStyleLst>{effect * 3}</a:effectStyleLst><a:bgFillStyleLst>{fill * 3}</a:bgFillStyleLst></a:fmtScheme></a:themeElements></a:theme>'
     scheme = 'bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" ' + " ".join(f'accent{i}="accent{i}"' for i in range(1, 7)) + ' hlink="hlink" folHlink="folHlink"'
+    overrides = [("/ppt/presentation.xml", kind + "presentation.main+xml"), ("/ppt/slideMasters/slideMaster1.xml", kind + "slideMaster+xml"), ("/ppt/slideLayouts/slideLayout1.xml", kind + "slideLayout+xml"), ("/ppt/theme/theme1.xml", "application/vnd.openxmlformats-officedocument.theme+xml"), *[(f"/ppt/slides/slide{i + 1}.xml", kind + "slide+xml") for i in range(n)]]
+    tops = [("rId1", f"{OFFICE}/officeDocument", "ppt/presentation.xml")]
+    if core:
+        overrides.append(("/docProps/core.xml", "application/vnd.openxmlformats-package.core-properties+xml"))
+        tops.append(("rId2", f"{PACKAGE}/relationships/metadata/core-properties", "docProps/core.xml"))
     return zipped([
-        ("[Content_Types].xml", content_types([("/ppt/presentation.xml", kind + "presentation.main+xml"), ("/ppt/slideMasters/slideMaster1.xml", kind + "slideMaster+xml"), ("/ppt/slideLayouts/slideLayout1.xml", kind + "slideLayout+xml"), ("/ppt/theme/theme1.xml", "application/vnd.openxmlformats-officedocument.theme+xml"), *[(f"/ppt/slides/slide{i + 1}.xml", kind + "slide+xml") for i in range(n)]])),
-        ("_rels/.rels", relations([("rId1", f"{OFFICE}/officeDocument", "ppt/presentation.xml")])),
+        ("[Content_Types].xml", types(overrides, {p.rpartition(".")[2] for p, _ in media}) if types else content_types(overrides)),
+        ("_rels/.rels", relations(tops)), *([("docProps/core.xml", core)] if core else []),
         ("ppt/_rels/presentation.xml.rels", relations([("rId1", f"{OFFICE}/slideMaster", "slideMasters/slideMaster1.xml"), *[(f"rId{i + 2}", f"{OFFICE}/slide", f"slides/slide{i + 1}.xml") for i in range(n)]])),
-        ("ppt/presentation.xml", HEAD + f'<p:presentation {ns}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>' + "".join(f'<p:sldId id="{256 + i}" r:id="rId{i + 2}"/>' for i in range(n)) + f'</p:sldIdLst><p:sldSz cx="{612 * emu}" cy="{792 * emu}"/><p:notesSz cx="{612 * emu}" cy="{792 * emu}"/></p:presentation>'),
+        ("ppt/presentation.xml", HEAD + f'<p:presentation {ns}><p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>' + "".join(f'<p:sldId id="{256 + i}" r:id="rId{i + 2}"/>' for i in range(n)) + f'</p:sldIdLst><p:sldSz cx="{width}" cy="{height}"/><p:notesSz cx="{width}" cy="{height}"/></p:presentation>'),
         ("ppt/slideLayouts/_rels/slideLayout1.xml.rels", relations([("rId1", f"{OFFICE}/slideMaster", "../slideMasters/slideMaster1.xml")])),
         ("ppt/slideLayouts/slideLayout1.xml", HEAD + f"<p:sldLayout {ns}><p:cSld><p:spTree>{tree}</p:spTree></p:cSld></p:sldLayout>"),
         ("ppt/slideMasters/_rels/slideMaster1.xml.rels", relations([("rId1", f"{OFFICE}/slideLayout", "../slideLayouts/slideLayout1.xml"), ("rId2", f"{OFFICE}/theme", "../theme/theme1.xml")])),
         ("ppt/slideMasters/slideMaster1.xml", HEAD + f'<p:sldMaster {ns}><p:cSld><p:spTree>{tree}</p:spTree></p:cSld><p:clrMap {scheme}/><p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="rId1"/></p:sldLayoutIdLst></p:sldMaster>'),
-        *[x for i, s in enumerate(slides) for x in ((f"ppt/slides/_rels/slide{i + 1}.xml.rels", relations([("rId1", f"{OFFICE}/slideLayout", "../slideLayouts/slideLayout1.xml")])), (f"ppt/slides/slide{i + 1}.xml", s))],
-        ("ppt/theme/theme1.xml", theme),
+        *[x for i, s in enumerate(slides) for x in ((f"ppt/slides/_rels/slide{i + 1}.xml.rels", relations([("rId1", f"{OFFICE}/slideLayout", "../slideLayouts/slideLayout1.xml"), *relations_[i]])), (f"ppt/slides/slide{i + 1}.xml", s))],
+        ("ppt/theme/theme1.xml", theme), *media,
     ])
 
 
+def pptx(title: str, blocks: list[dict]) -> bytes:
+    pages, emu = pages_of(blocks), 12700
+    ns = f'xmlns:a="{DRAWING}" xmlns:r="{OFFICE}" xmlns:p="{SLIDES}"'
+    tree = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
+
+    def shape(i: int, b: dict) -> str:
+        x, y, w, h = (round(v * emu) for v in (b["x0"], b["y0"], max(1.0, b["x1"] - b["x0"]), max(1.0, b["y1"] - b["y0"])))
+        run = f'<a:rPr sz="{round(b["font_size"] * 100)}"' + (' b="1"' if b["is_bold"] else "") + "/>"
+        return f'<p:sp><p:nvSpPr><p:cNvPr id="{i}" name="Text {i}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="{x}" y="{y}"/><a:ext cx="{w}" cy="{h}"/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr><p:txBody><a:bodyPr/><a:p><a:r>{run}<a:t>{clean(b["text"])}</a:t></a:r></a:p></p:txBody></p:sp>'
+
+    slides = [HEAD + f"<p:sld {ns}><p:cSld><p:spTree>{tree}{''.join(shape(i + 2, b) for i, b in enumerate(p))}</p:spTree></p:cSld></p:sld>" for p in pages]
+    return presentation(slides, [[] for _ in slides], [], None, None, 612 * emu, 792 * emu)
+
+
 def _odf(kind: str, title: str, styles: str, body: str) -> bytes:
     ns = " ".join(f'xmlns:{k}="{ODF}{v}:1.0"' for k, v in {"office": "office", "style": "style", "text": "text", "draw": "drawing", "presentation": "presentation", "meta": "meta"}.items())
     ns += f' xmlns:fo="{ODF}xsl-fo-compatible:1.0" xmlns:svg="{ODF}svg-compatible:1.0" xmlns:dc="http://purl.org/dc/elements/1.1/"'

@@ -13,7 +13,7 @@ from quillwork.sources.pdf_layout import LINE
 
 GLYPH = "struct<seq:int,text:string,x0:double,y0:double,x1:double,y1:double,origin_x:double,origin_y:double,font_name:string,font_size:double,color:int,is_bold:boolean,is_italic:boolean>"
 VECTOR = "struct<seq:int,svg_path:string,x0:double,y0:double,x1:double,y1:double,fill_rgb:int,stroke_rgb:int,stroke_width:double,fill_rule:string,dash:array<double>,fill_alpha:double,stroke_alpha:double>"
-IMAGE = "struct<seq:int,name:string,x0:double,y0:double,x1:double,y1:double,width:int,height:int,format:string,content:binary>"
+IMAGE = "struct<seq:int,name:string,x0:double,y0:double,x1:double,y1:double,width:int,height:int,format:string,content:binary,status:string>"
 LINES = f"doc_id long, page_no int, width double, height double, rotation int, lines array<{LINE}>, vectors array<{VECTOR}>, images array<{IMAGE}>, meta map<string,string>, error string"
 SCHEMA = f"doc_id long, page_no int, width double, height double, rotation int, glyphs array<{GLYPH}>, vectors array<{VECTOR}>, images array<{IMAGE}>, meta map<string,string>, error string"
 

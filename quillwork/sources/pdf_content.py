@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -12,6 +13,8 @@ Matrix = tuple[float, float, float, float, float, float]
 ONE: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 # Glyph names that aren't a letter's own name, for encodings by difference.
 GLYPHS = {"space": " ", "period": ".", "comma": ",", "colon": ":", "semicolon": ";", "hyphen": "-", "endash": "–", "emdash": "—", "bullet": "•", "quotesingle": "'", "quotedbl": '"', "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "parenleft": "(", "parenright": ")", "bracketleft": "[", "bracketright": "]", "braceleft": "{", "braceright": "}", "slash": "/", "backslash": "\\", "exclam": "!", "question": "?", "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "asterisk": "*", "plus": "+", "equal": "=", "less": "<", "greater": ">", "at": "@", "underscore": "_", "bar": "|", "asciitilde": "~", "asciicircum": "^", "grave": "`", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "fi": "fi", "fl": "fl", "germandbls": "ß", "eacute": "é", "egrave": "è", "agrave": "à", "ccedilla": "ç", "udieresis": "ü", "odieresis": "ö", "adieresis": "ä", "ntilde": "ñ", "Euro": "€", "ellipsis": "…"}
+#: Colour spaces whose colours are told by the number of their components.
+COUNTED = ("DeviceGray", "DeviceRGB", "DeviceCMYK")
 CODECS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman", "StandardEncoding": "latin-1", "PDFDocEncoding": "latin-1"}
 
 
@@ -105,6 +108,35 @@ class Font:
                     self.text[code] = glyph_text(str(x)) or "�"
                     code += 1
 
+        if not self.map:
+            self.embedded(file, own, info, d)
+
+    def embedded(self, file: File, own: dict, info: dict, d: dict) -> None:
+        """Texts, and widths where the file gives none, from the font program; without a map to Unicode only it knows the glyphs."""
+        from quillwork.functions import font_programs
+
+        stream = next((info[k] for k in ("FontFile", "FontFile2", "FontFile3") if k in info), None)
+        if stream is None:
+            return
+        try:
+            program = font_programs.parse(file.content(stream))
+        except (ValueError, IndexError, TypeError, struct.error):
+            return
+        texts = program.texts()
+        named = {g: t for g, n in enumerate(program.names) if n and (t := glyph_text(n))}
+        if self.wide:
+            glyph = lambda code: program.cids.get(code, code)
+            known = named | texts
+            self.text = {c: known[glyph(c)] for c in (program.cids or known) if glyph(c) in known} | self.text
+            if not self.widths and "W" not in own:
+                self.widths = {c: w for c, w in program.widths.items() if isinstance(c, int)}
+        elif "Encoding" not in d:
+            by_name = {c: t for c, n in program.encoding.items() if (t := glyph_text(n))}
+            by_glyph = {c: t for c, g in program.codes.items() if (t := texts.get(g) or named.get(g))}
+            self.text |= by_glyph | by_name
+        if not self.wide and not self.widths:
+            self.widths = {c: program.widths[k] for c, k in (program.codes or program.encoding).items() if k in program.widths}
+
     def codes(self, raw: bytes) -> list[int]:
         return [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else list(raw)
 
@@ -123,6 +155,12 @@ class State:
     line_width: float = 1.0
     dash: tuple = ()
     alpha: tuple[float, float] = (1.0, 1.0)
+    cap: int = 0
+    join: int = 0
+    miter: float = 10.0
+    fill_space: Any = None
+    stroke_space: Any = None
+    clip: Any = None
 
 
 @dataclass
@@ -134,6 +172,7 @@ class Text:
     scale: float = 1.0
     leading: float = 0.0
     rise: float = 0.0
+    mode: int = 0
     matrix: Matrix = ONE
     line: Matrix = ONE
 
@@ -178,8 +217,14 @@ class Evaluator:
                 stack.append(v)
                 continue
             if v == "BI":  # an inline image: to its end
-                m = re.compile(rb"\sEI(?=[\0\t\n\x0c\r ]|\Z)").search(data, s.at)
+                entries, key = {}, s.value()
+                while key is not None and not isinstance(key, Word):
+                    entries[str(key)] = s.value()
+                    key = s.value()
+                start = s.at + 1
+                m = re.compile(rb"\s?EI(?=[\0\t\n\x0c\r ]|\Z)").search(data, start)
                 s.at = m.end() if m else len(data)
+                self.inline(entries, data[start : m.start() if m else len(data)])
             else:
                 try:
                     self.apply(str(v), stack)
@@ -199,16 +244,36 @@ class Evaluator:
                 s.ctm = times(tuple(map(float, a[:6])), s.ctm)
             case "w":
                 s.line_width = float(a[0])
+            case "J":
+                s.cap = int(a[0])
+            case "j":
+                s.join = int(a[0])
+            case "M":
+                s.miter = float(a[0])
             case "d":
                 s.dash = tuple(map(float, a[0]))
+            case "cs" | "CS":
+                space = self.space(a[0])
+                if op == "cs":
+                    s.fill_space, s.fill = space, 0
+                else:
+                    s.stroke_space, s.stroke = space, 0
+            case "W" | "W*":
+                s.clip = (self.box(), "evenodd" if op == "W*" else "nonzero")
+            case "Tr":
+                t.mode = int(a[0])
             case "gs":
                 g = self.named("ExtGState", a[0]) or {}
                 s.alpha = float(self.file.get(g.get("ca", s.alpha[0]))), float(self.file.get(g.get("CA", s.alpha[1])))
                 s.line_width = float(self.file.get(g.get("LW", s.line_width)))
-            case "g" | "rg" | "k" | "sc" | "scn":
-                s.fill = rgb([x for x in a if isinstance(x, (int, float))])
-            case "G" | "RG" | "K" | "SC" | "SCN":
-                s.stroke = rgb([x for x in a if isinstance(x, (int, float))])
+            case "g" | "rg" | "k":
+                s.fill, s.fill_space = rgb([x for x in a if isinstance(x, (int, float))]), None
+            case "G" | "RG" | "K":
+                s.stroke, s.stroke_space = rgb([x for x in a if isinstance(x, (int, float))]), None
+            case "sc" | "scn":
+                s.fill = self.color(s.fill_space, a)
+            case "SC" | "SCN":
+                s.stroke = self.color(s.stroke_space, a)
             case "m" | "l":
                 self.path.append((op.upper(), (float(a[0]), float(a[1]))))
             case "c":
@@ -271,6 +336,35 @@ class Evaluator:
             case "Do":
                 self.external(a[0])
 
+    def space(self, name: Any) -> dict | None:
+        """A colour space by its name, of the resources or of the format."""
+        from quillwork.functions import bitmaps
+
+        return bitmaps.color_space(self.file.get, self.file.content, self.named("ColorSpace", name) or name)
+
+    def color(self, space: dict | None, a: list) -> int:
+        """A colour's components in a space; without a space, by their number."""
+        v = [float(x) for x in a if isinstance(x, (int, float))]
+        if not v:
+            return 0x808080  # a pattern
+        if space is None or space["kind"] in COUNTED and len(v) == space["n"]:
+            return rgb(v)
+        from quillwork.functions import bitmaps
+
+        import numpy as np
+
+        if space["kind"] == "Indexed":
+            made = bitmaps.to_rgb(np.array([[v[:1]]]), space, 8)
+        else:
+            made = bitmaps.to_rgb(np.array([[v]]), space, 8, [x for _ in v for x in (0.0, 255.0)]) if space["kind"] == "Lab" else bitmaps.to_rgb(np.array([[v]]) * 255.0, space, 8)
+        r, g, b = (int(x) for x in made[0, 0])
+        return r << 16 | g << 8 | b
+
+    def box(self) -> tuple[float, float, float, float] | None:
+        """The box of the path so far, in the page's points."""
+        pts = [at(self.state.ctm, *p) for _, *ps in self.path for p in ps]
+        return (min(p[0] for p in pts), min(p[1] for p in pts), max(p[0] for p in pts), max(p[1] for p in pts)) if pts else None
+
     def move(self, x: float, y: float) -> None:
         self.text.line = self.text.matrix = times((1, 0, 0, 1, x, y), self.text.line)
 
@@ -302,17 +396,33 @@ class Evaluator:
         if xs:
             self.page.vectors.append({"seq": len(self.page.vectors), "svg_path": " ".join(parts), "x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys), "fill_rgb": s.fill if fill else None, "stroke_rgb": s.stroke if stroke else None, "stroke_width": s.line_width, "fill_rule": rule, "dash": list(s.dash), "fill_alpha": s.alpha[0], "stroke_alpha": s.alpha[1]})
 
+    def picture(self, stream: Stream, name: str) -> None:
+        """An image with its pixels decoded, in the box that the unit square becomes."""
+        from quillwork.functions import bitmaps
+
+        c = [at(self.state.ctm, i, j) for i in (0, 1) for j in (0, 1)]
+        try:
+            made = bitmaps.image(self.file, stream, self.state.fill)
+        except (ValueError, TypeError, IndexError, KeyError) as e:
+            made = {"format": "raw", "content": self.file.content(stream), "width": None, "height": None, "status": f"{type(e).__name__}: {e}"}
+        self.page.images.append({"seq": len(self.page.images), "name": name, "x0": min(p[0] for p in c), "y0": min(p[1] for p in c), "x1": max(p[0] for p in c), "y1": max(p[1] for p in c), **{k: made[k] for k in ("width", "height", "format", "content", "status")}})
+
+    def inline(self, entries: dict, raw: bytes) -> None:
+        """An inline image; a colour space may be one of the resources."""
+        space = entries.get("CS", entries.get("ColorSpace"))
+        known = self.named("ColorSpace", space) if isinstance(space, Name) else None
+        if known is not None:
+            entries = entries | {"CS": known}
+        names = {"F": "Filter", "DP": "DecodeParms"}
+        self.picture(Stream({names.get(k, k): v for k, v in entries.items()}, raw, None), "inline")
+
     def external(self, name: Name) -> None:
         x = self.named("XObject", name)
         if not isinstance(x, Stream):
             return
         e, get = x.entries, self.file.get
         if get(e.get("Subtype")) == "Image":
-            corners = [at(self.state.ctm, i, j) for i in (0, 1) for j in (0, 1)]
-            filters = get(e.get("Filter"))
-            last = get(filters[-1]) if isinstance(filters, list) and filters else filters
-            kind = {"DCTDecode": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "fax", "JBIG2Decode": "jbig2"}.get(str(last), "raw")
-            self.page.images.append({"seq": len(self.page.images), "name": str(name), "x0": min(c[0] for c in corners), "y0": min(c[1] for c in corners), "x1": max(c[0] for c in corners), "y1": max(c[1] for c in corners), "width": get(e.get("Width")), "height": get(e.get("Height")), "format": kind, "content": self.file.content(x)})
+            self.picture(x, str(name))
         elif get(e.get("Subtype")) == "Form" and self.depth < 12:
             m = tuple(float(get(v)) for v in get(e.get("Matrix")) or ONE)
             inner = Evaluator(self.file, e.get("Resources") or self.resources, self.page, State(ctm=times(m, self.state.ctm)), self.depth + 1)

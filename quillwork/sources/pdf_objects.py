@@ -132,6 +132,7 @@ class File:
     packs: dict[int, dict[int, Any]] = field(default_factory=dict)
     secret: bytes | None = None
     aes: bool = False
+    wide: bool = False
 
     def __post_init__(self) -> None:
         if b"%PDF" not in self.data[:1024]:
@@ -266,12 +267,22 @@ class File:
         except (FilterError, ValueError, TypeError, IndexError):
             return stream.raw
 
-    # Encryption: the standard handler with RC4 or AES-128.
+    # Encryption: the standard handler with RC4, AES-128 or AES-256.
     def _unlock(self, e: dict) -> None:
         e = {k: self.get(v) for k, v in e.items()}
         v, r = e.get("V", 0), e.get("R", 2)
-        if e.get("Filter") != "Standard" or v not in (1, 2, 4):
+        if e.get("Filter") != "Standard" or v not in (1, 2, 4, 5):
             raise PdfError(f"encryption version {v} isn't supported")
+        if v == 5:
+            from quillwork.functions.aes import file_key
+
+            secret = file_key(e, self.password.encode("utf-8"), r)
+            if secret is None:
+                raise PdfError("wrong password")
+            self.aes, self.wide, self.secret = True, True, secret
+            self.held.clear()
+            self.packs.clear()
+            return
         size = 5 if v == 1 else e.get("Length", 40) // 8 if v == 2 else 16
         method = self.get(self.get(e.get("CF", {})).get(e.get("StmF"), {})).get("CFM") if v == 4 else None
         self.aes = method == "AESV2"
@@ -318,6 +329,10 @@ class File:
         return self._plain(v, number, generation) if isinstance(v, bytes) else v
 
     def _plain(self, data: bytes, number: int, generation: int) -> bytes:
+        if self.wide:
+            from quillwork.functions.aes import decrypt_cbc
+
+            return decrypt_cbc(self.secret, data)
         key = hashlib.md5(self.secret + struct.pack("<I", number)[:3] + struct.pack("<I", generation)[:2] + (b"sAlT" if self.aes else b"")).digest()[: min(16, len(self.secret) + 5)]
         if not self.aes:
             return rc4(key, data)

@@ -105,7 +105,7 @@ def test_text_formats(made):
     assert "\\section{The Title}" in made["latex"].decode() and "\\begin{itemize}\n\\item an item\n\\end{itemize}" in made["latex"].decode()
     assert "= The Title" in made["typst"].decode() and "- an item" in made["typst"].decode()
     assert made["rtf"].isascii() and made["rtf"].count(b"{") == made["rtf"].count(b"}") and b"gr\\u246?\\u223?er" in made["rtf"]
-    assert len(list(ET.fromstring(made["svg"]))) == len(LINES)
+    assert sum(x.tag.endswith("}text") for x in ET.fromstring(made["svg"]).iter()) == len(LINES)
 
 
 @pytest.mark.parametrize("name", ["docx", "pptx", "odt", "odp", "epub"])
