@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -632,21 +633,170 @@ for _n in ("html", "latex", "typst", "rtf"):
     _emitted(_n)
 
 
+# Parts by name, and in the main ones how many blocks they hold: documents of `lists` by page, or by chapter.
+_OF = "nb AS (SELECT doc_id, count(*) AS n, count(DISTINCT page_no) AS pages, max(page_no) AS last FROM lists GROUP BY doc_id)"
+_FIXED = {
+    "docx": ("[Content_Types].xml", "_rels/.rels", "docProps/core.xml", "word/_rels/document.xml.rels", "word/document.xml", "word/numbering.xml", "word/styles.xml"),
+    "odt": ("mimetype", "META-INF/manifest.xml", "content.xml", "meta.xml", "styles.xml"), "odp": ("mimetype", "META-INF/manifest.xml", "content.xml", "meta.xml", "styles.xml"),
+}
+_MAIN = {"docx": ("word/document.xml", "<w:p>", "n + pages - 1"), "odt": ("content.xml", "<text:[ph] ", "n"), "odp": ("content.xml", "<draw:frame ", "n")}
+
+
+def _parts_sql(name: str) -> str:
+    if name in _FIXED:
+        main, _, marks = _MAIN[name]
+        names = ", ".join(f"'{x}'" for x in _FIXED[name])
+        return f"+ {LISTS}, {_OF}, p AS (SELECT *, unnest([{names}]) AS part_name, unnest(range({len(_FIXED[name])})) AS i FROM nb) SELECT doc_id, i::INTEGER AS part_no, part_name, part_name = 'mimetype' AS is_stored, (CASE WHEN part_name = '{main}' THEN {marks} ELSE 0 END)::INTEGER AS n_marks FROM p"
+    if name == "pptx":
+        # Pages with blocks are numbered without gaps.
+        return f"""+ {LISTS}, p0 AS (SELECT doc_id, page_no, count(*) AS n FROM lists GROUP BY doc_id, page_no), pg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS i, count(*) OVER (PARTITION BY doc_id) AS pages FROM p0),
+f AS (SELECT doc_id, pages, unnest(['[Content_Types].xml', '_rels/.rels', 'ppt/_rels/presentation.xml.rels', 'ppt/presentation.xml', 'ppt/slideLayouts/_rels/slideLayout1.xml.rels', 'ppt/slideLayouts/slideLayout1.xml', 'ppt/slideMasters/_rels/slideMaster1.xml.rels', 'ppt/slideMasters/slideMaster1.xml', 'ppt/theme/theme1.xml']) AS part_name, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k FROM pg WHERE i = 1)
+SELECT doc_id, (CASE WHEN k = 8 THEN 8 + 2 * pages ELSE k END)::INTEGER AS part_no, part_name, FALSE AS is_stored, 0::INTEGER AS n_marks FROM f
+UNION ALL SELECT doc_id, (6 + 2 * i)::INTEGER, 'ppt/slides/_rels/slide' || i || '.xml.rels', FALSE, 0::INTEGER FROM pg UNION ALL SELECT doc_id, (7 + 2 * i)::INTEGER, 'ppt/slides/slide' || i || '.xml', FALSE, n::INTEGER FROM pg"""
+    return f"""+ {LISTS}, o AS (SELECT doc_id, heading_level, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, para_no) AS r FROM lists),
+c AS (SELECT doc_id, sum(CASE WHEN heading_level = 1 OR r = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY r) AS ch FROM o), m AS (SELECT doc_id, ch, count(*) AS n FROM c GROUP BY ALL),
+f AS (SELECT doc_id, unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/content.opf', 'OEBPS/nav.xhtml']) AS part_name, unnest([0, 1, 2, 3]) AS k FROM m WHERE ch = 1)
+SELECT doc_id, k::INTEGER AS part_no, part_name, k = 0 AS is_stored, 0::INTEGER AS n_marks FROM f UNION ALL SELECT doc_id, (3 + ch)::INTEGER, 'OEBPS/Text/chapter_' || ch::INTEGER || '.xhtml', FALSE, n::INTEGER FROM m"""
+
+
 def _packaged(name: str) -> None:
     from quillwork.sources import packages
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = packages.read(packages.write(blocks(spark, sf_dir), name))
-        return parts.select("doc_id", "part_no", "part_name", "is_stored", F.length("content").alias("n_bytes"))
+        main, mark = (_MAIN[name][:2]) if name in _MAIN else ("ppt/slides/slide", "<p:sp>") if name == "pptx" else ("OEBPS/Text/", "<p>|<li>|<h[1-6] ")
+        return parts.select("doc_id", "part_no", "part_name", "is_stored", F.when(F.col("part_name").startswith(main), F.regexp_count(F.decode("content", "UTF-8"), F.lit(mark))).otherwise(0).alias("n_marks"))
 
     run.__name__ = f"zip_parts_{name}"
-    query()(run)
+    query(_parts_sql(name), fixture=True)(run)
 
 
 for _n in ("epub", "docx", "pptx", "odt", "odp"):
     _packaged(_n)
 
 
+# Documents with tables and runs through the renderers that conversion uses.
+RUN = "named_struct('text', {t}, 'font', 'Helvetica', 'size', 11D, 'color', 0, 'bold', {b}, 'italic', {i}, 'underline', false, 'strike', false, 'script', cast(null as string), 'baseline', cast(null as double))"
+
+
+def rendered_blocks(rows: DataFrame, name: str, block: str) -> DataFrame:
+    """(doc_id, content): one block for each row, rendered alone; block names a column with the fields that it has."""
+    import pyarrow as pa
+
+    from quillwork.plans import ir, rich
+
+    make = {"md": rich.md_block, "html": rich.html_block, "latex": rich.latex_block, "typst": rich.typst_block}[name]
+
+    def run(batches):
+        for b in batches:
+            made = [make({**ir.EMPTY, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, **x}) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "content"])
+
+    return rows.select(F.col("doc_id").cast("long"), block).mapInArrow(run, "doc_id long, content string")
+
+
+def _tables(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = tables.cells(tables.rulings(grid_vectors(spark, sf_dir)))
+        own = cells.withColumn("runs", F.array(F.expr(RUN.format(t="concat('r', row, 'c', col)", b="row = 0", i="false"))))
+        tabs = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row", "col", "row_span", "col_span", "x0", "y0", "x1", "y1", "runs"))).alias("cells"))
+        return rendered_blocks(tabs.select("doc_id", F.struct(F.lit("table").alias("kind"), "cells").alias("b")), name, "b")
+
+    run.__name__ = f"{name}_tables_documents"
+    query(sql)(run)
+
+
+# Tables of the grid fixture: the header row is bold, and where stretches are missing the first cell spans two columns and rows.
+_GRID_CELLS = """WITH g AS (SELECT p_partkey AS doc_id, p_size % 4 + 2 AS nr, p_partkey % 4 + 2 AS nc, p_partkey % 3 = 0 AS open FROM part), gr AS (SELECT *, unnest(range(nr)) AS r FROM g), gc AS (SELECT *, unnest(range(nc)) AS c FROM gr),
+ce AS (SELECT *, open AND r < 2 AND c < 2 AS inside, NOT (open AND r < 2 AND c < 2) OR (r = 0 AND c = 0) AS starts FROM gc)"""
+_tables("md", _GRID_CELLS + """, t AS (SELECT doc_id, nr, nc, r, c, CASE WHEN NOT starts THEN '' WHEN r = 0 THEN '**r0c' || c || '**' ELSE 'r' || r || 'c' || c END AS x FROM ce), w AS (SELECT doc_id, c, greatest(3, max(length(x))) AS w FROM t GROUP BY ALL),
+l AS (SELECT doc_id, r, '| ' || string_agg(rpad(x, w::INTEGER, ' '), ' | ' ORDER BY c) || ' |' AS x FROM t JOIN w USING (doc_id, c) GROUP BY ALL), d AS (SELECT doc_id, '| ' || string_agg(':' || repeat('-', w - 1), ' | ' ORDER BY c) || ' |' AS x FROM w GROUP BY ALL),
+a AS (SELECT doc_id, 2 * r AS o, x FROM l UNION ALL SELECT doc_id, 1, x FROM d) SELECT doc_id, string_agg(x, chr(10) ORDER BY o) AS content FROM a GROUP BY ALL""")
+_HTML_ROWS = """, h AS (SELECT doc_id, nr, r, '<tr>' || coalesce(string_agg('<' || CASE WHEN r = 0 THEN 'th' ELSE 'td' END || CASE WHEN inside THEN ' colspan="2" rowspan="2"' ELSE '' END || '>' || CASE WHEN r = 0 THEN '<strong>r0c' || c || '</strong></th>' ELSE 'r' || r || 'c' || c || '</td>' END, '' ORDER BY c) FILTER (WHERE starts), '') || '</tr>' AS x FROM ce GROUP BY ALL)
+SELECT doc_id, '<table>' || chr(10) || '<thead>' || chr(10) || max(x) FILTER (WHERE r = 0) || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) || string_agg(x, chr(10) ORDER BY r) FILTER (WHERE r > 0) || chr(10) || '</tbody>' || chr(10) || '</table>' AS content FROM h GROUP BY doc_id"""
+_tables("html", _GRID_CELLS + _HTML_ROWS)
+
+
+def _styled(name: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ws = table(spark, sf_dir, "documents").select("doc_id", F.expr("filter(split(translate(text, '\n', ' '), ' '), x -> x <> '')").alias("ws")).where("size(ws) > 0")
+        runs = ws.select("doc_id", F.expr(f"transform(ws, (w, k) -> {RUN.format(t="concat(w, ' ')", b='k % 5 = 0', i='k % 7 = 0')})").alias("runs"))
+        return rendered_blocks(runs.select("doc_id", F.struct(F.lit("paragraph").alias("kind"), "runs").alias("b")), name, "b")
+
+    run.__name__ = f"{name}_runs"
+    query("WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM documents), k AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM w), a AS (SELECT *, CASE WHEN regexp_matches(w, '^(https?://|mailto:)') THEN w WHEN regexp_matches(w, '^www\\..') THEN 'http://' || w WHEN regexp_matches(w, '^[\\w.+-]+@[\\w-]+\\.[\\w.]+$') THEN 'mailto:' || w END AS link FROM k) " + sql)(run)
+
+
+_styled("md", "SELECT doc_id, trim(string_agg(CASE WHEN link = w THEN '<' || w || '> ' WHEN link IS NOT NULL THEN '[' || w || '](' || link || ') ' ELSE repeat('*', CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) || w || repeat('*', CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) || ' ' END, '' ORDER BY k)) AS content FROM a GROUP BY doc_id")
+_HTML_W = duck_replace("w || ' '", {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
+_styled("html", f"SELECT doc_id, '<p>' || trim(string_agg(coalesce('<a href=\"' || link || '\">', '') || CASE WHEN k % 7 = 0 THEN '<em>' ELSE '' END || CASE WHEN k % 5 = 0 THEN '<strong>' ELSE '' END || {_HTML_W} || CASE WHEN k % 5 = 0 THEN '</strong>' ELSE '' END || CASE WHEN k % 7 = 0 THEN '</em>' ELSE '' END || CASE WHEN link IS NOT NULL THEN '</a>' ELSE '' END, '' ORDER BY k)) || '</p>' AS content FROM a GROUP BY doc_id")
+_TEX_W = duck_replace(duck_replace("w", _MARKS), {m: text.LATEX[k] for k, m in _MARKS.items()})
+_styled("latex", rf"SELECT doc_id, trim(string_agg(CASE WHEN link IS NOT NULL THEN '\url{{' || w || '}} ' ELSE CASE WHEN k % 5 = 0 THEN '\textbf{{' ELSE '' END || CASE WHEN k % 7 = 0 THEN '\textit{{' ELSE '' END || {_TEX_W} || CASE WHEN k % 7 = 0 THEN '}}' ELSE '' END || CASE WHEN k % 5 = 0 THEN '}}' ELSE '' END || ' ' END, '' ORDER BY k)) AS content FROM a GROUP BY doc_id")
+
+
+@query("SELECT * FROM (VALUES ('aes128', '69c4e0d86a7b0430d8cdb78070b4c55a'), ('aes256', '8ea2b7ca516745bfeafc49904b496089'), ('aes256 back', '00112233445566778899aabbccddeeff'), ('rc4 40', 'b2396305f03dc027ccc3524a0a1118a8'), ('rc4 128', '9ac7cc9a609d1ef7b2932899cde41b97')) AS t(name, hex)")
+def cipher_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published vectors (FIPS 197 C.1 and C.3, RFC 6229) through the functions that open encrypted files."""
+    from quillwork.functions import aes
+
+    plain, keys = bytes(16 * x + x for x in range(16)), [bytes(range(16)), bytes(range(32))]
+
+    @F.pandas_udf("string")
+    def made(names: pd.Series) -> pd.Series:
+        of = {"aes128": lambda: aes.raw_cbc(keys[0], bytes(16), plain, False), "aes256": lambda: aes.raw_cbc(keys[1], bytes(16), plain, False), "aes256 back": lambda: aes.raw_cbc(keys[1], bytes(16), bytes.fromhex("8ea2b7ca516745bfeafc49904b496089"))}
+        of |= {"rc4 40": lambda: codecs.rc4(bytes(range(1, 6)), bytes(16)), "rc4 128": lambda: codecs.rc4(bytes(range(1, 17)), bytes(16))}
+        return pd.Series([of[n]().hex() for n in names])
+
+    return spark.createDataFrame([(n,) for n in ("aes128", "aes256", "aes256 back", "rc4 40", "rc4 128")], "name string").select("name", made("name").alias("hex"))
+
+
+@query("SELECT p_partkey, (least(p_size, 32, 64 - p_size) + 7)::INTEGER AS ink, 24::INTEGER AS n_bytes FROM part")
+def fax_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows of runs as fax code words and back: black from p_size on for p_size and for seven places, and a white row."""
+    from quillwork.functions import bitmaps
+
+    @F.pandas_udf("binary")
+    def decoded(size: pd.Series) -> pd.Series:
+        return pd.Series([bitmaps.fax(bitmaps.fax_encoded([[n, min(64, 2 * n)], [n, n + 7], []], 64), {"K": 0, "Columns": 64, "Rows": 3, "BlackIs1": True}) for n in size])
+
+    ink = F.expr("aggregate(sequence(1, length(d)), 0, (a, i) -> a + bit_count(cast(conv(hex(substring(d, i, 1)), 16, 10) as int)))")
+    rows = table(spark, sf_dir, "part").select("p_partkey", decoded(F.least(F.col("p_size"), F.lit(50)).cast("int")).alias("d"))
+    return rows.select("p_partkey", ink.cast("int").alias("ink"), F.length("d").alias("n_bytes"))
+
+
+@query("SELECT p_partkey, (p_size * 4)::INTEGER AS gray, round_even((1 - p_size / 50.0) * (1 - (p_partkey % 5) / 5.0) * 255, 0)::INTEGER AS red, (p_partkey % 4 * 60)::INTEGER AS indexed, CASE WHEN p_size * 4 BETWEEN 40 AND 120 THEN 0 ELSE 255 END::INTEGER AS keyed FROM part")
+def image_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pixel each of gray, CMYK and indexed samples and of a colour key."""
+    import numpy as np
+
+    from quillwork.functions import bitmaps
+
+    space = lambda name: bitmaps.color_space(lambda x: x, lambda x: x, name)
+    table_ = bytes(v for i in range(4) for v in (60 * i, 0, 0))
+
+    @F.pandas_udf("struct<gray:int,red:int,indexed:int,keyed:int>")
+    def pixels(size: pd.Series, key: pd.Series) -> pd.DataFrame:
+        gray = bitmaps.samples(bytes(int(4 * s) for s in size), len(size), 1, 1, 8)
+        cmyk = np.stack([size.to_numpy() / 50.0 * 65535, *[np.zeros(len(size))] * 2, (key.to_numpy() % 5) / 5.0 * 65535], -1)[None]
+        indexed = bitmaps.to_rgb((key.to_numpy() % 4)[None, :, None], space(["Indexed", "DeviceRGB", 3, table_]), 8)
+        return pd.DataFrame({"gray": bitmaps.to_rgb(gray, space("DeviceGray"), 8)[0, :, 0], "red": bitmaps.to_rgb(cmyk, space("DeviceCMYK"), 16)[0, :, 0], "indexed": indexed[0, :, 0], "keyed": bitmaps.key_mask(gray, [40, 120])[0]})
+
+    return table(spark, sf_dir, "part").select("p_partkey", pixels("p_size", "p_partkey").alias("x")).select("p_partkey", "x.gray", "x.red", "x.indexed", "x.keyed")
+
+
+@query(r"SELECT o_orderkey, (length(o_orderpriority))::INTEGER AS n, '\alpha x^{2} \leq ' || (o_orderkey % 10) AS latex, 'alpha x^(2) lt.eq ' || (o_orderkey % 10) AS typst FROM orders")
+def math_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas with Greek, a raised digit and a relation in LaTeX and Typst."""
+    from quillwork.functions import mathtext
+
+    @F.pandas_udf("struct<latex:string,typst:string>")
+    def both(t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({k: [mathtext.translated(x, "", k) for x in t] for k in ("latex", "typst")})
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.length("o_orderpriority").alias("n"), both(F.concat(F.lit("αx² ≤"), (F.col("o_orderkey") % 10).cast("string"))).alias("x"))
+    return rows.select("o_orderkey", "n", "x.latex", "x.typst")
+
+
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of each nation as table cells: a header, then name, balance and segment."""
     c = table(spark, sf_dir, "customer")

@@ -221,7 +221,8 @@ def write(blocks: DataFrame, name: str) -> DataFrame:
 
     @F.pandas_udf(T.BinaryType())
     def run(doc: pd.Series, rows: pd.Series) -> pd.Series:
-        tidy = lambda b: {k: (None if isinstance(v, float) and v != v else v) for k, v in dict(b).items()}
+        # pandas makes floats of integers among which some are missing.
+        tidy = lambda b: {k: (None if isinstance(v, float) and v != v else int(v) if k in ("heading_level", "list_level") and v is not None else v) for k, v in dict(b).items()}
         return pd.Series([make(f"Document {d}", [tidy(b) for b in own]) for d, own in zip(doc, rows, strict=True)])
 
     return blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("rows")).select("doc_id", run("doc_id", "rows").alias("content"))
