@@ -182,22 +182,21 @@ class Reader:
                 yield id_of(key), start, ids
 
 
-def _limits(docs: DataFrame, shard_bytes: int) -> list[tuple[int, int, int, int]]:
-    """The (known, key, text hash, row number) at which each shard but the first begins, as sums of text bytes in that order pass multiples of shard_bytes."""
-    sized = docs.select(*_order(), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
+def _limits(docs: DataFrame, shard_bytes: int) -> list[tuple[int, int, int]]:
+    """The (known, key, row number) at which each shard but the first begins, as sums of text bytes in that order pass multiples of shard_bytes."""
+    sized = cut(docs.select(*_order(), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size")))  # texts are read once for it
     order = list(ORDER)
     at = running(ranged(sized, *order), [], order, {"before": "size"})
     crossed = at.where(F.expr(f"(before + size) div {shard_bytes} > before div {shard_bytes}"))
     return [tuple(x) for x in crossed.select(*order).orderBy(*order).collect()]  # a row for each shard
 
 
-ORDER = ("known", "key", "mixed", "row")
+ORDER = ("known", "key", "row")
 
 
 def _order() -> list[F.Column]:
-    """What rows are ordered by: doc_id, null first, then a hash of the text, then the row's number. Rows of one doc_id, or none, can thus lie in several shards."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.col("doc_id").isNotNull().cast("long").alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("mixed"), F.monotonically_increasing_id().alias("row")]
+    """What rows are ordered by: doc_id, null first, then the row's number in the table. Rows of one doc_id, or none, can thus lie in several shards."""
+    return [F.col("doc_id").isNotNull().cast("long").alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"), F.monotonically_increasing_id().alias("row")]
 
 
 def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_bytes: int = 64 << 20) -> DataFrame:
@@ -207,7 +206,7 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     bytes passes a multiple of shard_bytes, so a shard has that many bytes and less than one document more, however
     many rows have one doc_id; the driver and the tasks hold one limit for each. Each file is written under a name of its
     own and then renamed, so a task that runs again leaves a whole file. A null text is empty; a null doc_id comes
-    first; rows of one doc_id are ordered by a hash of their texts, rows alike in both each have an entry; a text of
+    first; rows of one doc_id are in the order of the table, each with an entry; a text of
     any length is one entry. An empty table makes no file; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -248,8 +247,8 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["shard", "file", "docs", "ids", "first", "last"])
 
     *keys, row = _order()
-    known = encoded(docs.select("doc_id", "text", *keys, row.alias("place")), path, end_id, packed=False, dealt=("known key mixed place", deal))
-    dealt = known.select(F.col("to").alias("shard"), "known", "key", "mixed", F.col("place").alias("row"), "ids").repartitionById(n, F.col("shard"))
+    known = encoded(docs.select("doc_id", "text", *keys, row.alias("place")), path, end_id, packed=False, dealt=("known key place", deal))
+    dealt = known.select(F.col("to").alias("shard"), "known", "key", F.col("place").alias("row"), "ids").repartitionById(n, F.col("shard"))
     files = cut(dealt.sortWithinPartitions("shard", *ORDER).mapInArrow(tidied(write), "shard int, file string, docs long, ids long, first string, last string"))
     fs, root = file_system(folder)
     if fs.get_file_info(posixpath.join(root, "unfinished")).type.name != "NotFound":
