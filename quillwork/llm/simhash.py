@@ -97,7 +97,7 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1 << 12):
-            fp, first, kind = (np.asarray(c.slice(at, 1 << 12)).astype(np.int64) for c in b.columns)
+            fp, kind = (np.asarray(c.slice(at, 1 << 12)).astype(np.int64) for c in b.columns)
             fp = fp.view(np.uint64)
             out_a, out_r = [], []
             for side in (0, 1):
@@ -106,7 +106,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_a.append(key | (kind[rows].astype(np.uint64) << np.uint64(1) | np.uint64(side)) << np.uint64(32))
                 out_r.append(rows)
             rows = np.concatenate(out_r)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_a).view(np.int64), fp[rows].view(np.int64), first[rows])], names=["anchor", "fp", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(out_a).view(np.int64), fp[rows].view(np.int64))], names=["anchor", "fp"])
 
 
 def _forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -151,8 +151,8 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, bits: int) -> np.ndarray:
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """Links (kind, a, b) between fingerprints that differ in at most bits bits (1 to 3), enough of them to connect all that are connected.
 
-    distinct has (fp, first, kind): fingerprints of different kinds (0 to 255) aren't compared, and in large companies
-    the links go out from the fingerprints with the least first.
+    distinct has (fp, kind): fingerprints of different kinds (0 to 255) aren't compared, and in large companies the links
+    go out from the least fingerprints.
     """
     if not 0 < bits <= 3:
         raise ValueError("two halves cover one to three bits")
@@ -176,8 +176,8 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             yield made(_compare(kept_a, kept_f, bits))
 
     n = shuffle_width(distinct.sparkSession)
-    met = distinct.select("fp", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.col("kind").cast("long").alias("kind")).mapInArrow(tidied(_covered), "anchor long, fp long, first long")
-    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "first").mapInArrow(tidied(run), "kind long, a long, b long").distinct()
+    met = distinct.select("fp", F.col("kind").cast("long").alias("kind")).mapInArrow(tidied(_covered), "anchor long, fp long")
+    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(tidied(run), "kind long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     known = cut(fingerprints(docs, shingle))
     least = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     hot = cut(least.where(F.col("n") > HOT_ROWS).select("fp"))
-    roots = components(links(least.select("fp", "first", F.lit(0).alias("kind")), bits))
+    roots = components(links(least.select("fp", F.lit(0).alias("kind")), bits))
     groups = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = groups.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = cut(groups.select("fp", "root").join(of_root, "root").select("fp", "component_id"))
@@ -319,14 +319,14 @@ def _completed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, alike: DataF
         turn, most = turn + 1, most * ROUND
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 16, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 12, bits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Groups of documents whose sets of word shingles are alike to the Jaccard similarity or more: (sketches, groups).
 
     sketches has doc_id and digest for every row of docs, groups has digest, first and root for each different text; first
     is its least doc_id (null if any is null), and texts of a group share a root. Texts that are equal but for case and
     white space are one. Others are candidates if one of `kinds` fingerprints of their words differs in at most bits
     bits; the shingles of candidate pairs are compared in full, until every pair is compared or known to be of one group.
-    Of pairs of 200 words with a similarity of 0.80 to 0.85 about 98 in a hundred are candidates, of more similar ones
+    Of pairs of 200 words with a similarity of 0.80 to 0.85 about 97 in a hundred are candidates, of more similar ones
     nearly all; a pair that isn't is found only through other copies. A null text is an empty one; a text of any length
     counts whole. An empty table gives empty results; other columns of docs are ignored.
     """

@@ -133,7 +133,7 @@ def test_near_duplicates_of_an_original_that_is_not_the_least(spark):
         rows.append((i, " ".join(own)))
     got = {r.doc_id: r.root for r in (lambda known, groups: known.join(groups, "digest"))(*simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     ids = [i for i, _ in rows]
-    fps = {i: simhash._sketch(t, simhash._mixers(16))[1] for i, t in rows}
+    fps = {i: simhash._sketch(t, simhash._mixers(12))[1] for i, t in rows}
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
     top = {i: i for i in ids}
     for a in ids:
