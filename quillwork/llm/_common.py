@@ -50,8 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared folder and drop its lineage; its shuffle files go at once, not when the driver collects garbage."""
     spark = df.sparkSession
     shared_dir(spark)
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        return df.select("*").checkpoint()  # a plan made under the setting
+    with contextlib.ExitStack() as stack:
+        for key, value in (("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), *QUIET):
+            stack.enter_context(_setting(spark, key, value))
+        return df.select("*").checkpoint()  # a plan made under the settings
+
+
+#: Many short jobs: the driver keeps no long descriptions of their plans.
+QUIET = (("spark.sql.ui.explainMode", "simple"), ("spark.sql.maxPlanStringLength", "4000"))
+
+
+def swept(spark: SparkSession) -> None:
+    """Let the driver's JVM give back what earlier jobs left: plans, compiled classes, broadcasts that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def planned_once(spark: SparkSession):
+    """Jobs within are planned before they run only: for many small ones, whose hot keys are known, planning anew after each shuffle costs the driver more than it saves."""
+    with _setting(spark, "spark.sql.adaptive.enabled", "false"):
+        yield
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import HOT_ROWS, cut, hot_join
+from quillwork.llm._common import HOT_ROWS, cut, hot_join, planned_once, swept
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,7 +17,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last back to the first. A hub of more than HOT_ROWS edges meets them by broadcast, so its edges stay where they are;
     there are at most as many such hubs as edges by HOT_ROWS. Only counts come to the driver.
     """
+    spark = edges.sparkSession
     left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    with planned_once(spark):
+        out = _contracted(left)
+    swept(spark)
+    if out is None:
+        return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where("false")
+    return out
+
+
+def _contracted(left: DataFrame) -> DataFrame | None:
+    """components() of distinct edges (a, b) that are written down; None if there are none."""
     maps: list[tuple[DataFrame, DataFrame | None]] = []
     while True:
         salt = F.lit(str(len(maps)))  # a text, which compiled code refers to: all rounds share one
@@ -36,7 +47,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             moved = hot_join(moved, step.select(F.col("node").alias(end), F.col("to").alias(to)), end, hot and hot.select(F.col("node").alias(end)))
         left = cut(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not maps:
-        return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where("false")
+        return None
     out = maps.pop()[0].withColumnRenamed("to", "root")
     while maps:
         step, hot = maps.pop()

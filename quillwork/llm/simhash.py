@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import HOT_ROWS, checked, cut, hot_join, shuffle_width, tidied
+from quillwork.llm._common import HOT_ROWS, checked, cut, hot_join, shuffle_width, swept, tidied
 from quillwork.llm._graph import components
 
 SEED = 42
@@ -279,6 +279,7 @@ def _completed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, alike: DataF
     an original stands nearer to its edits than they do to each other. A text that was a lead has met all others, so the
     rounds end when every text outside the largest group was one.
     """
+    spark = texts.sparkSession
     roots = components(alike)
     unlike = cut(_labelled(pairs, roots, hubs))
     if unlike.isEmpty():
@@ -317,6 +318,7 @@ def _completed(texts: DataFrame, sets: DataFrame, pairs: DataFrame, alike: DataF
             now = merged(now)
         now = cut(now.join(leads.withColumn("lead", F.lit(True)), "digest", "left").withColumn("met", F.col("met") | F.coalesce("lead", F.lit(False))).drop("lead"))
         turn, most = turn + 1, most * ROUND
+        swept(spark)
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: int = 12, bits: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -330,6 +332,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: i
     nearly all; a pair that isn't is found only through other copies. A null text is an empty one; a text of any length
     counts whole. An empty table gives empty results; other columns of docs are ignored.
     """
+    swept(docs.sparkSession)
     known = cut(sketches(docs, kinds))
     first = F.when(F.max(F.col("doc_id").isNull().cast("int")) == 0, F.min("doc_id")).alias("first")
     texts = cut(known.groupBy("digest").agg(first, F.first("fps").alias("fps")))
@@ -346,6 +349,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, kinds: i
     # One row of each wanted text: its first doc_id finds it; rows of one doc_id are told apart by the digest.
     found = docs.join(checked(wanted.select(F.col("first").alias("_first")).distinct(), n), F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
     sets = cut(_shingles(found, shingle).join(checked(wanted.select("digest"), n), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("s")))
+    swept(docs.sparkSession)
     hubs = _hubs(pairs)
     alike = cut(_verified(pairs, sets, similarity, hubs))
     roots = _completed(texts, sets, pairs, alike, hubs, bits, similarity, kinds).withColumnRenamed("node", "digest")
