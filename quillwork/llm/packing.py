@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm._common import cut, ranged, running, tidied
-from quillwork.llm.tokens import KEPT_UNITS, encoded, encoder, id_array
+from quillwork.llm.tokens import KEPT_UNITS, encoded, id_array, id_type
 
 TIERS = (512, 1024, 2048, 4096)
 #: The reserve's share of the rests is found to one part in so many.
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
     gives an empty result; other columns are ignored.
     """
     known = cut(encoded(docs, path, end_id, kept_units=kept_units))
-    dtype, top = encoder(path).dtype.str, tiers[-1]
+    dtype, top = id_type(path).str, tiers[-1]
     sizes = known.select("row", F.expr(f"n div {top}").alias("k"), F.expr(f"n % {top}").alias("r"))
     counts, full = np.zeros(top, np.int64), 0
     for x in sizes.groupBy("r").agg(F.count("*").alias("n"), F.sum("k").alias("k")).collect():  # a row for each length of a rest at most

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.llm._common import cut, ranged, running, shared_dir, tidied
-from quillwork.llm.tokens import encoded, encoder
+from quillwork.llm.tokens import encoded, id_type
 
 MAGIC = b"QWSST001"
 FOOTER = struct.Struct("<QQQQQQIB8s")
@@ -212,7 +212,7 @@ def write_tables(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     spark = docs.sparkSession
     limits = spark.sparkContext.broadcast(_limits(docs, shard_bytes))  # 24 bytes for each shard_bytes of text
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(limits.value) + 1)
-    item = encoder(path).dtype
+    item = id_type(path)
 
     def deal(batch: pa.RecordBatch) -> list[int]:
         at = limits.value

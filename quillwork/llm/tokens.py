@@ -31,6 +31,14 @@ PLAIN_CASE = re.compile("[^\0-įı-ɏ]")
 OTHER_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
+def id_type(path: str) -> np.dtype:
+    """The integers that hold a file's ids: two bytes if none is larger. Found without loading the tokenizer, for the driver."""
+    with open(path, encoding="utf-8") as f:
+        rules = f.read()
+    most = max((int(m[1]) for m in re.finditer(r'(?:"id"\s*:|"\s*:)\s*(\d+)\s*[,}]', rules)), default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
 class Encoder:
     """ids(texts) for one tokenizer file, equal to the library's ids with add_special_tokens=False.
 
@@ -49,7 +57,7 @@ class Encoder:
             model = self.tokenizer.model
             model._resize_cache(0)
             self.tokenizer.model = model
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = id_type(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         pre = rules.get("pre_tokenizer") or {}
