@@ -289,7 +289,7 @@ def html_block(b: dict, image: Callable[[dict], str] = data_uri) -> str:
     if not inner:
         return ""
     if b["heading_level"]:
-        return f"<h{b['heading_level']}>{inner}</h{b['heading_level']}>"
+        return f"<h{b['heading_level']}>{html_runs([r | {'bold': False} for r in b['runs']])}</h{b['heading_level']}>"
     style = f' style="text-align:{b["alignment"]}"' if b["alignment"] in ("center", "right") else ""
     return f"<p{style}>{inner}</p>"
 
@@ -322,7 +322,7 @@ def html_list(items: list[dict]) -> str:
         out.append(f"<li>{html_runs(item_runs(b))}")
     while open_:
         out.append(f"</li>\n</{open_.pop()[0]}>")
-    return "\n".join(out)
+    return "\n".join(out).replace("\n</li>", "</li>")
 
 
 FLOW_CSS = "body{max-width:48em;margin:2em auto;font-family:serif}table{border-collapse:collapse}td,th{border:1px solid #888;padding:.2em .5em}pre{background:#f4f4f4;padding:.5em}@media print{body{margin:0}}"
