@@ -31,6 +31,7 @@ def _contracted(left: DataFrame) -> DataFrame | None:
     """components() of distinct edges (a, b) that are written down; None if there are none."""
     maps: list[tuple[DataFrame, DataFrame | None]] = []
     while True:
+        swept(left.sparkSession)
         salt = F.lit(str(len(maps)))  # a text, which compiled code refers to: all rounds share one
         key = lambda c: F.xxhash64(F.col(c), salt)  # noqa: E731, B023
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.llm._common import HOT_ROWS, checked, cut, hot_join, shuffle_width, swept, tidied
+from quillwork.llm._common import HOT_ROWS, checked, hot_join, shuffle_width, swept, tidied
+from quillwork.llm._common import cut as _cut
 from quillwork.llm._graph import components
 
 SEED = 42
@@ -38,6 +39,13 @@ BLOCK = 1024
 HUB_PAIRS, STEP = 20_000, 1 << 14
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written down, and the driver swept: near-dedup is dozens of jobs, whose leavings would fill a small driver."""
+    out = _cut(df)
+    swept(df.sparkSession)
+    return out
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
