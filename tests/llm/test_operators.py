@@ -132,6 +132,32 @@ def test_components_of_hubs(spark, monkeypatch):
     assert len(set(root.values())) == 3 and len(root) == 343
 
 
+def test_components_of_few_edges_are_few_jobs(spark):
+    from quillwork.llm import _graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(2000)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        found = _graph.components(edges).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 2001 and {r.root for r in found} == {0}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+
+
+@pytest.mark.parametrize("last_edges", [0, 60, 1 << 20])
+def test_components_in_jobs_and_in_one_task(spark, monkeypatch, last_edges):
+    from quillwork.llm import _graph
+
+    monkeypatch.setattr(_graph, "HOT_ROWS", 50)
+    pairs = [(0, i) for i in range(1, 100)] + [(200 + i, 201 + i) for i in range(40)] + [(300, 300), (301, 302)]
+    edges = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in pairs], "a binary, b binary")
+    root = {int(r.node): bytes(r.root) for r in _graph.components(edges, last_edges=last_edges).collect()}
+    groups = [range(100), range(200, 241), (301, 302)]
+    assert sorted(root) == [x for g in groups for x in g]
+    assert [len({root[x] for x in g}) for g in groups] == [1, 1, 1] and len(set(root.values())) == 3
+
+
 def test_op2(spark, sf_dir):
     got = queries.op2_permutation(spark, sf_dir).collect()
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
