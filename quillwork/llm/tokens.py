@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import filterfalse
+from itertools import accumulate, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +193,18 @@ class Encoder:
             at = end
         return out
 
+    def _forget(self) -> None:
+        """Keep the units learnt first, up to half of either limit: what is frequent is met early, most of what came later is rare."""
+        first = list(islice(self.kept, self.limit // 2))
+        chars = list(accumulate(map(len, first)))
+        n = bisect.bisect_right(chars, KEPT_CHARS // 2)
+        self.kept = self.always | {u: self.kept[u] for u in first[:n]}
+        self.chars = chars[n - 1] if n else 0
+
     def _some(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         if len(self.kept) > self.limit or self.chars > KEPT_CHARS:
-            self.kept, self.chars = dict(self.always), 0
+            self._forget()
         missing = list(filterfalse(self.kept.__contains__, set().union(*[c for c in cut if c])))
         if missing:
             self._learn(missing)

@@ -560,6 +560,19 @@ def test_special_tokens_in_texts(spark):
         assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_learnt_first_outlive_the_limit(name):
+    own = Encoder(public_tokenizers.path(name))
+    own.limit = 100
+    early, late = [f"x early{i}" for i in range(40)], [f"x late{i} early3" for i in range(400)]
+    got = own.ids(early)
+    for i in range(0, 400, 50):
+        got += own.ids(late[i : i + 50])
+        assert len(own.kept) <= own.limit + 60
+    assert got == own._whole([*early, *late])
+    assert sum("early" in u for u in own.kept) >= 40
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_units_encode_as_whole_texts(name, docs):
     odd = [*SPECIAL, "trail\n", "É é", "a\x01b \x01 c", "a\0b c", "", " ", "\n\n", "a\t b", "a \t\n b.", "x  y", " lead", "trail \n", "don't, I'll", "A<|endoftext|>b c", "é, ñandú! é,", " z  q", "Σίγμας, ΣΑΣ.", "1,5 (a).", "İ, ſ."]
