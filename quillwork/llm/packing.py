@@ -149,7 +149,7 @@ def pieces(p: Plan, n: int, number: int, k_at: int) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True, kept_units: int = KEPT_UNITS) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 20, ids: bool = True, kept_units: int = KEPT_UNITS // 2) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, cut, row, ids) for every piece; row numbers the rows of docs, ids may be left out.
 
     path is a file of the tokenizers library; a document's ids are those of its whole text, then end_id. tiers are powers

@@ -20,6 +20,8 @@ from quillwork.llm._common import tidied
 
 #: A worker keeps the ids of at most so many units (about 300 bytes each), and of so many characters of them.
 KEPT_UNITS, KEPT_CHARS = 800_000, 16_000_000
+#: Rows whose texts and ids a worker holds as Python objects at once.
+ROWS = 1000
 #: Marks at the end of a word that both kinds of rule part from the letter before.
 MARKS = ".,"
 #: Units given to the library in one text; characters cut at once.
@@ -212,6 +214,11 @@ class Encoder:
         return [self._whole([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows."""
+    return (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -234,7 +241,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, kept_units: int = KEPT_UNIT
         own.limit = kept_units
         end = np.array([end_id], own.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in parts(batches):
             raw = [x + end for x in own.ids([t or "" for t in b.column(2).to_pylist()])]
             n, ids = [len(x) // own.dtype.itemsize for x in raw], [pack.compress(x) for x in raw] if packed else raw
             more = [*b.columns[3:], pa.array(to(b.select(carried)), pa.int32())] if to else []

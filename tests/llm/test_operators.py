@@ -560,6 +560,15 @@ def test_special_tokens_in_texts(spark):
         assert (rows[i].n_tokens, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
+def test_batches_are_encoded_in_parts():
+    import pyarrow as pa
+
+    from quillwork.llm import tokens
+
+    made = list(tokens.parts(iter([pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["n"])] * 2)))
+    assert max(b.num_rows for b in made) <= 1000 and [x for b in made for x in b.column(0).to_pylist()] == [*range(2500)] * 2
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_learnt_first_outlive_the_limit(name):
     own = Encoder(public_tokenizers.path(name))
