@@ -676,20 +676,29 @@ for _n in ("epub", "docx", "pptx", "odt", "odp"):
 
 
 # Documents with tables and runs through the renderers that conversion uses.
-RUN = "named_struct('text', {t}, 'font', 'Helvetica', 'size', 11D, 'color', 0, 'bold', {b}, 'italic', {i}, 'underline', false, 'strike', false, 'script', cast(null as string), 'baseline', cast(null as double))"
+RUN = "named_struct('text', {t}, 'bold', {b}, 'italic', {i})"
+#: What the runs of these queries have alike.
+PLAIN_RUN = {"text": None, "font": "Helvetica", "size": 11.0, "color": 0, "bold": None, "italic": None, "underline": False, "strike": False, "script": None, "baseline": None}
 
 
 def rendered_blocks(rows: DataFrame, name: str, block: str) -> DataFrame:
-    """(doc_id, content): one block for each row, rendered alone; block names a column with the fields that it has."""
+    """(doc_id, content): one block for each row, rendered alone; block names a column with the fields that it has. Runs have only text, bold and italic."""
     import pyarrow as pa
 
+    from quillwork.functions import columns
     from quillwork.plans import ir, rich
 
     make = {"md": rich.md_block, "html": rich.html_block, "latex": rich.latex_block, "typst": rich.typst_block}[name]
 
+    def whole(x: dict) -> dict:
+        own = {**ir.EMPTY, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, **x}
+        for y in (own, *(own["cells"] or [])):
+            y["runs"] = [{**PLAIN_RUN, **r} for r in y["runs"]] if y["runs"] is not None else None
+        return own
+
     def run(batches):
-        for b in batches:
-            made = [make({**ir.EMPTY, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, **x}) for x in b.column(1).to_pylist()]
+        for b in columns.slices(batches):
+            made = [make(whole(x)) for x in columns.values(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "content"])
 
     return rows.select(F.col("doc_id").cast("long"), block).mapInArrow(run, "doc_id long, content string")
