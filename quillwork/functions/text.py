@@ -149,12 +149,18 @@ SCRIPTS = {
 
 def rtf_codepage(text: Column, default: int = 1252) -> Column:
     """The code page of the script that most characters beyond ASCII belong to; any kana means Japanese."""
-    n = {k: F.length(text) - F.length(F.regexp_replace(text, p, "")) for k, (p, _) in SCRIPTS.items()}
-    most = F.greatest(*n.values())
-    pick = F.when(F.coalesce(most, F.lit(0)) == 0, default).when(n["japanese"] > 0, SCRIPTS["japanese"][1])
-    for k, c in n.items():
-        pick = pick.when(c == most, SCRIPTS[k][1])
-    return pick.otherwise(default).cast("int")
+    # Each text is searched once for each script, and only its characters beyond ASCII.
+    beyond = F.regexp_replace(text, "[\u0000-\u007f]+", "")
+    counts = lambda t: F.struct(*[(F.length(t) - F.length(F.regexp_replace(t, p, ""))).alias(k) for k, (p, _) in SCRIPTS.items()])
+
+    def picked(n: Column) -> Column:
+        most = F.greatest(*[n[k] for k in SCRIPTS])
+        pick = F.when(F.coalesce(most, F.lit(0)) == 0, default).when(n["japanese"] > 0, SCRIPTS["japanese"][1])
+        for k in SCRIPTS:
+            pick = pick.when(n[k] == most, SCRIPTS[k][1])
+        return pick.otherwise(default).cast("int")
+
+    return F.get(F.transform(F.transform(F.array(beyond), counts), picked), F.lit(0))
 
 
 def rtf_text(text: Column) -> Column:
@@ -167,7 +173,9 @@ def rtf_text(text: Column) -> Column:
         wide = F.concat(F.lit("\\u"), signed(F.shiftright(code, 16)), F.lit("?\\u"), signed(code.bitwiseAND(F.lit(0xFFFF).cast("long"))), F.lit("?"))
         return F.when(code > 65535, wide).otherwise(F.concat(F.lit("\\u"), signed(code), F.lit("?")))
 
-    return F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c.rlike("^[\u0001-\u007f]*$"), c).otherwise(unit(c))), "")
+    # A stretch of ASCII is one piece; only other characters are looked at one by one.
+    pieces = F.regexp_extract_all(plain, F.lit("[\u0001-\u007f]+|(?s:.)"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda c: F.when(F.ascii(c).between(1, 127), c).otherwise(unit(c))), "")
 
 
 def table_delimiter(width: Column, alignment: Column) -> Column:
