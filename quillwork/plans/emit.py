@@ -121,11 +121,11 @@ def rtf(blocks: DataFrame) -> DataFrame:
 def canvas_rows(lines: DataFrame, width: float = 612.0, height: float = 792.0, cell: tuple[float, float] = (6.0, 12.0)) -> DataFrame:
     """(doc_id, page_no, row, content): lines on a grid of characters; where two meet, the later one shows."""
     cols, rows = int(width / cell[0]), int(height / cell[1])
-    at = lines.select(*PAGE, "seq", F.greatest(F.lit(0), F.rint(F.col("y0") / cell[1])).cast("int").alias("row"), F.greatest(F.lit(0), F.rint(F.col("x0") / cell[0])).cast("int").alias("_c"), F.posexplode(F.split("text", "")).alias("_i", "_ch")).withColumn("col", F.col("_c") + F.col("_i"))
-    shown = at.where((F.col("_ch") != "") & F.col("col").between(0, cols - 1) & F.col("row").between(0, rows - 1)).groupBy(*PAGE, "row", "col").agg(F.max_by("_ch", "seq").alias("ch"))
-    cells_ = shown.groupBy(*PAGE, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "ch"))).alias("_m"), F.max("col").alias("_last"))
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(F.element_at("_m", i), F.lit(" "))), "")
-    return cells_.select(*PAGE, "row", F.rtrim(line).alias("content"))
+    place = lambda k, size: F.greatest(F.lit(0), F.rint(F.col(k) / size)).cast("int")
+    at = lines.select(*PAGE, "seq", place("y0", cell[1]).alias("row"), place("x0", cell[0]).alias("col"), "text").where((F.col("text") != "") & F.col("col").between(0, cols - 1) & F.col("row").between(0, rows - 1))
+    own = at.groupBy(*PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("seq", "col", "text"))).alias("_l"))
+    line = F.expr("aggregate(_l, '', (a, x) -> concat(rpad(a, x.col, ' '), x.text, substring(a, x.col + length(x.text) + 1)))")
+    return own.select(*PAGE, "row", F.rtrim(F.left(line, F.lit(cols))).alias("content"))
 
 
 def canvas(lines: DataFrame, height: float = 792.0, cell: tuple[float, float] = (6.0, 12.0)) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from quillwork.functions import columns
-from quillwork.plans import rich
+from quillwork.functions import text as tx
+from quillwork.plans import emit, rich
 
 
 def test_columns_as_python_values():
@@ -32,3 +35,22 @@ def test_words_are_rendered_once():
     assert [render(dict(run)) for _ in range(9)] == ["50% "] * 9 and len(made) == 1
     assert render(run | {"color": 255}) == "50% " and len(made) == 2
     assert rich.latex_run(run) == "\\textbf{50\\%} " and rich.latex_run(run | {"bold": False}) == "50\\% "
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_canvas_rows_keep_lines_whole(spark):
+    rows = [(1, 1, 0, 24.0, 6.0, "abcdef"), (1, 1, 1, 25.0, 18.0, "X Z"), (1, 1, 2, 24.0, 48.0, "far"), (1, 1, 3, 60.0, 600.0, "cut here"), (1, 1, 4, 72.0, 700.0, "off"), (1, 1, 5, 84.0, 0.0, ""), (1, 1, 6, 96.0, 0.0, "  ")]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no int, seq int, y0 double, x0 double, text string")
+    made = emit.canvas_rows(lines)
+    assert sorted((r.row, r.content) for r in made.collect()) == [(2, " abX Zf far"), (5, " " * 100 + "cu"), (8, "")]
+    assert "Generate" not in plan_of(made)
+
+
+def test_code_page_searches_a_text_once_for_each_script(spark):
+    rows = spark.createDataFrame([("plain é",), ("Привет ab",), ("漢字かな",), ("漢字漢字",), ("",), (None,)], "t string")
+    made = rows.select(tx.rtf_codepage(F.col("t")).alias("c"))
+    assert [r.c for r in made.collect()] == [1252, 1251, 932, 936, 1252, 1252]
+    assert plan_of(made).count("regexp_replace") <= len(tx.SCRIPTS) + 1
