@@ -1,12 +1,14 @@
 """Steps whose time or memory grew faster than their input, each on a small case that shows it."""
 
 import pyarrow as pa
-
+import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import columns
 from quillwork.functions import text as tx
 from quillwork.plans import emit, rich
+from quillwork.sources import pdf, pdf_content, pdf_layout, pdf_writer
+from quillwork.sources.pdf_objects import File
 
 
 def test_columns_as_python_values():
@@ -54,3 +56,41 @@ def test_code_page_searches_a_text_once_for_each_script(spark):
     made = rows.select(tx.rtf_codepage(F.col("t")).alias("c"))
     assert [r.c for r in made.collect()] == [1252, 1251, 932, 936, 1252, 1252]
     assert plan_of(made).count("regexp_replace") <= len(tx.SCRIPTS) + 1
+
+
+LINES = [{"page_no": p, "seq": i, "text": f"The line {i} of page {p}, é(ö)", "x0": 72.0 + 18 * (i % 3), "y0": 84.0 + 14 * i, "font_size": 18.0 if i == 0 else 11.0, "is_bold": i == 0} for p in (1, 2, 3) for i in range(20)]
+
+
+@pytest.mark.parametrize("variant", pdf_writer.VARIANTS)
+def test_lines_of_strips_are_those_of_glyphs(variant, monkeypatch):
+    f = File(pdf_writer.document(LINES, variant))
+    built = []
+    monkeypatch.setattr(pdf_content, "to_unicode", lambda data, real=pdf_content.to_unicode: built.append(1) or real(data))
+    pages = f.pages()
+    strips = [pdf_content.evaluate(f, p, strips=True).strips for p in pages]
+    assert len(built) == 2  # two fonts, whatever the pages
+    want = [pdf_layout.lines(pdf_layout.words(pdf_content.evaluate(f, p).glyphs, 792.0)) for p in pages]
+    monkeypatch.setattr(pdf_layout, "words", None)  # tight strips need no glyphs
+    assert [pdf_layout.lines(pdf_layout.words_of(s, 792.0)) for s in strips] == want
+    assert [x["text"] for page in want for x in page] == [x["text"] for x in LINES]
+
+
+def test_strips_that_cross_or_turn_fall_back_to_glyphs():
+    f = File(pdf_writer.document(LINES))
+    page = f.pages()[0]
+    for content in (b"BT /F0 11 Tf 1 0 0 1 72 700 Tm <000500060007> Tj 1 0 0 1 74 700 Tm <0005> Tj ET", b"BT /F0 11 Tf 0 1 -1 0 72 700 Tm <00050006> Tj 2 Tc 1 0 0 1 72 600 Tm <00050006> Tj ET", b"BT /F0 11 Tf 50 Tz 1 0 0 1 72 700 Tm <0005> Tj <0006> Tj ET"):
+        made = []
+        for strips in (False, True):
+            out = pdf_content.Page(strips=[] if strips else None)
+            pdf_content.Evaluator(f, page["Resources"], out).run(content)
+            made.append(pdf_layout.words_of(out.strips, 792.0) if strips else pdf_layout.words(out.glyphs, 792.0))
+        assert made[0] == made[1] and made[0]
+
+
+def test_pages_are_handed_on_together(spark):
+    files = spark.createDataFrame([(1, bytearray(pdf_writer.document(LINES, title="T"))), (2, bytearray(b"no pdf"))], "doc_id long, content binary")
+    bare = pdf.parse(files, contents=False).collect()
+    assert [(r.doc_id, r.page_no, r.meta and r.meta["Title"]) for r in bare] == [(1, 1, "T"), (1, 2, None), (1, 3, None), (2, None, None)] and not any(r.glyphs for r in bare)
+    lines = pdf.parse(files, lines=True, words=False).where("error is null")
+    assert pdf.page_lines(lines).columns == ["doc_id", "page_no", *[c for c in pdf.page_lines(pdf.parse(files, lines=True)).columns if c not in ("doc_id", "page_no", "ws")]]
+    assert [r.text for r in pdf.page_lines(lines).collect()] == [x["text"] for x in LINES]
