@@ -1,11 +1,15 @@
 """Steps whose time or memory grew faster than their input, each on a small case that shows it."""
 
+import math
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillwork.functions import columns
 from quillwork.functions import text as tx
+from quillwork.operators import spatial
 from quillwork.plans import emit, rich
 from quillwork.sources import pdf, pdf_content, pdf_layout, pdf_writer
 from quillwork.sources.pdf_objects import File
@@ -94,3 +98,27 @@ def test_pages_are_handed_on_together(spark):
     lines = pdf.parse(files, lines=True, words=False).where("error is null")
     assert pdf.page_lines(lines).columns == ["doc_id", "page_no", *[c for c in pdf.page_lines(pdf.parse(files, lines=True)).columns if c not in ("doc_id", "page_no", "ws")]]
     assert [r.text for r in pdf.page_lines(lines).collect()] == [x["text"] for x in LINES]
+
+
+def test_nearest_boxes_by_brute_force(spark):
+    r = random.Random(5)
+    box = lambda i: (i, x := float(r.choice([r.randint(-300, 300), 16 * r.randint(-9, 9)])), y := float(r.randint(-300, 300)), x + r.choice([0, 5, 16, 48, 200, -7]), y + r.choice([0, 8, 32, 64, -3]))
+    boxes = [box(i) for i in range(150)] + [(1000 + i, 0.0, 0.0, 64.0, 64.0) for i in range(300)] + [(999, 2000.0, 2000.0, 2001.0, 2001.0), (998, None, 0.0, 1.0, 1.0)]
+    points = [(i, r.choice([float(r.randint(-400, 400)), 16.0 * r.randint(-20, 20), r.uniform(-400, 400)]), r.uniform(-400, 400)) for i in range(200)] + [(900, 2081.0, 2000.0), (901, 2081.5, 2000.0), (902, None, 3.0), (903, 32.0, 32.0)]
+    b = spark.createDataFrame(boxes, "b long, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame(points, "p long, px double, py double")
+    for k, far in ((3, 80.0), (1, 80.0), (5, 7.0), (2, 300.0), (2, 0.0)):
+        want = set()
+        for i, x, y in points:
+            ds = sorted((math.hypot(max(0.0, x0 - x, x - x1), max(0.0, y0 - y, y - y1)), j) for j, x0, y0, x1, y1 in boxes if x is not None and x0 is not None)
+            want |= {(i, n + 1, j, round(d, 6)) for n, (d, j) in enumerate([t for t in ds if t[0] <= far][:k])}
+        assert {(q.p, q.rank, q.b, round(q.dist, 6)) for q in spatial.nearest(p, b, "p", "b", k, far).collect()} == want
+    stacked = spatial.uncovered(b.where("b >= 1000"), "b", 3, 16.0).where("_covers = 1").groupBy("_cx", "_cy").count()
+    assert {q["count"] for q in stacked.collect()} == {3}
+
+
+def test_overlaps_are_spread_over_tasks(spark):
+    b = spark.createDataFrame([(i, float(i), 0.0, i + 1.5, 9.0) for i in range(40)], "b long, x0 double, y0 double, x1 double, y1 double")
+    met = spatial.overlaps(b.withColumnRenamed("b", "a"), b, "a", "b", ordered=True)
+    assert sorted(met.collect()) == [(i, i + 1) for i in range(39)]
+    assert met.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
