@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.functions import columns
+from quillwork.functions import codecs, columns
 from quillwork.functions import text as tx
 from quillwork.operators import spatial
 from quillwork.plans import emit, rich
@@ -122,3 +122,19 @@ def test_overlaps_are_spread_over_tasks(spark):
     met = spatial.overlaps(b.withColumnRenamed("b", "a"), b, "a", "b", ordered=True)
     assert sorted(met.collect()) == [(i, i + 1) for i in range(39)]
     assert met.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_codecs_hold_few_values_at_a_time(spark):
+    assert list(codecs._parts([600_000] * 3 + [5_000_000, 1])) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)] and list(codecs._parts([400_000] * 3)) == [(0, 2), (2, 3)] and list(codecs._parts([])) == []
+    rows = spark.createDataFrame([(bytearray(b"pqr" * 9), ["AHx"]), (None, ["AHx"]), (bytearray(b"zz>"), ["AHx"]), (bytearray(b"x"), ["DCT"]), (bytearray(b"q"), None), (bytearray(b"q"), ["No"])], "d binary, f array<string>")
+    out = rows.select(codecs.encode_stream("hex")("d").alias("e"), codecs.decode_stream("d", "f", F.lit(None).cast("array<map<string,string>>")).alias("s")).collect()
+    assert [r.s.status for r in out if r.e] == ["not hexadecimal", "not hexadecimal", "passed", "ok", "no filter No"] and out[1].s.content is None
+    assert [bytes(r.e) if r.e else None for r in out][:2] == [(b"pqr" * 9).hex().encode() + b">", None]
+
+
+def test_predictors_by_whole_rows():
+    data = bytes(i * 7 % 256 for i in range(100))
+    up = codecs.encode_png_rows(data, 16, 2)
+    assert codecs.png_rows(up, 16)[:100] == data and codecs.png_rows(up[:17] + b"\0" + up[18:], 16)[:16] == data[:16]
+    assert codecs.tiff_rows(bytes([1, 2, 3, 250, 10, 5]), 3) == bytes([1, 3, 6, 250, 4, 9]) and codecs.tiff_rows(b"", 3) == b""
+    assert codecs.lzw(codecs.encode_lzw(data * 200)) == data * 200 and codecs.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
