@@ -21,6 +21,23 @@ def decoded(codes: DataFrame, table: DataFrame) -> DataFrame:
     return codes.join(own, ["font_id", "code"], "left").withColumn("text", F.coalesce("_t", latin, F.lit("�"))).drop("_t")
 
 
+#: Codes from the first to the last of a font that is looked up by place; a font with more is looked up by key.
+SPAN = 1 << 17
+
+
+def decoded_arrays(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (font_id, codes, ...) with text: what decoded() gives for each code, joined where the codes are. The table goes to all tasks as one row for each font."""
+    ends = table.groupBy("font_id").agg(F.min("code").alias("_lo"), F.max("code").alias("_hi"))
+    places = ends.where(F.col("_hi") - F.col("_lo") < SPAN).select("font_id", F.explode(F.sequence("_lo", "_hi")).alias("code"))
+    dense = places.join(table, ["font_id", "code"], "left").groupBy("font_id").agg(F.expr("transform(array_sort(collect_list(struct(code, text))), x -> x.text)").alias("_a"))
+    wide = table.join(ends, "font_id").where(F.col("_hi") - F.col("_lo") >= SPAN).groupBy("font_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "text"))).alias("_m"))
+    fonts = ends.join(dense, "font_id", "left").join(wide, "font_id", "left")
+    latin = lambda c: F.when(c < 256, F.decode(F.unhex(F.lpad(F.hex(c), 2, "0")), "ISO-8859-1"))
+    known = lambda c: F.when(c.between(F.col("_lo"), F.col("_hi")), F.coalesce(F.get("_a", (c - F.col("_lo")).cast("int")), F.try_element_at("_m", c)))
+    text = F.array_join(F.transform("codes", lambda c: F.coalesce(known(c), latin(c), F.lit("\ufffd"))), "")
+    return rows.join(F.broadcast(fonts), "font_id", "left").withColumn("text", text).drop("_lo", "_hi", "_a", "_m")
+
+
 def placed(shown: DataFrame, keys: list[str]) -> DataFrame:
     """shown with x, where each glyph of a line starts: the sum of the advances before it.
 

@@ -844,11 +844,10 @@ def box_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, regexp_replace(text, '[^\\x{0}-\\x{ff}]', '\ufffd', 'g') AS t FROM documents WHERE text <> ''")
 def cmap_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    chars = docs.select("doc_id", (F.col("doc_id") % 3).alias("font_id"), F.posexplode(F.split("text", "")).alias("i", "c")).where("c <> ''")
-    codes = chars.withColumn("code", F.when(F.ascii("c") < 128, F.ascii("c") + 1000 * F.col("font_id")).otherwise(F.conv(F.hex(F.encode("c", "UTF-16BE")), 16, 10).cast("long")))
+    code = lambda c, font: F.when(F.ascii(c) < 128, F.ascii(c) + 1000 * font).otherwise(F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))
+    codes = docs.where("text <> ''").select("doc_id", (F.col("doc_id") % 3).alias("font_id"), F.transform(F.split("text", ""), lambda c: code(c, F.col("doc_id") % 3)).alias("codes"))
     ranges = spark.range(3).select(F.col("id").alias("font_id"), (F.col("id") * 1000 + 1).alias("lo"), (F.col("id") * 1000 + 127).alias("hi"), F.lit(1).cast("long").alias("target"))
-    text_ = fonts.decoded(codes, F.broadcast(fonts.code_table(ranges)))
-    return text_.groupBy("doc_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(i, text))), x -> x.text), '')").alias("t"))
+    return fonts.decoded_arrays(codes, fonts.code_table(ranges)).select("doc_id", F.col("text").alias("t"))
 
 
 @query("WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 = 0 THEN -(l_quantity * 10 / 1000.0 * 12 * 0.5) ELSE ((500 + l_quantity) / 1000.0 * 12 + 0.25 + CASE WHEN l_linenumber % 4 = 0 THEN 1.5 ELSE 0 END) * 0.5 END AS step, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq FROM lineitem) SELECT l_orderkey, seq::INTEGER AS seq, round(coalesce(sum(step) OVER (PARTITION BY l_orderkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS x FROM s")

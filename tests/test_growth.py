@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import codecs, columns
 from quillwork.functions import text as tx
-from quillwork.operators import spatial
-from quillwork.plans import emit, rich
+from quillwork.operators import fonts, spatial
+from quillwork.plans import catalog, emit, rich
 from quillwork.sources import pdf, pdf_content, pdf_layout, pdf_writer
 from quillwork.sources.pdf_objects import File
 
@@ -138,3 +138,14 @@ def test_predictors_by_whole_rows():
     assert codecs.png_rows(up, 16)[:100] == data and codecs.png_rows(up[:17] + b"\0" + up[18:], 16)[:16] == data[:16]
     assert codecs.tiff_rows(bytes([1, 2, 3, 250, 10, 5]), 3) == bytes([1, 3, 6, 250, 4, 9]) and codecs.tiff_rows(b"", 3) == b""
     assert codecs.lzw(codecs.encode_lzw(data * 200)) == data * 200 and codecs.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+
+
+def test_codes_are_decoded_where_they_are(spark):
+    ranges = spark.createDataFrame([(1, 1, 5, 0x410), (1, 3, 4, 0x1F600), (3, 1, 3, 0x410), (3, 1 << 20, 1 << 20, 0x41)], "font_id long, lo long, hi long, target long")
+    each = [(i, f, c) for f in (1, 2, 3) for i, c in enumerate([1, 3, 5, 65, 233, 300, 0, 1 << 20, 1 << 40])]
+    want = fonts.decoded(spark.createDataFrame(each, "i int, font_id long, code long"), fonts.code_table(ranges)).collect()
+    rows = spark.createDataFrame([(f, [c for _, g, c in each if g == f]) for f in (1, 2, 3)] + [(1, [])], "font_id long, codes array<long>")
+    made = fonts.decoded_arrays(rows, fonts.code_table(ranges))
+    assert sorted(r.text for r in made.collect()) == sorted(["".join(r.text for r in sorted(want, key=lambda r: r.i) if r.font_id == f) for f in (1, 2, 3)] + [""])
+    docs = plan_of(catalog.QUERIES["cmap_decode"](spark, "/root/testdata/sf0.001"))
+    assert "posexplode" not in docs
