@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import codecs, columns
 from quillwork.functions import text as tx
-from quillwork.operators import fonts, spatial
+from quillwork.operators import fonts, layout, spatial
 from quillwork.plans import catalog, emit, rich
 from quillwork.sources import pdf, pdf_content, pdf_layout, pdf_writer
 from quillwork.sources.pdf_objects import File
@@ -149,3 +149,24 @@ def test_codes_are_decoded_where_they_are(spark):
     assert sorted(r.text for r in made.collect()) == sorted(["".join(r.text for r in sorted(want, key=lambda r: r.i) if r.font_id == f) for f in (1, 2, 3)] + [""])
     docs = plan_of(catalog.QUERIES["cmap_decode"](spark, "/root/testdata/sf0.001"))
     assert "posexplode" not in docs
+
+
+def test_steps_do_not_compute_their_input_twice(spark):
+    body = spark.createDataFrame([(1, 1, 0, "a<b", 72.0, 84.0, 18.0, True), (1, 2, 0, "c", 72.0, 84.0, 11.0, False), (2, 1, 0, None, 72.0, 84.0, 11.0, False)], "doc_id long, page_no int, seq int, text string, x0 double, y0 double, font_size double, is_bold boolean")
+    made = emit.svg(body)
+    assert "Join" not in plan_of(made)
+    got = {r.doc_id: r.content for r in made.collect()}
+    assert list(got) == [1] and 'height="1604"' in got[1] and got[1].index("a&lt;b") < got[1].index(">c<")
+    ddl = "doc_id long, page_no int, para_no int, text string, text_clean string, heading_level int, list_group int, list_kind string, alignment string"
+    blocks = spark.createDataFrame([(1, 1, 0, "Head", "Head", 1, None, None, "left"), (1, 1, 1, "- x", "x", None, 1, "bullet", "left"), (1, 1, 2, "- y", "y", None, 1, "bullet", "left"), (1, 1, 3, "", "", None, None, None, "left")], ddl)
+    made = emit.latex(blocks)
+    assert "Join" not in plan_of(made)
+    assert "\\section{Head}\n\n\\begin{itemize}\n\\item x\n\\item y\n\\end{itemize}\n\n\\end{document}" in made.first().content
+
+
+def test_underlines_meet_words_once(spark):
+    words = spark.createDataFrame([(1, 1, 0, i, f"w{i}", 50.0 * i, 20.0, 50.0 * i + 40, 31.5, 11.0) for i in range(4)], "doc_id long, page_no int, seq int, pos int, word string, x0 double, y0 double, x1 double, y1 double, font_size double")
+    rules = spark.createDataFrame([(1, 1, 0.0, 33.0, 40.0, 34.0), (1, 1, 75.0, 33.0, 120.0, 34.0), (1, 1, 150.0, 45.0, 190.0, 46.0), (2, 1, 50.0, 33.0, 90.0, 34.0)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    made = layout.underlined(words, rules)
+    assert sorted((r.pos, r.is_underline) for r in made.collect()) == [(0, True), (1, False), (2, True), (3, False)]
+    assert plan_of(made).count("Join") == 1
