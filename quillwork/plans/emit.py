@@ -31,6 +31,13 @@ def joined(rows: DataFrame, keys: list[str], order: list[str], value: str, sep:
     return rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys).agg(F.array_join(own, sep).alias(value))
 
 
+def _gathered(rows: DataFrame, keys: list[str], order: list[str], sep: str, *more: Column) -> DataFrame:
+    """joined() of content, and what more tells of all rows of a group, in one pass over the rows."""
+    there = F.col("content").isNotNull() & (F.col("content") != "")
+    own = F.transform(F.array_sort(F.collect_list(F.when(there, F.struct(*order, F.col("content").alias("_v"))))), lambda x: x["_v"])
+    return rows.groupBy(*keys).agg(own.alias("_own"), *more).where("size(_own) > 0").withColumn("content", F.array_join("_own", sep)).drop("_own")
+
+
 def short(number: Column | str) -> Column:
     """A number with at most two decimals and no zeros at the end."""
     c = F.col(number) if isinstance(number, str) else number
@@ -67,8 +74,7 @@ def _grouped(blocks: DataFrame, item: Column, block: Column, opening: dict[str,
     """Blocks with runs of list items joined to one block each, as (doc_id, page_no, para_no, content)."""
     in_list = F.col("list_group").isNotNull()
     rows = blocks.withColumn("content", F.when(in_list, item).otherwise(block)).withColumn("_g", F.when(in_list, F.concat(F.lit("l"), F.col("list_group").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("para_no").cast("string"))))
-    kinds = rows.groupBy(*PAGE, "_g").agg(F.min("para_no").alias("_first"), F.first("list_kind").alias("_kind"))
-    made = joined(rows, [*PAGE, "_g"], ["para_no"], "content", item_sep).join(kinds, [*PAGE, "_g"])
+    made = _gathered(rows, [*PAGE, "_g"], ["para_no"], item_sep, F.min("para_no").alias("_first"), F.first("list_kind").alias("_kind"))
     pick = lambda d: F.when(F.col("_kind") == "ordered", d["ordered"]).when(F.col("_kind") == "bullet", d["bullet"]).otherwise("")
     return made.select(*PAGE, F.col("_first").alias("para_no"), F.concat(pick(opening), F.col("content"), pick(closing)).alias("content"))
 
@@ -140,8 +146,7 @@ def svg(lines: DataFrame, width: float = 612.0, height: float = 792.0, gap: floa
     """One drawing for each document, its pages below each other."""
     y = F.col("y0") + 10.0 + (F.col("page_no") - 1) * (height + gap)
     item = F.concat(F.lit('<text x="'), short("x0"), F.lit('" y="'), short(y), F.lit('" font-size="'), short("font_size"), F.when(F.col("is_bold"), '" font-weight="bold').otherwise(""), F.lit('">'), tx.escape_xml(F.col("text")), F.lit("</text>"))
-    n = lines.groupBy("doc_id").agg(F.max("page_no").alias("_n"))
-    body = joined(lines.withColumn("content", item), ["doc_id"], ["page_no", "seq"], "content", "\n").join(n, "doc_id")
+    body = _gathered(lines.withColumn("content", item), ["doc_id"], ["page_no", "seq"], "\n", F.max("page_no").alias("_n"))
     tall = short(F.col("_n") * (height + gap) - gap)
     head = F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}" height="'), tall, F.lit(f'" viewBox="0 0 {width:g} '), tall, F.lit('">\n'))
     return body.select("doc_id", F.concat(head, F.col("content"), F.lit("\n</svg>\n")).alias("content"))
